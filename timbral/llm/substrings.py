@@ -219,8 +219,8 @@ def _width(spark: SparkSession) -> int:
 def runs(docs: DataFrame, window: int = WINDOW, buckets: int | None = None, groups: int | None = None) -> DataFrame:
     """The sorted runs of docs: (bucket, keys, groups, n)."""
     n = _width(docs.sparkSession)
-    asked = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups or 2 * n)).cast("int").alias("g")
-    return map_arrow(docs.select(asked, "text"), _runs(window, buckets or 3 * n), RUN_SCHEMA)
+    asked = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups or n)).cast("int").alias("g")
+    return map_arrow(docs.select(asked, "text"), _runs(window, buckets or 2 * n), RUN_SCHEMA)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, history: DataFrame | None = None, buckets: int | None = None, whole: bool = True) -> DataFrame:
@@ -238,7 +238,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, history: DataFrame |
     met = made if history is None else made.unionByName(history.select("bucket", "keys", F.lit(None).cast("binary").alias("groups"), "n"))
     repeated = map_arrow(met.repartition(n, "bucket").sortWithinPartitions("bucket"), _merge, "g int, keys binary, n long")
     asked = own.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * n)).cast("int").alias("g"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("long").alias("n")
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("g"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("long").alias("n")
     )
     known = repeated.select("g", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "keys", "n")
     both = asked.unionByName(known).repartition(n, "g").sortWithinPartitions("g", "kind")
