@@ -26,6 +26,8 @@ from timbral.llm.labelled import fold, sample
 EXAMPLES, TERMS = 6_000, 2_000
 STARTS = (5, 6, 7)
 SUPPORT, RATIO, NEIGHBOURS, BLOCK, CUT = 4, 6.0, 15, 32, 0.5
+#: Likelihood-ratio statistic below which a term's uneven use may be chance.
+SURE = 24.0
 #: Distinct words whose terms a worker keeps.
 MEMO_WORDS = 400_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -41,23 +43,36 @@ def words_of(text: str | None) -> list[str]:
 
 def choose_terms(texts: list[str], y: np.ndarray) -> list[str]:
     """Terms that toxic examples use RATIO times as readily. A term counts once for each word that follows it, so copies don't add up."""
-    seen: list[dict[str, set]] = [defaultdict(set), defaultdict(set)]
-    for text, label in zip(texts, y.tolist(), strict=True):
-        words, into = words_of(text), seen[int(label)]
-        for a, b in zip(words, [*words[1:], ""], strict=False):
-            for t in word_terms(a):
-                into[t].add(b)
-    totals = [max(1, sum(map(len, s.values()))) for s in seen]
+    seen: dict[str, set] = defaultdict(set)
+    other: dict[str, set] = {}
+    totals = [0, 0]
+    for own in (1, 0):  # of the other class, only terms that could be chosen are held
+        for text, label in zip(texts, y.tolist(), strict=True):
+            if label == own:
+                words = words_of(text)
+                for a, b in zip(words, [*words[1:], ""], strict=False):
+                    for t in word_terms(a):
+                        totals[own] += 1
+                        if own:
+                            seen[t].add(b)
+                        elif t in other:
+                            other[t].add(b)
+        if own:
+            seen = {t: s for t, s in seen.items() if len(s) >= SUPPORT}
+            other = {t: set() for t in seen}
     odds = {}
-    for t, nexts in seen[1].items():
-        n, m = len(nexts), len(seen[0].get(t, ()))
-        if n >= SUPPORT and (ratio := n / totals[1] / ((m + 0.5) / totals[0])) >= RATIO:
-            odds[t] = n * np.log(ratio)
+    for t, nexts in seen.items():
+        n, m = len(nexts), len(other[t])
+        ratio = n / max(1, totals[1]) / ((m + 0.5) / max(1, totals[0]))
+        share = totals[1] / max(1, sum(totals))
+        sure = 2 * (n * np.log(n / ((n + m) * share)) + (m * np.log(m / ((n + m) * (1 - share))) if m and share < 1 else 0))
+        if ratio >= RATIO and sure >= SURE:
+            odds[t] = sure
     return sorted(sorted(odds, key=lambda t: (-odds[t], t))[:TERMS])
 
 
 class Terms:
-    """Term ids of words, remembered by word."""
+    """Term ids of words, remembered by word. A text with chosen terms also has one, after the last, for all its other words: it tells a few in a long text from many in a short one."""
 
     def __init__(self, terms: list[str]) -> None:
         self.ids = {t: i for i, t in enumerate(terms)}
@@ -67,13 +82,16 @@ class Terms:
         if len(self.memo) > MEMO_WORDS:
             self.memo = {}
         out: Counter = Counter()
-        memo, ids = self.memo, self.ids
+        memo, ids, rest = self.memo, self.ids, 0
         for w, n in Counter(words_of(text)).items():
             got = memo.get(w)
             if got is None:
                 got = memo[w] = tuple(ids[t] for t in word_terms(w) if t in ids)
+            rest += 0 if got else n
             for t in got:
                 out[t] += n
+        if out and rest:
+            out[len(ids)] = rest
         return out
 
 
@@ -146,7 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     terms = choose_terms(texts, np.minimum(y, 1))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen, n = Terms(terms), np.zeros(len(terms), np.int64), 0
+        own, seen, n = Terms(terms), np.zeros(len(terms) + 1, np.int64), 0
         for b in batches:
             for t in b.column(0).to_pylist():
                 n += 1
@@ -158,8 +176,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     counted = map_arrow(docs.select("text"), frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     found = dict(zip(counted.column(0).to_pylist(), counted.column(1).to_pylist(), strict=True))
     n = found.pop(-1, 0)
-    df = np.zeros(len(terms))
+    df = np.zeros(len(terms) + 1)
     df[list(found)] = list(found.values())
+    df[-1] = n  # what every text has
     own = Terms(terms)
     return Index(terms, np.log((1 + n) / (1 + df)) + 1, [own.counts(t) for t in texts], np.minimum(y, 1), rows.column("doc_id").to_pylist())
 
