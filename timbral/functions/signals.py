@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, not once per element of a lambda that uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
@@ -32,23 +39,24 @@ def scale(x: Column, by: Column) -> Column:
 
 def normalise(x: Column, db: float = -20.0) -> Column:
     """To a level in dB RMS; silence stays."""
-    r = rms(x)
-    return F.when(r > 0, scale(x, F.lit(10.0 ** (db / 20)) / r)).otherwise(x)
+    return let(x, lambda y: let(rms(y), lambda r: F.when(r > 0, scale(y, F.lit(10.0 ** (db / 20)) / r)).otherwise(y)))
 
 
 def limit_peak(x: Column, over: float, to: float) -> Column:
-    p = peak(x)
-    return F.when(p > over, scale(x, F.lit(to) / p)).otherwise(x)
+    return let(x, lambda y: let(peak(y), lambda p: F.when(p > over, scale(y, F.lit(to) / p)).otherwise(y)))
 
 
 def mix(signal: Column, noise: Column, snr_db: Column, offset: Column | int = 0) -> Column:
     """noise, repeated to length from an offset, under signal at a ratio in dB; unchanged if either is silent."""
     offset = F.lit(offset) if isinstance(offset, int) else offset
     laid = F.transform(F.sequence(F.lit(0), F.size(signal) - 1), lambda i: F.element_at(noise, ((i + offset) % F.size(noise) + 1).cast("int")))
-    rs, rn = rms(signal), rms(laid)
-    by = rs / (rn * F.pow(F.lit(10.0), snr_db / 20.0))
-    mixed = F.zip_with(signal, laid, lambda s, n: s + n * by)
-    return F.when((rs > 0) & (rn > 0), limit_peak(mixed, 1.0, 0.99)).otherwise(signal)
+
+    def mixed(n: Column) -> Column:
+        rs, rn = rms(signal), rms(n)
+        by = let(rs / (F.nullif(rn, F.lit(0.0)) * F.pow(F.lit(10.0), snr_db / 20.0)), lambda k: F.zip_with(signal, n, lambda s, m: s + m * k))
+        return F.when((rs > 0) & (rn > 0), limit_peak(by, 1.0, 0.99)).otherwise(signal)
+
+    return let(laid, mixed)
 
 
 def quantise(x: Column, bits: int) -> Column:
@@ -63,18 +71,21 @@ def drop_packets(x: Column, lost: Column, packet: int) -> Column:
     return F.transform(x, lambda v, i: F.when((F.floor(i / packet) < full) & F.coalesce(F.get(lost, F.floor(i / packet).cast("int")), F.lit(False)), F.lit(0.0)).otherwise(v))
 
 
+def _taps(x: Column, h: Column, shift: Column | int) -> Column:
+    """Sum over k of h[k] * x[i + shift - k], x being 0 outside."""
+    places = F.sequence(F.lit(0), F.size(h) - 1)
+    at = lambda i, k: F.when((i + shift - k >= 0) & (i + shift - k < F.size(x)), F.element_at(x, i + shift - k + 1)).otherwise(F.lit(0.0))
+    return let(places, lambda ks: F.transform(x, lambda _, i: F.aggregate(ks, F.lit(0.0), lambda a, k: a + F.element_at(h, k + 1) * at(i, k))))
+
+
 def convolve_same(x: Column, h: Column) -> Column:
     """The middle of the full convolution, as long as x, to a peak of .99. For short h; operators.kernels has the FFT."""
-    off = F.floor((F.size(h) - 1) / 2).cast("int")
-    y = F.transform(x, lambda _, i: F.aggregate(F.sequence(F.lit(0), F.size(h) - 1), F.lit(0.0), lambda a, k: a + F.element_at(h, k + 1) * F.coalesce(F.get(x, F.when(i + off - k >= 0, i + off - k)), F.lit(0.0))))
-    p = peak(y)
-    return F.when(p > 0, scale(y, F.lit(0.99) / p)).otherwise(y)
+    return let(h, lambda g: limit_peak(_taps(x, g, F.floor((F.size(g) - 1) / 2).cast("int")), 0.0, 0.99))
 
 
 def fir(x: Column, taps: Column) -> Column:
     """Causal filter by taps of unit absolute sum."""
-    unit = F.transform(taps, lambda t: t / total(F.transform(taps, F.abs)))
-    return F.transform(x, lambda _, i: F.aggregate(F.sequence(F.lit(0), F.size(unit) - 1), F.lit(0.0), lambda a, k: a + F.element_at(unit, k + 1) * F.coalesce(F.get(x, F.when(i - k >= 0, i - k)), F.lit(0.0))))
+    return let(let(total(F.transform(taps, F.abs)), lambda n: F.transform(taps, lambda t: t / n)), lambda unit: _taps(x, unit, 0))
 
 
 def saturate(x: Column, alpha: Column) -> Column:
