@@ -156,9 +156,9 @@ def duration_ratio_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_words"), (~ratio.between(0.06, 0.1)).alias("failed"))
 
 
-@query("select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as quantity, round(avg(l_discount), 6) as discount from lineitem group by rollup(l_returnflag, l_linestatus)")
+@query("select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as quantity, round(avg(l_discount), 4) as discount from lineitem group by rollup(l_returnflag, l_linestatus)")
 def star_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.avg("l_discount"), 6).alias("discount"))
+    return table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.avg("l_discount"), 4).alias("discount"))
 
 
 @query("select o_custkey, count(*) as orders, round(sum(o_totalprice), 2) as total from orders group by o_custkey order by orders desc, o_custkey limit 10")
