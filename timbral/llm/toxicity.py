@@ -43,26 +43,29 @@ def words_of(text: str | None) -> list[str]:
 
 def choose_terms(texts: list[str], y: np.ndarray) -> list[str]:
     """Terms that toxic examples use RATIO times as readily. A term counts once for each word that follows it, so copies don't add up."""
-    seen: dict[str, set] = defaultdict(set)
-    other: dict[str, set] = {}
-    totals = [0, 0]
-    for own in (1, 0):  # of the other class, only terms that could be chosen are held
-        for text, label in zip(texts, y.tolist(), strict=True):
-            if label == own:
-                words = words_of(text)
-                for a, b in zip(words, [*words[1:], ""], strict=False):
-                    for t in word_terms(a):
-                        totals[own] += 1
-                        if own:
-                            seen[t].add(b)
-                        elif t in other:
-                            other[t].add(b)
-        if own:
-            seen = {t: s for t, s in seen.items() if len(s) >= SUPPORT}
-            other = {t: set() for t in seen}
+    of = [[t for t, label in zip(texts, y.tolist(), strict=True) if label == own] for own in (0, 1)]
+    often = Counter()
+    for text in of[1]:
+        for w, n in Counter(words_of(text)).items():
+            for t in word_terms(w):
+                often[t] += n
+    # sets are held for terms that could be chosen, and for no others
+    kept = {t for t, n in often.items() if n >= SUPPORT}
+    totals = [sum(len(word_terms(w)) for text in of[0] for w in words_of(text)), often.total()]
+    del often
+    seen, other = {t: set() for t in kept}, {t: set() for t in kept}
+    for into, own in ((seen, of[1]), (other, of[0])):
+        for text in own:
+            words = words_of(text)
+            for a, b in zip(words, [*words[1:], ""], strict=False):
+                for t in word_terms(a):
+                    if t in kept:
+                        into[t].add(b)
     odds = {}
     for t, nexts in seen.items():
         n, m = len(nexts), len(other[t])
+        if n < SUPPORT:
+            continue
         ratio = n / max(1, totals[1]) / ((m + 0.5) / max(1, totals[0]))
         share = totals[1] / max(1, sum(totals))
         sure = 2 * (n * np.log(n / ((n + m) * share)) + (m * np.log(m / ((n + m) * (1 - share))) if m and share < 1 else 0))
