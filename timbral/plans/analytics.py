@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timbral.functions import labels, signals
-from timbral.operators import corpus, profile
+from timbral.functions import labels, signals, strategy
+from timbral.operators import checks, corpus, profile, speech
 from timbral.plans.augmentation import FILE_SPLIT, NAMES
 from timbral.plans.registry import query
 from timbral.sources.adapters import CLIPS_SQL, WAVES_SQL, clips, table, waves
@@ -215,3 +215,60 @@ def bank_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = w.agg(F.count("*").alias("n"), F.count_if(F.size("x") != 64).alias("bad_size"), F.round(F.min("norm"), 6).alias("min_norm"), F.round(F.max("norm"), 6).alias("max_norm"))
     values = w.select(F.explode("x").alias("v")).agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("std"), F.count_if(F.isnan("v")).alias("n_nan"))
     return sizes.join(F.broadcast(values))
+
+
+# --- checks, splits and evaluation --------------------------------------------------------------
+
+
+@query("""with d(dist, p) as (values ('types', 0.6::double), ('types', 0.3), ('types', 0.1), ('noises', 0.5), ('noises', 0.3), ('noises', 0.2), ('rooms', 0.3), ('rooms', 0.5), ('rooms', 0.2), ('snr', 0.1), ('snr', 0.8), ('snr', 0.1))
+ select dist, round(sum(p), 6) as total, abs(sum(p) - 1) < 0.01 as valid from d group by dist""")
+def share_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = {"types": strategy.TYPE_MIX.values(), "noises": strategy.NOISE_MIX.values(), "rooms": strategy.ROOM_MIX.values(), "snr": [p for *_, p in strategy.SNR_RANGES]}
+    return checks.shares(spark.createDataFrame([(k, float(p)) for k, ps in named.items() for p in ps], "dist string, p double"))
+
+
+@query("""with r as (select doc_id, row_number() over (order by md5(concat_ws('|', '42', doc_id::varchar))) - 1 as rank, count(*) over () as n from documents), c as (select *, trunc(n * 0.1::double)::bigint as n_test from r)
+ select doc_id, case when rank < n_test then 'test' when rank < n_test + trunc((n - n_test) * (0.1::double / (1 - 0.1::double)))::bigint then 'val' else 'train' end as split from c""")
+def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return speech.random_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+@query(f"with {PEOPLE_SQL} select gender, count(distinct speaker_id) as speakers from people group by gender")
+def gender_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return people(spark, sf_dir).select("gender", "speaker_id").distinct().groupBy("gender").agg(F.count("*").alias("speakers"))
+
+
+@query(f"with {PEOPLE_SQL}, {NAMES} select country, min(filename) as first_file from (select n.filename, p.country from names n join people p using (clip_id)) group by country")
+def first_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.file_names(people(spark, sf_dir)).groupBy("country").agg(F.min("filename").alias("first_file"))
+
+
+@query("select lang, round(avg(case when n_chars between 500 and 5000 then n_chars end), 6) as mean_quality, count(*) filter (n_chars not between 500 and 5000) as failed from documents group by lang")
+def evaluation_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean without failures; null where all failed."""
+    ok = F.col("n_chars").between(500, 5000)
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.round(F.avg(F.when(ok, F.col("n_chars"))), 6).alias("mean_quality"), F.count_if(~ok).alias("failed"))
+
+
+@query("select 'event_type' as name, count(event_type) as n, count(*) - count(event_type) as nulls, count(distinct event_type) as distinct_values from events union all select 'user_id', count(user_id), count(*) - count(user_id), count(distinct user_id) from events union all select 'value', count(value), count(*) - count(value), count(distinct value) from events")
+def auto_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    names = ("event_type", "user_id", "value")
+    row = e.agg(*[F.struct(F.lit(c).alias("name"), F.count(c).alias("n"), (F.count("*") - F.count(c)).alias("nulls"), F.countDistinct(c).alias("distinct_values")).alias(c) for c in names])
+    return row.select(F.explode(F.array(*names)).alias("p")).select("p.*")
+
+
+@query(f"""with {CLIPS_SQL}, {NAMES}, {FILE_SPLIT}, f as (select n.speaker_id, fs.split, n.filename, n.file_type from names n join file_splits fs using (clip_id)), m as (select speaker_id, count(distinct split) as k from f group by 1),
+ pairs as (select sum(k * (k - 1) / 2)::bigint as n from m) select 'independence' as "check", coalesce(n, 0) = 0 as passed, coalesce(n, 0)::bigint as detail from pairs
+ union all select 'classes', count(*) filter (k < 2) = 0, count(*) filter (k < 2)::bigint from (select split, count(distinct file_type) as k from f group by 1)
+ union all select 'names', count(*) filter (not ok) = 0, count(*) filter (not ok)::bigint from (select len(string_split(replace(filename, '.wav', ''), '_')) >= case when file_type = 'bonafide' then 3 else 4 end as ok from f)""")
+def verify_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = clips(spark, sf_dir)
+    return checks.verify(corpus.file_names(c).join(corpus.split_files(c).select("clip_id", "split"), "clip_id"))
+
+
+@query(None)
+def bank_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL has no eigenvectors; tests hold the components to numpy's."""
+    p = speech.project(waves(spark, sf_dir), "wave_id", "x")
+    return p.select("wave_id", *[F.round(F.col("projection")[i], 6).alias(f"axis{i}") for i in (0, 1)])
