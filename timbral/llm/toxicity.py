@@ -75,7 +75,7 @@ def choose_terms(texts: list[str], y: np.ndarray) -> list[str]:
 
 
 class Terms:
-    """Term ids of words, remembered by word. A text with chosen terms also has one, after the last, for all its other words: it tells a few in a long text from many in a short one."""
+    """Term ids of words, remembered by word: a word has the shortest beginning that was chosen, else itself. A text with chosen terms also has one, after the last, for all its other words: it tells a few in a long text from many in a short one."""
 
     def __init__(self, terms: list[str]) -> None:
         self.ids = {t: i for i, t in enumerate(terms)}
@@ -89,7 +89,8 @@ class Terms:
         for w, n in Counter(words_of(text)).items():
             got = memo.get(w)
             if got is None:
-                got = memo[w] = tuple(ids[t] for t in word_terms(w) if t in ids)
+                known = [ids[t] for t in (*word_terms(w)[1:], w) if t in ids]
+                got = memo[w] = tuple(known[:1])
             rest += 0 if got else n
             for t in got:
                 out[t] += n
