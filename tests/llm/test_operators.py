@@ -90,7 +90,7 @@ def test_chat_round_trip(spark):
 
 
 def brute_print(t):
-    w = low(t).split() if False else re.findall(r"[^\x20\x09-\x0D]+", low(t))
+    w = words(low(t))
     s = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
     h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
