@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 from timbral.functions import factors, labels
 from timbral.functions.draws import choose, draw, shuffle_key
 
+# Cumulative shares of types, rooms and noises; the chance of each raw-waveform operation, in order;
+# ranges of SNR in dB with cumulative shares; the codec's chances and ranges.
 TYPES = [("rir", 0.6), ("codec", 0.9), ("rawboost", 1.0)]
 ROOMS = [("smallroom", 0.3), ("mediumroom", 0.8), ("largeroom", 1.0)]
 NOISES = [("noise", 0.5), ("speech", 0.8), ("music", 1.0)]
 STAGES = [("linear_filter", 0.5), ("nonlinear_distortion", 0.3), ("additive_noise", 0.6), ("gain_variation", 0.4), ("clipping", 0.2)]
+SNR = [(0.0, 5.0, 0.1), (5.0, 30.0, 0.9), (30.0, 35.0, 1.0)]
+CODEC = {"rates": (8000, 16000), "loss": 0.5, "loss_range": (0.01, 0.05), "bandpass": 0.7, "quantise": 0.3, "bits": (8, 12)}
+
+#: Clips that are numbered as one group; a speaker with more has several.
+NUMBERED_CLIPS = 100_000
 
 
 def class_counts(clips: DataFrame, *by: str) -> DataFrame:
@@ -73,19 +80,21 @@ def fan_out(clips: DataFrame, by_class: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def snr(u: Column, v: Column) -> Column:
-    """A mixture of uniforms: 0-5 dB one in ten, 5-30 eight, 30-35 one."""
-    return F.when(u < 0.1, v * 5.0).when(u < 0.9, F.lit(5.0) + v * 25.0).otherwise(F.lit(30.0) + v * 5.0)
+    """A mixture of uniforms: u chooses the range, v the place in it."""
+    place = [F.lit(low) + v * F.lit(high - low) for low, high, _ in SNR]
+    return F.when(u < SNR[0][2], place[0]).when(u < SNR[1][2], place[1]).otherwise(place[2])
 
 
 def parameters(rows: DataFrame, seed: int = 42) -> DataFrame:
     """Every choice of an augmented row: room, noise and SNR; rate, loss, band and bits; operations."""
     d = lambda p: draw(p, "clip_id", "copy", seed=seed)
-    bits = F.when(d("q") < 0.3, F.when(d("bits") < 0.5, 8).otherwise(12)).otherwise(0)
-    loss = F.when(d("l") < 0.5, F.lit(0.01) + d("loss") * 0.04).otherwise(F.lit(0.0))
+    bits = F.when(d("q") < CODEC["quantise"], F.when(d("bits") < 0.5, CODEC["bits"][0]).otherwise(CODEC["bits"][1])).otherwise(0)
+    low, high = CODEC["loss_range"]
+    loss = F.when(d("l") < CODEC["loss"], F.lit(low) + d("loss") * F.lit(round(high - low, 9))).otherwise(F.lit(0.0))
     ops = F.filter(F.array(*[F.when(d(o) < p, F.lit(o)) for o, p in STAGES]), lambda o: o.isNotNull())
     return (
         rows.withColumn("room", choose(d("room"), ROOMS)).withColumn("noise", choose(d("noise"), NOISES)).withColumn("snr_db", snr(d("snr"), d("snr_in")))
-        .withColumn("rate", F.when(d("rate") < 0.5, 8000).otherwise(16000)).withColumn("loss", loss).withColumn("bandpass", d("band") < 0.7).withColumn("bits", bits)
+        .withColumn("rate", F.when(d("rate") < 0.5, CODEC["rates"][0]).otherwise(CODEC["rates"][1])).withColumn("loss", loss).withColumn("bandpass", d("band") < CODEC["bandpass"]).withColumn("bits", bits)
         .withColumn("operations", ops)
     )
 
@@ -104,15 +113,17 @@ def system_ids(rows: DataFrame) -> DataFrame:
 def number(rows: DataFrame) -> DataFrame:
     """rows with `audio_id`: per split, bonafide before spoof, by speaker, clip and copy, from 1.
 
-    Groups of one split, class and speaker are numbered apart and offset by the counts of the groups before.
+    Groups of one split, class, speaker and block of clip ids are numbered apart and offset by the counts
+    of the groups before, so a speaker that has a third of all rows is many groups.
     """
-    group = ["split", "file_type", "speaker_id"]
+    group = ["split", "file_type", "speaker_id", "_block"]
+    rows = rows.withColumn("_block", F.floor(F.col("clip_id") / NUMBERED_CLIPS))
     sizes = rows.groupBy(*group).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("split").orderBy("file_type", "speaker_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("split").orderBy("file_type", "speaker_id", "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     ix = F.row_number().over(Window.partitionBy(*group).orderBy("clip_id", "copy")) + F.col("_offset")
     prefix = labels.lookup(labels.SPLIT_PREFIX, F.col("split"), "LA_U")
-    return rows.join(offsets, group).withColumn("audio_id", labels.audio_id(prefix, ix)).drop("_offset")
+    return rows.join(offsets, group).withColumn("audio_id", labels.audio_id(prefix, ix)).drop("_offset", "_block")
 
 
 def protocol(rows: DataFrame) -> DataFrame:

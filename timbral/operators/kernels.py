@@ -16,17 +16,21 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch: a clip of four seconds is 64,000 floats.
 WAVE_ROWS = 64
 
+# Levels in dB and peaks, the telephone band in Hz and its order, a packet in seconds, and ranges of the raw-waveform operations.
+LEVEL_DB, PEAK, BAND, ORDER, PACKET = -20.0, 0.99, (300.0, 3400.0), 4, 0.02
+TAPS, ALPHA, NOISE_LEVEL, GAIN, CLIP = (5, 25), (0.1, 0.5), (0.001, 0.01), (0.7, 1.3), 0.9
+
 
 def rms(x: np.ndarray) -> float:
     return float(np.sqrt(np.mean(x**2))) if len(x) else 0.0
 
 
-def normalise(x: np.ndarray, db: float = -20.0) -> np.ndarray:
+def normalise(x: np.ndarray, db: float = LEVEL_DB) -> np.ndarray:
     r = rms(x)
     return x * (10 ** (db / 20) / r) if r > 0 else x
 
 
-def to_peak(x: np.ndarray, to: float = 0.99) -> np.ndarray:
+def to_peak(x: np.ndarray, to: float = PEAK) -> np.ndarray:
     p = np.abs(x).max(initial=0.0)
     return x * (to / p) if p > 0 else x
 
@@ -65,7 +69,7 @@ def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
     return np.fft.irfft(out, n) * (n / len(x))
 
 
-def bandpass(x: np.ndarray, rate: int, low: float = 300.0, high: float = 3400.0, order: int = 4) -> np.ndarray:
+def bandpass(x: np.ndarray, rate: int, low: float = BAND[0], high: float = BAND[1], order: int = ORDER) -> np.ndarray:
     """Butterworth, forwards and backwards: the squared magnitude of the bilinear design, no phase. Ends are extended oddly."""
     high = min(high, 0.99 * rate / 2)
     pad = min(len(x) - 1, rate // 10)
@@ -85,7 +89,7 @@ def quantise(x: np.ndarray, bits: int) -> np.ndarray:
 
 
 def drop_packets(x: np.ndarray, rate: int, lost: float, rng: np.random.Generator) -> np.ndarray:
-    size = int(rate * 0.02)
+    size = int(rate * PACKET)
     full = len(x) // size if size else 0
     y = x.copy()
     y[: full * size].reshape(full, size)[rng.random(full) < lost] = 0
@@ -109,18 +113,18 @@ def rawboost(x: np.ndarray, operations: list[str], rng: np.random.Generator) ->
     """The operations in their fixed order, each with draws of its own."""
     y = x
     if "linear_filter" in operations:
-        taps = rng.standard_normal(int(rng.integers(5, 26)))
+        taps = rng.standard_normal(int(rng.integers(TAPS[0], TAPS[1] + 1)))
         y = np.convolve(y, taps / np.abs(taps).sum())[: len(y)]
     if "nonlinear_distortion" in operations:
-        y = to_peak(np.tanh(y * rng.uniform(0.1, 0.5)))
+        y = to_peak(np.tanh(y * rng.uniform(*ALPHA)))
     if "additive_noise" in operations:
-        level, n = rng.uniform(0.001, 0.01), rng.standard_normal(len(y))
+        level, n = rng.uniform(*NOISE_LEVEL), rng.standard_normal(len(y))
         y = y + y * n * level + rng.standard_normal(len(y)) * level * 0.5
     if "gain_variation" in operations:
-        y = y * rng.uniform(0.7, 1.3)
+        y = y * rng.uniform(*GAIN)
     if "clipping" in operations:
-        y = np.clip(y, -0.9, 0.9)
-    return np.clip(normalise(y), -0.99, 0.99)
+        y = np.clip(y, -CLIP, CLIP)
+    return np.clip(normalise(y), -PEAK, PEAK)
 
 
 def generator(*keys: object) -> np.random.Generator:
