@@ -16,8 +16,9 @@ from timbral.llm.common import cut
 
 SPACE = r"[\\x20\\t-\\r]"
 SPREAD = 3
-#: Thousandths that a measure may exceed the fence by; a measure that is mostly zero has no spread of its own.
-SLACK = {"repeat_share": 60, "symbol_share": 60, "dup_line_share": 150}
+#: Thousandths that a measure may exceed the fence by: a measure that is mostly zero has no spread of its own, and a line or two
+#: repeated in a short text is no fault.
+SLACK = {"repeat_share": 150, "symbol_share": 60, "dup_line_share": 400}
 MEASURES = tuple(SLACK)
 
 
