@@ -67,17 +67,17 @@ def windows(conversations: DataFrame) -> DataFrame:
         .withColumn("stop", F.sum("tokens").over(upto)).withColumn("place", F.row_number().over(line) - 1)
         .withColumn("begin", F.col("stop") - F.col("tokens"))
         .withColumn("cell", F.expr(f"2 * (begin div {BUDGET}) + IF(begin div {BUDGET} = (stop - 1) div {BUDGET}, 0, 1)"))
-        .withColumn("first", F.coalesce(F.lag("cell").over(line) != F.col("cell"), F.lit(True)))
+        .withColumn("first", F.coalesce(F.lag("cell").over(line) != F.col("cell"), F.lit(True))).withColumn("window", F.sum(F.col("first").cast("int")).over(upto).cast("int") - 1)
     )
-    piece = F.struct("place", "role", "lead", "body", "tail", "begin", "first")
-    all_turns = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("turns"))
-    starts = all_turns.withColumn("starts", F.expr("transform(filter(turns, t -> t.first), t -> t.place)"))
-    each = starts.select("conv_id", "turns", "starts", F.posexplode("starts").alias("window", "at")).withColumn("new", F.expr("coalesce(get(starts, window + 1), size(turns)) - at"))
-    history = f"filter(slice(turns, greatest(at - {HISTORY}, 0) + 1, least(at, {HISTORY})), t -> turns[at].begin - t.begin <= {HISTORY_TOKENS})"
-    system = "filter(slice(turns, 1, 1), t -> t.role = 'system' AND at > 0 AND NOT exists(history, h -> h.place = 0))"
+    piece = F.struct("place", "role", "lead", "body", "tail", "begin")
+    # what a window repeats is read at its first turn, so no row holds more than HISTORY + 1 other turns
+    turns = turns.withColumn("opening", F.first(F.when(F.col("role") == "system", piece)).over(upto)).withColumn("before", F.array(*[F.lag(piece, k).over(line) for k in range(HISTORY, 0, -1)]))
+    history = f"filter(before, t -> t IS NOT NULL AND begin - t.begin <= {HISTORY_TOKENS})"
+    system = f"filter(array(opening), t -> t IS NOT NULL AND place > 0 AND NOT exists({history}, h -> h.place = 0))"
+    marked = turns.select("conv_id", "window", piece.alias("piece"), F.expr(f"CASE WHEN first THEN concat({system}, {history}) END").alias("context"))
     built = (
-        each.withColumn("history", F.expr(history)).withColumn("context", F.expr(f"concat({system}, history)"))
-        .withColumn("pieces", F.expr("concat(context, slice(turns, at + 1, new))")).withColumn("n_context", F.size("context").cast("long"))
+        marked.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list("piece")).alias("new"), F.flatten(F.collect_list("context")).alias("context"))
+        .withColumn("pieces", F.concat("context", "new")).withColumn("n_context", F.size("context").cast("long"))
         .withColumn("ends", F.expr("aggregate(pieces, array(0), (a, p) -> concat(a, array(element_at(a, -1) + length(p.lead) + length(p.body) + length(p.tail))))"))
         .withColumn("loss", F.expr("""transform(filter(sequence(0, size(pieces) - 1), i -> i >= n_context AND pieces[i].role = 'assistant'),
             i -> struct(ends[i] + length(pieces[i].lead) AS start, ends[i] + length(pieces[i].lead) + length(pieces[i].body) AS stop))"""))
