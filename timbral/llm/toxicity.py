@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timbral.llm.common import cut as cut_lineage
 from timbral.llm.common import map_arrow
 from timbral.llm.labelled import fold, sample
 
@@ -30,6 +31,8 @@ SUPPORT, RATIO, NEIGHBOURS, BLOCK, CUT = 4, 6.0, 15, 32, 0.5
 SURE = 24.0
 #: Distinct words whose terms a worker keeps.
 MEMO_WORDS = 400_000
+#: Pairs of a term and a word that a worker counts before it hands them on.
+HELD = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -41,33 +44,50 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def choose_terms(texts: list[str], y: np.ndarray) -> list[str]:
-    """Terms that toxic examples use RATIO times as readily. A term counts once for each word that follows it, so copies don't add up."""
-    of = [[t for t, label in zip(texts, y.tolist(), strict=True) if label == own] for own in (0, 1)]
-    often = Counter()
-    for text in of[1]:
-        for w, n in Counter(words_of(text)).items():
-            for t in word_terms(w):
-                often[t] += n
-    # sets are held for terms that could be chosen, and for no others
-    kept = {t for t, n in often.items() if n >= SUPPORT}
-    totals = [sum(len(word_terms(w)) for text in of[0] for w in words_of(text)), often.total()]
-    del often
-    seen, other = {t: set() for t in kept}, {t: set() for t in kept}
-    for into, own in ((seen, of[1]), (other, of[0])):
-        for text in own:
-            words = words_of(text)
-            for a, b in zip(words, [*words[1:], ""], strict=False):
-                for t in word_terms(a):
-                    if t in kept:
-                        into[t].add(b)
+def _uses(kept: set[str] | None):
+    """(text) -> (term, next, n): how often a word with the term is followed by a word; the row of term '' counts all. Only kept terms, if there are such."""
+
+    def flush(seen: Counter) -> pa.RecordBatch:
+        terms, nexts = zip(*seen, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(nexts, pa.string()), pa.array(seen.values(), pa.int64())], ["term", "next", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                words = words_of(text)
+                for (a, after), n in Counter(zip(words, [*words[1:], ""], strict=False)).items():
+                    terms = word_terms(a)
+                    seen["", ""] += n * len(terms)
+                    for t in terms:
+                        if kept is None or t in kept:
+                            seen[t, after] += n
+                if len(seen) > HELD:
+                    yield flush(seen)
+                    seen = Counter()
+        if seen:
+            yield flush(seen)
+
+    return run
+
+
+def _followed(texts: DataFrame, kept: set[str] | None, least: int) -> tuple[dict[str, int], int]:
+    """Different words that follow each term, if there are `least` of them, and how often any term is used."""
+    used = map_arrow(texts, _uses(kept), "term string, next string, n long").groupBy("term").agg(F.count_distinct("next").alias("nexts"), F.sum("n").alias("n"))
+    rows = used.filter((F.col("nexts") >= least) | (F.col("term") == "")).toArrow()
+    total = sum(n for t, n in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), strict=True) if t == "")
+    return {t: n for t, n in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True) if t}, total
+
+
+def choose_terms(examples: DataFrame) -> list[str]:
+    """Terms that toxic examples (y is 1) use RATIO times as readily. A term counts once for each word that follows it, so copies don't add up."""
+    seen, toxic = _followed(examples.filter("y = 1").select("text"), None, SUPPORT)
+    other, clean = _followed(examples.filter("y = 0").select("text"), set(seen), 1)
     odds = {}
-    for t, nexts in seen.items():
-        n, m = len(nexts), len(other[t])
-        if n < SUPPORT:
-            continue
-        ratio = n / max(1, totals[1]) / ((m + 0.5) / max(1, totals[0]))
-        share = totals[1] / max(1, sum(totals))
+    for t, n in seen.items():
+        m = other.get(t, 0)
+        ratio = n / max(1, toxic) / ((m + 0.5) / max(1, clean))
+        share = toxic / max(1, toxic + clean)
         sure = 2 * (n * np.log(n / ((n + m) * share)) + (m * np.log(m / ((n + m) * (1 - share))) if m and share < 1 else 0))
         if ratio >= RATIO and sure >= SURE:
             odds[t] = sure
@@ -162,10 +182,17 @@ class Index:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = EXAMPLES) -> Index:
-    """No labelled rows at all give an index that scores every text alike."""
-    rows = sample(docs, labels, label, most).toArrow().sort_by("doc_id")
-    texts, y = rows.column("text").to_pylist(), rows.column("y").to_numpy().astype(int)
-    terms = choose_terms(texts, np.minimum(y, 1))
+    """No labelled rows at all give an index that scores every text alike. Examples' terms come to the driver, not their texts."""
+    examples = cut_lineage(sample(docs, labels, label, most).withColumn("y", F.least("y", F.lit(1))))
+    terms = choose_terms(examples)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Terms(terms)
+        for b in batches:
+            got = [own.counts(t) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([list(c) for c in got], pa.list_(pa.int64())), pa.array([list(c.values()) for c in got], pa.list_(pa.int64()))], ["doc_id", "y", "h", "ids", "n"])
+
+    rows = map_arrow(examples.select("doc_id", "y", F.xxhash64("text").alias("h"), "text"), vectors, "doc_id long, y int, h long, ids array<long>, n array<long>").toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen, n = Terms(terms), np.zeros(len(terms) + 1, np.int64), 0
@@ -183,8 +210,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     df = np.zeros(len(terms) + 1)
     df[list(found)] = list(found.values())
     df[-1] = n  # what every text has
-    own = Terms(terms)
-    return Index(terms, np.log((1 + n) / (1 + df)) + 1, [own.counts(t) for t in texts], np.minimum(y, 1), rows.column("doc_id").to_pylist())
+    counts = [Counter(dict(zip(i, c, strict=True))) for i, c in zip(rows.column("ids").to_pylist(), rows.column("n").to_pylist(), strict=True)]
+    return Index(terms, np.log((1 + n) / (1 + df)) + 1, counts, rows.column("y").to_numpy().astype(int), rows.column("doc_id").to_pylist())
 
 
 def _scored(docs: DataFrame, index: Index, columns: list[str], add, schema: str) -> DataFrame:  # noqa: ANN001
