@@ -37,7 +37,13 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,}+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[^0-9]+")
-TRIGGER = re.compile(r"[0-9]{3}|@|[(\[](?:at|AT)[)\]]|(?<= )(?:at|AT) [A-Za-z0-9-]+ (?:dot|DOT) ")
+TRIGGER = re.compile(r"[0-9]{3}|@|[(\[](?:at|dot)[)\]]|(?<= )at [A-Za-z0-9-]+ dot ", re.I)
+#: Chunks that a region goes on over: of digits and separators, or a mark and the chunk beyond it.
+NUMERIC = re.compile(r"[0-9().+/,;:-]+")
+MARK = re.compile(r"@|dot|[(\[](?:at|dot)[)\]]", re.I)
+MARK_BEFORE = re.compile(MARK.pattern + "|at", re.I)
+CHUNK_AFTER = re.compile(r"[ \t]{1,3}([^\s]{1,64})(?!\S)")
+CHUNK_BEFORE = re.compile(r"(?<!\S)([^\s]{1,64})[ \t]{1,3}\Z")
 #: Characters around a trigger that its region takes in, up to white space.
 REACH = 48
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^0-9A-Za-z]")
@@ -81,6 +87,8 @@ FEATURES = (
     "groups2-3", "groups4", "groups>4", "dots only", "dash or blank only", "octets", "blank edge", "mark edge", "alnum before", "alnum after", "digit unit cut", "cue", "odd mark",
 )
 AT = re.compile(r"@|[(\[]at[)\]]| at ", re.I)
+DOT_ON = re.compile(r" (?:dot|[(\[]dot[)\]]) ", re.I)
+DOT_LAST = re.compile(r" (?:dot|[(\[]dot[)\]])\Z", re.I)
 DOT = re.compile(r"\.|[(\[]dot[)\]]| dot ", re.I)
 
 
@@ -105,7 +113,7 @@ def span_features(text: str, start: int, end: int, cue: int) -> np.ndarray:
     x[19] = g == 4 and marks == {"."} and all(int(q) <= 255 for q in groups if len(q) < 4) and max(map(len, groups)) < 4
     x[20], x[21] = s[0].isspace() or s[-1].isspace(), (not s[0].isalnum() and s[0] not in "+(") or not s[-1].isalnum()
     x[22], x[23] = before.isalnum(), after.isalnum()
-    x[24] = (before in {".", "-", "+", "@"} and before != "") or (after in {"@", "-"} and after != "")
+    x[24] = (before in {".", "-", "+", "@"} and before != "") or (after in {"@", "-"} and after != "") or bool(DOT_ON.match(text, end) or DOT_LAST.search(s))
     x[25], x[26] = cue >= 0, bool(marks - set(" .-+()@[]_%"))
     return x
 
@@ -194,8 +202,27 @@ def invented_lines(seed: int = 7) -> Iterator[tuple[str, list[tuple[str, int, in
         yield text, spans
 
 
+def grown(text: str, s: int, e: int, mail: bool) -> tuple[int, int]:
+    """A region taken on over the chunks beside it that its entity may go on in, MAX_TOKENS tokens each way at most."""
+    last = text[max(text.rfind(" ", s, e) + 1, s) : e]
+    beyond, left = mail and bool(MARK.fullmatch(last)), MAX_TOKENS
+    while (m := CHUNK_AFTER.match(text, e)) and (beyond or (MARK if mail else NUMERIC).fullmatch(m[1])):
+        left -= len(TOKEN.findall(m[0]))
+        if left < 0:
+            break
+        e, beyond = m.end(), mail and bool(MARK.fullmatch(m[1]))
+    first = text[s : e if (at := text.find(" ", s, e)) < 0 else at]
+    beyond, left = mail and bool(MARK_BEFORE.fullmatch(first)), MAX_TOKENS
+    while (m := CHUNK_BEFORE.search(text[max(0, s - 68) : s])) and (beyond or (MARK_BEFORE if mail else NUMERIC).fullmatch(m[1])):
+        left -= len(TOKEN.findall(m[0]))
+        if left < 0:
+            break
+        s, beyond = s - len(m[0]), mail and bool(MARK_BEFORE.fullmatch(m[1]))
+    return s, e
+
+
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches that may hold an entity: what surrounds a trigger up to white space, those a few characters apart together."""
+    """Stretches that may hold an entity: what surrounds a trigger up to white space and what it goes on in, those a few characters apart together."""
     a = b = None
     for m in TRIGGER.finditer(text):
         s, e = m.span()
@@ -205,11 +232,12 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
         while s > low and not text[s - 1].isspace():
             s -= 1
         if m[0][-1] == " " or m[0][0] in "([" or text[s : m.start()] == "":  # a name may stand before "at"
-            s = max(low, text.rfind(" ", max(0, s - REACH), max(0, s - 1)) + 1) if m[0][:2] in ("at", "AT", "(a", "(A", "[a", "[A") else s
+            s = max(low, text.rfind(" ", max(0, s - REACH), max(0, s - 1)) + 1) if m[0][:2].lower() in ("at", "(a", "[a") else s
         while e < high and not text[e].isspace():
             e += 1
+        s, e = grown(text, s, e, not m[0].isdigit())
         if b is not None and s - b <= 2:
-            b = e
+            b = max(b, e)
             continue
         if b is not None:
             yield a, b
