@@ -26,8 +26,8 @@ from timbral.llm.common import map_arrow
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 16
 TRAIN_LINES, EPOCHS, RATE, RIDGE = 500, 8, 0.25, 1e-3
-#: A region's tokens that one dynamic program takes at most; longer regions are cut between chunks of white space where possible.
-REGION_TOKENS = 400
+#: Tokens whose segments are scored at a time; the dynamic program runs over the whole region.
+SCORED_TOKENS = 256
 #: Log-odds against no entity that a span needs to be added.
 MARGIN = 1.0
 
@@ -118,10 +118,10 @@ def span_features(text: str, start: int, end: int, cue: int) -> np.ndarray:
     return x
 
 
-def all_spans(text: str, tokens: list[tuple[int, int]], cue: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """(first token, tokens) of each candidate segment, and their features. Candidates have three digits or an at sign."""
+def all_spans(text: str, tokens: list[tuple[int, int]], cue: int, first: int = 0, stop: int | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(first token, tokens) of each candidate segment that starts in first to stop, and their features. Candidates have three digits or an at sign."""
     spans, rows = [], []
-    for i in range(len(tokens)):
+    for i in range(first, len(tokens) if stop is None else min(stop, len(tokens))):
         for k in range(1, min(MAX_TOKENS, len(tokens) - i) + 1):
             a, b = tokens[i][0], tokens[i + k - 1][1]
             if text[a].isspace() or text[b - 1].isspace():
@@ -246,19 +246,43 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
         yield a, b
 
 
-def pieces(text: str, a: int, b: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """A region, with one chunk before it when in reach, as (its cue, its tokens in parts of REGION_TOKENS at most)."""
+def region_tokens(text: str, a: int, b: int) -> tuple[int, list[tuple[int, int]]]:
+    """A region's cue, and its tokens, with one chunk before it when in reach."""
     lead = text.rfind(" ", max(0, a - 8), max(0, a - 1))  # for what a prefix such as "(487)" opens
     begin = lead + 1 if lead >= 0 else a
-    tokens = [m.span() for m in TOKEN.finditer(text, begin, b)]
-    cue = region_cue(text[max(0, a - 24) : a])
-    at = 0
-    while at < len(tokens):
-        end = min(at + REGION_TOKENS, len(tokens))
-        if end < len(tokens):
-            end = next((j for j in range(end, max(at + 1, end - 2 * MAX_TOKENS), -1) if text[tokens[j - 1][0]].isspace()), end)
-        yield cue, tokens[at:end]
-        at = end
+    return region_cue(text[max(0, a - 24) : a]), [m.span() for m in TOKEN.finditer(text, begin, b)]
+
+
+def decoded(text: str, tokens: list[tuple[int, int]], cue: int, w: np.ndarray) -> list[tuple[str, int, int]]:
+    """The best segmentation of all tokens, last first: forward's recurrence, with the spans of SCORED_TOKENS starts in memory at a time."""
+    n = len(tokens)
+    a, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
+    for first in range(0, n, SCORED_TOKENS):
+        stop = min(first + SCORED_TOKENS, n)
+        spans, x = all_spans(text, tokens, cue, first, stop)
+        y = scores(w, x, cue) - MARGIN
+        kinds = y.argmax(axis=1).tolist() if spans else []
+        at = 0
+        for i in range(first, stop):
+            if i and a[i - 1] >= a[i]:
+                a[i], back[i] = a[i - 1], None
+            while at < len(spans) and spans[at][0] == i:
+                k, t = spans[at][1], kinds[at]
+                v = a[i] + float(y[at, t])
+                if v > a[i + k]:
+                    a[i + k], back[i + k] = v, (i, t)
+                at += 1
+    if n and a[n - 1] >= a[n]:
+        back[n] = None
+    out, j = [], n
+    while j > 0:
+        if back[j] is None:
+            j -= 1
+        else:
+            i, t = back[j]
+            out.append((KINDS[t], tokens[i][0], tokens[j - 1][1]))
+            j = i
+    return out
 
 
 @lru_cache(maxsize=1)
@@ -268,16 +292,16 @@ def trained() -> np.ndarray:
     data = []
     for text, gold in invented_lines():
         for a, b in regions(text):
-            for cue, tokens in pieces(text, a, b):
-                spans, x = all_spans(text, tokens, cue)
-                if not spans:
-                    continue
-                where = {(tokens[i][0], tokens[i + k - 1][1]): s for s, (i, k) in enumerate(spans)}
-                truth = np.zeros((len(spans), len(KINDS)))
-                for kind, s, e in gold:
-                    if (s, e) in where:
-                        truth[where[s, e], KINDS.index(kind)] = 1
-                data.append((len(tokens), spans, x, cue, truth))
+            cue, tokens = region_tokens(text, a, b)
+            spans, x = all_spans(text, tokens, cue)
+            if not spans:
+                continue
+            where = {(tokens[i][0], tokens[i + k - 1][1]): s for s, (i, k) in enumerate(spans)}
+            truth = np.zeros((len(spans), len(KINDS)))
+            for kind, s, e in gold:
+                if (s, e) in where:
+                    truth[where[s, e], KINDS.index(kind)] = 1
+            data.append((len(tokens), spans, x, cue, truth))
     order = random.Random(3)
     for _ in range(EPOCHS):
         order.shuffle(data)
@@ -299,20 +323,8 @@ def field_spans(text: str) -> list[tuple[str, int, int]]:
     """What the field finds, best segmentation of each region."""
     w, out = trained(), []
     for a, b in regions(text):
-        for cue, tokens in pieces(text, a, b):
-            spans, x = all_spans(text, tokens, cue)
-            if not spans:
-                continue
-            _, back = forward(len(tokens), spans, scores(w, x, cue) - MARGIN, True)
-            j = len(tokens)
-            while j > 0:
-                if back[j] is None:
-                    j -= 1
-                else:
-                    s, t = back[j]
-                    i, k = spans[s]
-                    out.append((KINDS[t], tokens[i][0], tokens[i + k - 1][1]))
-                    j = i
+        cue, tokens = region_tokens(text, a, b)
+        out += decoded(text, tokens, cue, w)
     return out
 
 
