@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -302,30 +304,90 @@ def test_forest_is_flat():
         assert np.isclose(f.scores(row[None])[0], 1 / (1 + np.exp(-total)))
 
 
-def test_toxicity(spark, edges):
+@pytest.mark.xfail(reason="sf0.01 has six held-out toxic documents, two of them in words that no other labelled one has: 4 are found", strict=False)
+def test_toxicity_of_few_examples(spark):
     c = held_out(spark, q.op6_toxicity, "toxic", 0.5)
     assert c[0, 0] / (c[0, 0] + c[0, 1]) > 0.97 and c[1, 1] / (c[1, 1] + c[1, 0]) > 0.8, c
+
+
+def test_toxicity(spark, edges):
+    c = held_out(spark, q.op6_toxicity, "toxic", 0.5, "sf0.1")
+    assert c[0, 0] / (c[0, 0] + c[0, 1]) > 0.99 and c[1, 1] / (c[1, 1] + c[1, 0]) > 0.9, c
     labels = spark.createDataFrame([(2, None), (5, 1), (7, 0), (None, 1)], "doc_id long, toxic int")
     for lab in (labels, labels.limit(0)):
         assert toxicity.score(edges, toxicity.learn(edges, lab)).count() == len(EDGES)
     assert toxicity.score(edges.limit(0), toxicity.learn(edges.limit(0), labels)).count() == 0
 
 
+def brute_toxicity(rows, labels, k=toxicity.NEIGHBOURS):
+    """rows: [(doc_id, text)], unique ids -> {doc_id: (score, evidence)}, every cosine computed."""
+    bags = {d: Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for d, t in rows}
+    texts = dict(rows)
+    best = {}
+    for d, y in labels:
+        if d in bags and y is not None and zlib.crc32(str(d).encode()) % 5:
+            best[d] = max(int(y), best.get(d, 0))
+    df = Counter(w for x in bags.values() for w in x)
+    once = {texts[d] or "": max(y for e, y in best.items() if texts[e] == texts[d]) for d in best}
+    n, toxic = Counter(), Counter()
+    for t, y in once.items():
+        own = set(re.findall(r"[^\W\d_]+", t.lower()))
+        n.update(own)
+        toxic.update(own if y else ())
+    rate = sum(once.values()) / len(once)
+    weight = {}
+    for t in n:
+        if 2 <= df[t] <= max(2, 0.1 * len(rows)):
+            e, other = n[t] * rate, n[t] - toxic[t]
+            g = 2 * ((toxic[t] * math.log(toxic[t] / e) if toxic[t] else 0) + (other * math.log(other / (n[t] - e)) if other else 0))
+            weight[t] = (math.log((1 + len(rows)) / (1 + df[t])) + 1) * (1 + 0.1 * (max(0, g - 3.84) if toxic[t] > e else 0))
+
+    def unit(bag):
+        v = {t: (1 + math.log(m)) * weight[t] for t, m in bag.items() if t in weight}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    examples = {d: unit(bags[d]) for d in sorted(best)}
+    prior = (sum(best.values()) + 0.5) / (len(best) + 1)
+    out = {}
+    for d, bag in bags.items():
+        own = unit(bag)
+        near = sorted((-round(sum(x * own.get(t, 0) for t, x in v.items()), 12), e) for e, v in examples.items())[:k]
+        votes = [(1 / (1.02 - min(-c, 1)), best[e], e) for c, e in near if c < 0]
+        out[d] = ((sum(v * y for v, y, _ in votes) + prior) / (sum(v for v, _, _ in votes) + 1), [e for _, _, e in votes][:5])
+    return out
+
+
+def test_toxicity_of_the_whole_query(spark):
+    """Scores and evidence of every row against cosines with every example; few documents have no neighbour."""
+    rows = [tuple(r) for r in docs(spark).select("doc_id", "text").collect()]
+    expected = brute_toxicity(rows, [tuple(r) for r in spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic").collect()])
+    got = q.op6_toxicity(spark, SF).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r.score - expected[r.doc_id][0]) < 1e-9 and list(r.evidence) == expected[r.doc_id][1]
+    assert sum(not r.evidence for r in got) < 0.02 * len(got)
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(4)
-    make = lambda: Counter({int(t): int(rng.integers(1, 6)) for t in rng.integers(0, 40, rng.integers(1, 8))})
+
+    def make():
+        ids = np.unique(rng.integers(0, 40, rng.integers(1, 8)))
+        return ids, rng.integers(1, 4, len(ids))
+
     vectors = [make() for _ in range(700)]
-    index = toxicity.Index([f"t{i}" for i in range(40)], rng.uniform(1, 5, 41), vectors, rng.integers(0, 2, 700), list(range(700)))
-    for _ in range(60):
-        query = make()
+    index = toxicity.Index({f"t{i}": i for i in range(40)}, rng.uniform(1, 5, 40), vectors, rng.integers(0, 2, 700), list(range(700)))
+    for query in [make() for _ in range(60)] + vectors[:10]:
         dense = np.zeros((701, 40))
         for i, v in enumerate([*vectors, query]):
-            ids, w = index.unit(v)
+            ids, w = index.unit(*v)
             dense[i, ids] = w
         cosines = np.round(dense[:700] @ dense[700], 12)
         expected = np.lexsort((np.arange(700), -cosines))[: toxicity.NEIGHBOURS]
         expected = expected[cosines[expected] > 0]
-        assert index.nearest(query)[0].tolist() == expected.tolist()
+        assert index.names[index.nearest(*query)[0]].tolist() == expected.tolist()
+    assert len(index.nearest(np.zeros(0, np.int64), np.zeros(0, np.int64))[0]) == 0
 
 
 # --- 7: BPE -------------------------------------------------------------------------------------
@@ -402,10 +464,31 @@ def test_rules(spark, edges):
 
 def test_sketches_merge(spark):
     m = rules.measures(docs(spark))
-    halves = rules.sketch(m.filter("doc_id % 2 = 0")).unionByName(rules.sketch(m.filter("doc_id % 2 = 1"))).groupBy("lang", "source", "measure", "bucket").agg(F.sum("n").alias("n"))
+    halves = rules.sketch(m.filter("n_words % 2 = 0")).unionByName(rules.sketch(m.filter("n_words % 2 = 1"))).groupBy("lang", "source", "measure", "bucket").agg(F.sum("n").alias("n"))
     assert Counter(map(tuple, halves.collect())) == Counter(map(tuple, rules.sketch(m).collect()))
 
 
+def test_thresholds_adapt(spark):
+    """Fences differ between groups, follow a group's own words, and decide: what is ordinary in one language is dropped in another."""
+    r = random.Random(2)
+    text = lambda k, n: " ".join("x" * max(1, round(r.gauss(k, 1))) + r.choice("abcdefgh") for _ in range(n))
+    rows = [(i, text(k, 120), lang, source, 1) for i, (k, lang, source) in enumerate([(4, "en", "a"), (4, "en", "b"), (9, "de", "a"), (10, "de", "b")] * 80)]
+    odd = [(1001, text(9, 120), "en", "a", 1), (1002, text(4, 120), "de", "a", 1), (1004, text(4, 120), "en", "thin", 1)]
+    df = spark.createDataFrame(rows + odd, DOCS)
+    kept = {x.doc_id: x.kept for x in rules.judge(df).collect()}
+    assert [kept[i] for i, *_ in odd] == [False, False, True]
+    assert sum(not kept[i] for i, *_ in rows) <= 3
+    fences = {(x.lang, x.source): (x.low_mean_word, x.high_mean_word) for x in rules.thresholds(rules.sketch(rules.measures(df))).collect()}
+    assert len(set(fences.values())) >= 4 and fences["de", "b"] > fences["de", "a"] > fences["en", "a"]
+
+
+def test_rules_by_labels(spark):
+    """On the fold that no figure was chosen on: nearly all good documents stay, most bad ones that pass the base go."""
+    judged = q.op9_quality_rules(spark, f"{TESTDATA}/sf0.1").filter("not base_failed and crc32(cast(cast(doc_id as string) as binary)) % 5 = 0")
+    c = Counter((x.quality, x.kept) for x in judged.join(spark.read.parquet(f"{TESTDATA}/sf0.1/labels.parquet"), "doc_id").collect())
+    assert c[1, True] / (c[1, True] + c[1, False]) > 0.99 and c[0, False] / (c[0, True] + c[0, False]) > 0.75, c
+
+
 # --- 10: decontamination ------------------------------------------------------------------------
 
 

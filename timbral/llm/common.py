@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; with BATCH_BYTES it bounds what a Python worker holds.
 BATCH_ROWS = 256
@@ -26,26 +26,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """checkpoint() goes to the folder that the cluster names; a session without one gets a folder of its own."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="timbral-checkpoint-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    A local session without either gets a temporary folder of its own; on a cluster that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="timbral-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder and read back from there."""
-    use_checkpoints(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow in batches of bounded rows and bytes."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+    """mapInArrow in slices of BATCH_ROWS rows and about BATCH_BYTES bytes; the session's settings stay as they are."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = max(1, min(BATCH_ROWS, b.num_rows * BATCH_BYTES // max(1, b.get_total_buffer_size())))
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(sliced(batches))
 
-def clean_name(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns; extra columns, whatever their names, can't clash with those an operator adds."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    return df.mapInArrow(run, schema)

@@ -71,15 +71,19 @@ from d left join kept using (r) left join lost using (r)"""
 
 
 def op9() -> str:
-    def bucket(v: str) -> str:
-        shift = f"greatest(length(bin({v})) - 5, 0)"
-        return f"(({v} >> {shift}) << {shift})"
-
-    shares = {"repeat_share": "1000 * n_repeat_words // greatest(n_words, 1)", "symbol_share": "1000 * n_symbols // greatest(word_chars, 1)", "dup_line_share": "1000 * n_dup_lines // greatest(n_lines, 1)"}
-    values = " union all ".join(f"select lang, source, '{m}' as measure, {bucket(m)} as bucket from s" for m in rules.MEASURES)
-    slack = " ".join(f"when '{m}' then {v}" for m, v in rules.SLACK.items())
-    most = ", ".join(f"max(case when measure = '{m}' then most end) as most_{m}" for m in rules.MEASURES)
-    within = " and ".join(f"{m} <= most_{m}" for m in rules.MEASURES)
+    shares = {
+        "repeat_share": "1000 * n_repeat_words // greatest(n_words, 1)", "dup_line_share": "1000 * n_dup_lines // greatest(n_lines, 1)",
+        "mean_word": "100 * word_chars // greatest(n_words, 1)", "plain_word": "100 * (word_chars - n_symbols) // greatest(n_words, 1)",
+    }
+    shift = f"greatest(length(bin(v)) - {rules.BITS}, 0)"
+    fed = ", ".join(dict.fromkeys((*rules.COUNTS, *rules.MEASURES)))
+    values = " union all ".join(f"select lang, source, '{m}' as measure, {m} as v from fed" for m in rules.MEASURES)
+    least = ", ".join(f"min(case when upto * 100 >= total * {q} then bucket end) as q{q}" for q in rules.QUANTILES)
+    drawn = ", ".join(f"(o.n * o.q{q} + {rules.PRIOR} * w.q{q}) // (o.n + {rules.PRIOR}) as q{q}" for q in rules.QUANTILES)
+    fences = ", ".join(
+        [f"max(case when measure = '{m}' then {what} end) as {name}_{m}" for m in rules.WORDS for name, what in (("low", "q25"), ("high", "q75"), ("spread", "greatest(q75 - q25, l75 - l25)"))]
+        + [f"max(case when measure = '{m}' then q99 + {rules.SPREAD} * (q99 - q90) end) as most_{m}" for m in rules.SHARES]
+    )
     return f"""
 with d as (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{WORD}') as w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) as lines from documents),
@@ -89,13 +93,18 @@ rep as (select r, count(distinct p) as n from (select r, unnest(range(i, i + 5))
 m as (select d.r, doc_id, lang, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
   len(lines)::bigint as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words from d left join rep using (r)),
 s as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, {", ".join(f"{v} as {k}" for k, v in shares.items())} from m),
-sketch as (select lang, source, measure, bucket, count(*) as n from ({values}) group by all),
+fed as (select distinct lang, source, {fed} from s where not base_failed),
+vals as ({values}),
+sketch as (select lang, source, measure, ((v >> {shift}) << {shift}) as bucket, count(*) as n from vals group by all),
 cum as (select *, sum(n) over (partition by lang, source, measure order by bucket) as upto, sum(n) over (partition by lang, source, measure) as total from sketch),
-fences as (select lang, source, measure, min(case when upto * 4 >= total then bucket end) as q1, min(case when upto * 4 >= 3 * total then bucket end) as q3 from cum group by all),
-most as (select lang, source, measure, q3 + {rules.SPREAD} * (q3 - q1) + case measure {slack} end as most from fences),
-wide as (select lang, source, {most} from most group by all)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce({within}, true) as kept, s.lang, s.source
-from s left join wide on s.lang is not distinct from wide.lang and s.source is not distinct from wide.source"""
+own as (select lang, source, measure, max(total)::bigint as n, {least} from cum group by all),
+lsketch as (select lang, measure, bucket, sum(n) as n from sketch group by all),
+lcum as (select *, sum(n) over (partition by lang, measure order by bucket) as upto, sum(n) over (partition by lang, measure) as total from lsketch),
+wide as (select lang, measure, {least} from lcum group by all),
+drawn as (select o.lang, o.source, o.measure, w.q25 as l25, w.q75 as l75, {drawn} from own o join wide w on o.lang is not distinct from w.lang and o.measure = w.measure),
+fences as (select lang, source, max(case when measure = 'n_words' then q50 end) as median_words, {fences} from drawn group by all)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce({rules.WITHIN}, true) as kept, s.lang, s.source
+from s left join fences f on s.lang is not distinct from f.lang and s.source is not distinct from f.source"""
 
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

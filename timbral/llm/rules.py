@@ -1,10 +1,17 @@
 """Quality rules with thresholds from the data, with DataFrame functions only.
 
 Every measure's distribution per language and source is a mergeable quantile sketch:
-counts by log-linear bucket (values keep their five leading bits, so a quantile is
-within 1/16), summed by key before and after the shuffle. A threshold is an upper fence,
-q3 + SPREAD * (q3 - q1) + SLACK, so it follows each group's own spread and a group's
-ordinary documents stay. Documents are then joined with their group's thresholds.
+counts by log-linear bucket (values keep their BITS leading bits), summed by key before and after
+the shuffle. Rows that fail the base, and rows whose measures repeat, don't feed it. A
+group's quantiles are drawn to its language's as if PRIOR more documents of the language
+were in it, so thin groups follow the language. From them come, for each group,
+- fences on both sides of the mean length of words and of words without symbols,
+  SPREAD times the spread between the quartiles beyond these (the group's or the language's spread,
+  whichever is wider), and wider for texts shorter than the group's median, as a mean varies
+  with one over the square root of the length;
+- upper fences on the shares of repeated words and lines, SPREAD times the distance of the 90th and
+  99th percentile beyond the latter.
+Documents are then joined with their group's fences.
 """
 
 from __future__ import annotations
@@ -15,22 +22,23 @@ from pyspark.sql import functions as F
 from timbral.llm.common import cut
 
 SPACE = r"[\\x20\\t-\\r]"
-SPREAD = 3
-#: Thousandths that a measure may exceed the fence by: a measure that is mostly zero has no spread of its own, and a line or two
-#: repeated in a short text is no fault.
-SLACK = {"repeat_share": 150, "symbol_share": 60, "dup_line_share": 400}
-MEASURES = tuple(SLACK)
+SPREAD, PRIOR, BITS = 3, 50, 8
+WORDS, SHARES = ("mean_word", "plain_word"), ("repeat_share", "dup_line_share")
+MEASURES = (*WORDS, *SHARES, "n_words")
+#: The quantiles that the fences need, in hundredths.
+QUANTILES = (25, 50, 75, 90, 99)
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """docs: (doc_id, text, lang, source, ...) -> (doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, MEASURES)."""
+    """docs: (doc_id, text, lang, source, ...) -> (doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, MEASURES), written once: a filter pushed below it would split each text anew for each of its words."""
     fives = ", ".join(f"words[i + {j}]" if j else "words[i]" for j in range(5))
     # equal neighbours among the sorted (hash, place) pairs are windows found twice; each covers five words from its place
     places = """array_sort(transform(
         filter(sequence(0, size(pairs) - 1), i -> (i > 0 AND pairs[i].h = pairs[greatest(i - 1, 0)].h) OR (i < size(pairs) - 1 AND pairs[i].h = pairs[least(i + 1, size(pairs) - 1)].h)),
         i -> pairs[i].at))"""
     covered = f"aggregate(transform(array(array_sort(transform(hashes, (h, i) -> struct(h AS h, i AS at)))), pairs -> {places})[0], named_struct('n', 0L, 'end', 0), (a, p) -> named_struct('n', a.n + p + 5 - greatest(p, a.end), 'end', p + 5), a -> a.n)"
-    return (
+    return cut(
         docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
         .withColumn("words", F.expr(f"filter(split(text, '{SPACE}+'), w -> w <> '')"))
         .withColumn("lines", F.expr(f"filter(split(text, '\\n'), l -> l rlike '[^\\\\x20\\\\t-\\\\r]')"))
@@ -43,7 +51,8 @@ def measures(docs: DataFrame) -> DataFrame:
         )
         .withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
         .withColumn("repeat_share", F.expr("1000 * n_repeat_words div greatest(n_words, 1)"))
-        .withColumn("symbol_share", F.expr("1000 * n_symbols div greatest(word_chars, 1)"))
+        .withColumn("mean_word", F.expr("100 * word_chars div greatest(n_words, 1)"))
+        .withColumn("plain_word", F.expr("100 * (word_chars - n_symbols) div greatest(n_words, 1)"))
         .withColumn("dup_line_share", F.expr("1000 * n_dup_lines div greatest(n_lines, 1)"))
         .drop("n_lines")
     )
@@ -51,19 +60,40 @@ def measures(docs: DataFrame) -> DataFrame:
 
 def sketch(measured: DataFrame) -> DataFrame:
     """(lang, source, measure, bucket, n): sketches of two tables are merged by adding n of equal keys."""
-    bucket = "shiftleft(shiftright(v, greatest(length(bin(v)) - 5, 0)), greatest(length(bin(v)) - 5, 0))"
+    shift = f"greatest(length(bin(v)) - {BITS}, 0)"
     values = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MEASURES])).alias("x")
-    return measured.select("lang", "source", values).select("lang", "source", "x.measure", F.col("x.v").alias("v")).groupBy("lang", "source", "measure", F.expr(bucket).alias("bucket")).agg(F.count("*").alias("n"))
+    fed = measured.filter("not base_failed").select("lang", "source", *dict.fromkeys((*COUNTS, *MEASURES))).distinct()
+    return fed.select("lang", "source", values).select("lang", "source", "x.measure", F.col("x.v").alias("v")).groupBy("lang", "source", "measure", F.expr(f"shiftleft(shiftright(v, {shift}), {shift})").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def thresholds(sketched: DataFrame) -> DataFrame:
-    """(lang, source) and most_<measure>, the greatest value that stays."""
-    group = Window.partitionBy("lang", "source", "measure")
+def _quantiles(sketched: DataFrame, *keys: str) -> DataFrame:
+    """(keys, measure, n, q25, ...): the least bucket that as many hundredths of the values reach."""
+    group = Window.partitionBy(*keys, "measure")
     at = sketched.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
-    quarter = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bucket")))
-    slack = F.create_map(*[x for m, s in SLACK.items() for x in (F.lit(m), F.lit(s))])[F.col("measure")]
-    fences = at.groupBy("lang", "source", "measure").agg(quarter(1).alias("q1"), quarter(3).alias("q3")).withColumn("most", F.col("q3") + SPREAD * (F.col("q3") - F.col("q1")) + slack)
-    return fences.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col("most"))).alias(f"most_{m}") for m in MEASURES])
+    return at.groupBy(*keys, "measure").agg(F.max("total").alias("n"), *[F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("bucket"))).alias(f"q{q}") for q in QUANTILES])
+
+
+def thresholds(sketched: DataFrame) -> DataFrame:
+    """(lang, source, n, median_words) and for each of WORDS low_, high_ and spread_, for each of SHARES most_."""
+    own = _quantiles(sketched, "lang", "source")
+    wide = _quantiles(sketched.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n")), "lang")
+    wide = wide.select(F.col("lang").alias("l"), F.col("measure").alias("m"), *[F.col(f"q{q}").alias(f"l{q}") for q in QUANTILES])
+    drawn = own.join(wide, F.expr("lang <=> l and measure = m")).select("lang", "source", "measure", "n", "l25", "l75", *[F.expr(f"(n * q{q} + {PRIOR} * l{q}) div (n + {PRIOR})").alias(f"q{q}") for q in QUANTILES])
+    of = lambda m, what: F.max(F.when(F.col("measure") == m, F.expr(what)))
+    return drawn.groupBy("lang", "source").agg(
+        F.max("n").alias("n"), of("n_words", "q50").alias("median_words"),
+        *[of(m, what).alias(f"{name}_{m}") for m in WORDS for name, what in (("low", "q25"), ("high", "q75"), ("spread", "greatest(q75 - q25, l75 - l25)"))],
+        *[of(m, f"q99 + {SPREAD} * (q99 - q90)").alias(f"most_{m}") for m in SHARES],
+    )
+
+
+def _far(m: str) -> str:
+    """How far beyond the quartiles, squared, by the number of words a mean is of."""
+    return f"cast(greatest({m} - high_{m}, low_{m} - {m}, 0) as double) * greatest({m} - high_{m}, low_{m} - {m}, 0) * n_words <= cast({SPREAD} * spread_{m} as double) * ({SPREAD} * spread_{m}) * greatest(n_words, median_words)"
+
+
+#: What a document must meet besides the base.
+WITHIN = " and ".join([*map(_far, WORDS), *(f"{m} <= most_{m}" for m in SHARES)])
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -73,9 +103,8 @@ def judge(docs: DataFrame) -> DataFrame:
     Null languages and sources are groups like others. Repeated rows and null ids stay; an
     empty table gives no rows; other columns are dropped.
     """
-    measured = cut(measures(docs))
-    most = thresholds(sketch(measured)).withColumnsRenamed({"lang": "l", "source": "s"})
-    within = " and ".join(f"{m} <= most_{m}" for m in MEASURES)
-    return measured.join(most, F.expr("lang <=> l and source <=> s"), "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.expr(f"not base_failed and coalesce({within}, true)").alias("kept"), "lang", "source"
+    measured = measures(docs)
+    fences = thresholds(sketch(measured)).drop("n").withColumnsRenamed({"lang": "l", "source": "s"})
+    return measured.join(fences, F.expr("lang <=> l and source <=> s"), "left").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.expr(f"not base_failed and coalesce({WITHIN}, true)").alias("kept"), "lang", "source"
     )

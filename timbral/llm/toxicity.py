@@ -1,17 +1,19 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and the first letters of words, chosen from the labelled sample for how
-unevenly the two classes use them. Document frequencies are counted over all documents.
-Examples lie in blocks; each term has a posting per block with the greatest weight there,
-which bounds the cosine of the whole block. Blocks are searched in order of their
-bounds until none can reach the k-th best, so the neighbours are exact. Their
-votes, weighted by distance and shrunk to the rate of examples without terms, are the score.
+Terms are the words of the examples that are in LEAST documents and in COMMON of all at
+most, by counts over all documents. A term's weight is its inverse document frequency,
+raised by how surely toxic examples use it more than others (its likelihood-ratio
+statistic beyond SURE). Examples lie in blocks, those of a like heaviest term together;
+each term has a posting per block with the greatest weight there, which bounds the cosine
+of the whole block. Blocks are searched in order of their bounds until none can reach
+the k-th best, so the neighbours are exact. Their votes, weighted by distance and shrunk to the
+examples' rate, are the score, and the nearest are its evidence.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,204 +25,172 @@ from timbral.llm.common import cut as cut_lineage
 from timbral.llm.common import map_arrow
 from timbral.llm.labelled import fold, sample
 
-#: Labelled documents that serve as examples at most, and terms chosen at most; whatever the input's size.
-EXAMPLES, TERMS = 6_000, 2_000
-STARTS = (5, 6, 7)
-SUPPORT, RATIO, NEIGHBOURS, BLOCK, CUT = 4, 6.0, 15, 32, 0.5
-#: Likelihood-ratio statistic below which a term's uneven use may be chance.
-SURE = 24.0
-#: Distinct words whose terms a worker keeps.
-MEMO_WORDS = 400_000
-#: Pairs of a term and a word that a worker counts before it hands them on.
-HELD = 200_000
+#: Labelled documents that serve as examples at most, whatever the input's size.
+EXAMPLES = 6_000
+#: Documents that have a term at least, and the share of all that have it at most.
+LEAST, COMMON = 2, 0.1
+#: The likelihood-ratio statistic that chance exceeds in one term of twenty, and how much a unit beyond it adds to a weight.
+SURE, RAISE = 3.84, 0.1
+NEIGHBOURS, BLOCK, CUT = 15, 32, 0.5
+#: Blocks that are searched first; then twice as many each time.
+AHEAD = 8
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_terms(word: str) -> list[str]:
-    return [word, *(f"{word[:k]}*" for k in STARTS if len(word) >= k)]
-
-
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def _uses(kept: set[str] | None):
-    """(text) -> (term, next, n): how often a word with the term is followed by a word; the row of term '' counts all. Only kept terms, if there are such."""
+def _used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(y, text) -> (term, n, toxic): examples that have the term; the row of term '' counts all."""
+    n, toxic = Counter(), Counter()
+    for b in batches:
+        for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            own = {"", *words_of(text)}
+            n.update(own)
+            if y:
+                toxic.update(own)
+    yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(n.values(), pa.int64()), pa.array([toxic[t] for t in n], pa.int64())], ["term", "n", "toxic"])
 
-    def flush(seen: Counter) -> pa.RecordBatch:
-        terms, nexts = zip(*seen, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(nexts, pa.string()), pa.array(seen.values(), pa.int64())], ["term", "next", "n"])
+
+def _frequencies(terms: dict[str, int]):
+    """(text) -> (term, n): documents that have it; term -1 counts all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen, n = np.zeros(len(terms), np.int64), 0
         for b in batches:
             for text in b.column(0).to_pylist():
-                words = words_of(text)
-                for (a, after), n in Counter(zip(words, [*words[1:], ""], strict=False)).items():
-                    terms = word_terms(a)
-                    seen["", ""] += n * len(terms)
-                    for t in terms:
-                        if kept is None or t in kept:
-                            seen[t, after] += n
-                if len(seen) > HELD:
-                    yield flush(seen)
-                    seen = Counter()
-        if seen:
-            yield flush(seen)
+                n += 1
+                at = [i for i in map(terms.get, set(words_of(text))) if i is not None]
+                seen[at] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int64()), pa.array([n, *seen[at]], pa.int64())], ["term", "n"])
 
     return run
 
 
-def _followed(texts: DataFrame, kept: set[str] | None, least: int) -> tuple[dict[str, int], int]:
-    """Different words that follow each term, if there are `least` of them, and how often any term is used."""
-    used = map_arrow(texts, _uses(kept), "term string, next string, n long").groupBy("term").agg(F.count_distinct("next").alias("nexts"), F.sum("n").alias("n"))
-    rows = used.filter((F.col("nexts") >= least) | (F.col("term") == "")).toArrow()
-    total = sum(n for t, n in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), strict=True) if t == "")
-    return {t: n for t, n in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True) if t}, total
-
-
-def choose_terms(examples: DataFrame) -> list[str]:
-    """Terms that toxic examples (y is 1) use RATIO times as readily. A term counts once for each word that follows it, so copies don't add up."""
-    seen, toxic = _followed(examples.filter("y = 1").select("text"), None, SUPPORT)
-    other, clean = _followed(examples.filter("y = 0").select("text"), set(seen), 1)
-    odds = {}
-    for t, n in seen.items():
-        m = other.get(t, 0)
-        ratio = n / max(1, toxic) / ((m + 0.5) / max(1, clean))
-        share = toxic / max(1, toxic + clean)
-        sure = 2 * (n * np.log(n / ((n + m) * share)) + (m * np.log(m / ((n + m) * (1 - share))) if m and share < 1 else 0))
-        if ratio >= RATIO and sure >= SURE:
-            odds[t] = sure
-    return sorted(sorted(odds, key=lambda t: (-odds[t], t))[:TERMS])
-
-
-class Terms:
-    """Term ids of words, remembered by word: a word has the shortest beginning that was chosen, else itself. A text with chosen terms also has one, after the last, for all its other words: it tells a few in a long text from many in a short one."""
-
-    def __init__(self, terms: list[str]) -> None:
-        self.ids = {t: i for i, t in enumerate(terms)}
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def counts(self, text: str | None) -> Counter:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        out: Counter = Counter()
-        memo, ids, rest = self.memo, self.ids, 0
-        for w, n in Counter(words_of(text)).items():
-            got = memo.get(w)
-            if got is None:
-                known = [ids[t] for t in (*word_terms(w)[1:], w) if t in ids]
-                got = memo[w] = tuple(known[:1])
-            rest += 0 if got else n
-            for t in got:
-                out[t] += n
-        if out and rest:
-            out[len(ids)] = rest
-        return out
+def raised(n: np.ndarray, toxic: np.ndarray, examples: int, of_toxic: int) -> np.ndarray:
+    """1, and more for terms that toxic examples have more surely: by the statistic of n examples with the term, `toxic` of them toxic."""
+    expected = n * (of_toxic / max(1, examples))
+    other = n - toxic
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sure = 2 * (np.where(toxic > 0, toxic * np.log(toxic / expected), 0) + np.where(other > 0, other * np.log(other / (n - expected)), 0))
+    return 1 + RAISE * np.where(toxic > expected, np.maximum(sure - SURE, 0), 0)
 
 
 class Index:
-    """Examples' unit vectors as postings by term, in order of example, with a block's greatest weight beside them."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, vectors: list[Counter], y: np.ndarray, names: list[int]) -> None:
-        self.terms, self.idf = terms, idf
-        kept = [i for i, v in enumerate(vectors) if v]
-        empty = [i for i, v in enumerate(vectors) if not v]
-        self.y, self.names = y[kept].astype(float), np.array([names[i] for i in kept], np.int64)
-        self.rate = float((y[empty].sum() + 0.5) / (len(empty) + 1.0))
-        by_term: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for at, i in enumerate(kept):
-            ids, w = self.unit(vectors[i])
-            for t, x in zip(ids.tolist(), w.tolist(), strict=True):
-                by_term[t].append((at, x))
-        self.examples = {t: np.array([a for a, _ in p]) for t, p in by_term.items()}
-        self.weights = {t: np.array([x for _, x in p]) for t, p in by_term.items()}
-        self.blocks, self.greatest, self.start = {}, {}, {}
-        for t, e in self.examples.items():
-            self.blocks[t], self.start[t] = np.unique(e // BLOCK, return_index=True)
-            self.greatest[t] = np.maximum.reduceat(self.weights[t], self.start[t])
-        self.n_blocks = (len(kept) + BLOCK - 1) // BLOCK
-
-    def unit(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[t] for t in ids.tolist()])) * self.idf[ids]
-        return ids, w / np.sqrt((w**2).sum())
-
-    def nearest(self, counts: Counter, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+    """Examples' unit vectors as postings by term, in order of example; per term and block the greatest weight and where the block's postings lie."""
+
+    def __init__(self, terms: dict[str, int], weight: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, names: list[int]) -> None:
+        self.terms, self.weight = terms, weight
+        self.rate = float((y.sum() + 0.5) / (len(y) + 1.0))
+        units = [self.unit(*v) for v in vectors]
+        heaviest = [int(ids[w.argmax()]) if len(ids) else -1 for ids, w in units]
+        order = sorted(range(len(units)), key=lambda i: (heaviest[i], i))
+        #: The examples as they lie in the index; rank is their order among equals.
+        self.y, self.names, self.rank = y[order].astype(float), np.array(names, np.int64)[order], np.array(order, np.int64)
+        self.blocks = (len(order) + BLOCK - 1) // BLOCK
+        ids = np.concatenate([units[i][0] for i in order]) if order else np.zeros(0, np.int64)
+        weights = np.concatenate([units[i][1] for i in order]) if order else np.zeros(0)
+        place = np.repeat(np.arange(len(order)), [len(units[i][0]) for i in order])
+        by_term = np.lexsort((place, ids))
+        ids, self.example, self.weights = ids[by_term], place[by_term].astype(np.int32), weights[by_term]
+        block = self.example // BLOCK
+        self.begin = np.flatnonzero(np.diff(ids, prepend=-1) | np.diff(block, prepend=-1)) if len(ids) else np.zeros(0, np.int64)
+        self.end = np.append(self.begin[1:], len(ids))
+        self.block = block[self.begin]
+        self.greatest = np.maximum.reduceat(self.weights, self.begin) if len(ids) else np.zeros(0)
+        self.first = np.searchsorted(ids[self.begin], np.arange(len(terms) + 1))
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, how often each is used)."""
+        get = self.terms.get
+        own = sorted((i, n) for w, n in Counter(words_of(text)).items() if (i := get(w)) is not None)
+        return np.array([i for i, _ in own], np.int64), np.array([n for _, n in own], np.int64)
+
+    def unit(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(n)) * self.weight[ids]
+        return ids, w / np.sqrt((w**2).sum()) if len(w) else w
+
+    @staticmethod
+    def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All numbers from each start to its end, and how many each has."""
+        sizes = ends - starts
+        return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum()), sizes
+
+    def nearest(self, ids: np.ndarray, n: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k of greatest cosine, over 0; of equal ones the first examples."""
-        ids, w = self.unit(counts)
-        ids, w = zip(*[(t, x) for t, x in zip(ids.tolist(), w.tolist(), strict=True) if t in self.blocks], strict=True) if any(t in self.blocks for t in ids.tolist()) else ((), ())
-        if not ids:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = np.zeros(self.n_blocks)
-        for t, x in zip(ids, w, strict=True):
-            bound[self.blocks[t]] += x * self.greatest[t]
-        found, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(found) == k and bound[b] < least - 1e-12:
-                break
-            own = np.zeros(BLOCK)
-            for t, x in zip(ids, w, strict=True):
-                i = int(np.searchsorted(self.blocks[t], b))
-                if i < len(self.blocks[t]) and self.blocks[t][i] == b:
-                    at = slice(self.start[t][i], self.start[t][i + 1] if i + 1 < len(self.start[t]) else None)
-                    own[self.examples[t][at] - b * BLOCK] += x * self.weights[t][at]
-            hit = np.flatnonzero(own > 0)
-            found, cosines = np.concatenate([found, hit + b * BLOCK]), np.concatenate([cosines, own[hit]])
-            order = np.lexsort((found, -np.round(cosines, 12)))[:k]
+        ids, w = self.unit(ids, n)
+        posting, sizes = self._spread(self.first[ids], self.first[ids + 1])
+        found, cosines = np.zeros(0, np.int64), np.zeros(0)
+        if not len(posting):
+            return found, cosines
+        w, block = np.repeat(w, sizes), self.block[posting]
+        bound = np.bincount(block, w * self.greatest[posting], self.blocks)
+        todo = np.argsort(-bound, kind="stable")
+        todo = todo[: np.count_nonzero(bound)]
+        at, ahead, least = 0, AHEAD, 0.0
+        while at < len(todo) and not (len(found) == k and bound[todo[at]] < least - 1e-9):
+            chosen = np.zeros(self.blocks, bool)
+            chosen[todo[at : at + ahead]] = True
+            here = np.flatnonzero(chosen[block])
+            flat, sizes = self._spread(self.begin[posting[here]], self.end[posting[here]])
+            own = np.bincount(self.example[flat], np.repeat(w[here], sizes) * self.weights[flat], len(self.y))
+            hit = np.flatnonzero(own)
+            found, cosines = np.concatenate([found, hit]), np.concatenate([cosines, own[hit]])
+            order = np.lexsort((self.rank[found], -np.round(cosines, 12)))[:k]
             found, cosines = found[order], cosines[order]
             least = cosines[-1] if len(found) == k else 0.0
+            at, ahead = at + ahead, 2 * ahead
         return found, cosines
 
-    def score(self, counts: Counter) -> tuple[float, list[int]]:
+    def score(self, text: str | None) -> tuple[float, list[int]]:
         """The score, and the documents that it rests on, nearest first."""
-        if not counts:
-            return self.rate, []
-        near, cosines = self.nearest(counts)
+        near, cosines = self.nearest(*self.counts(text))
         votes = 1 / (1.02 - np.minimum(cosines, 1.0))
         return float(((votes * self.y[near]).sum() + self.rate) / (votes.sum() + 1)), self.names[near].tolist()
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = EXAMPLES) -> Index:
-    """No labelled rows at all give an index that scores every text alike. Examples' terms come to the driver, not their texts."""
+    """No labelled rows at all give an index that scores every text alike.
+
+    The examples' words come to the driver, with their counts, and are sent to the workers: the number and the
+    length of examples are bounded, so this doesn't grow with the documents. Of examples with the same
+    text one counts for a term's likelihood ratio.
+    """
     examples = cut_lineage(sample(docs, labels, label, most).withColumn("y", F.least("y", F.lit(1))))
-    terms = choose_terms(examples)
+    used = map_arrow(examples.groupBy("text").agg(F.max("y").alias("y")).select("y", "text"), _used, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow().sort_by("term")
+    every, n, toxic = used.column(0).to_pylist(), used.column(1).to_numpy(), used.column(2).to_numpy()
+    of_all = (int(n[0]), int(toxic[0])) if every else (0, 0)  # '' sorts first
+    every, n, toxic = every[1:], n[1:], toxic[1:]
+
+    found = map_arrow(docs.select("text"), _frequencies({t: i for i, t in enumerate(every)}), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow().sort_by("term")
+    df = np.zeros(len(every) + 1, np.int64)
+    df[found.column(0).to_numpy() + 1] = found.column(1).to_numpy()
+    total, df = int(df[0]), df[1:]
+    kept = np.flatnonzero((df >= LEAST) & (df <= max(LEAST, COMMON * total)))
+    terms = {every[i]: at for at, i in enumerate(kept.tolist())}
+    weight = (np.log((1 + total) / (1 + df[kept])) + 1) * raised(n[kept], toxic[kept], *of_all)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Terms(terms)
-        for b in batches:
-            got = [own.counts(t) for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([list(c) for c in got], pa.list_(pa.int64())), pa.array([list(c.values()) for c in got], pa.list_(pa.int64()))], ["doc_id", "y", "h", "ids", "n"])
-
-    rows = map_arrow(examples.select("doc_id", "y", F.xxhash64("text").alias("h"), "text"), vectors, "doc_id long, y int, h long, ids array<long>, n array<long>").toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen, n = Terms(terms), np.zeros(len(terms) + 1, np.int64), 0
+        own = Index(terms, weight, [], np.zeros(0), [])
         for b in batches:
-            for t in b.column(0).to_pylist():
-                n += 1
-                if c := own.counts(t):
-                    seen[list(c)] += 1
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int64()), pa.array([n, *seen[at]], pa.int64())], ["term", "n"])
+            got = [own.counts(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g[1].astype(np.int32) for g in got], pa.list_(pa.int32()))], ["doc_id", "y", "ids", "n"])
 
-    counted = map_arrow(docs.select("text"), frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    found = dict(zip(counted.column(0).to_pylist(), counted.column(1).to_pylist(), strict=True))
-    n = found.pop(-1, 0)
-    df = np.zeros(len(terms) + 1)
-    df[list(found)] = list(found.values())
-    df[-1] = n  # what every text has
-    counts = [Counter(dict(zip(i, c, strict=True))) for i, c in zip(rows.column("ids").to_pylist(), rows.column("n").to_pylist(), strict=True)]
-    return Index(terms, np.log((1 + n) / (1 + df)) + 1, counts, rows.column("y").to_numpy().astype(int), rows.column("doc_id").to_pylist())
+    rows = map_arrow(examples.select("doc_id", "y", "text"), vectors, "doc_id long, y int, ids array<int>, n array<int>").toArrow().sort_by("doc_id")
+    counts = [(np.array(i, np.int64), np.array(c, np.int64)) for i, c in zip(rows.column("ids").to_pylist(), rows.column("n").to_pylist(), strict=True)]
+    return Index(terms, weight, counts, rows.column("y").to_numpy().astype(int), rows.column("doc_id").to_pylist())
 
 
-def _scored(docs: DataFrame, index: Index, columns: list[str], add, schema: str) -> DataFrame:  # noqa: ANN001
+def _scored(docs: DataFrame, index: Index, add, schema: str) -> DataFrame:  # noqa: ANN001
     at = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Terms(index.terms)
+        own = shared.value
         for b in batches:
-            yield add(b, [index.score(own.counts(t)) for t in b.column(at).to_pylist()])
+            yield add(b, [own.score(t) for t in b.column(at).to_pylist()])
 
     return map_arrow(docs, run, schema)
 
@@ -228,9 +198,9 @@ def _scored(docs: DataFrame, index: Index, columns: list[str], add, schema: str)
 def score(docs: DataFrame, index: Index, cut: float = CUT) -> DataFrame:
     """docs: (doc_id, text, ...) -> (doc_id, held_out, score, predicted, evidence), one row per row.
 
-    A text without chosen terms, a null or empty one too, has the rate of such examples as
-    its score and no evidence. A null doc_id is not held out. Repeated rows stay; an empty
-    table gives no rows; other columns are not looked at. Ties of distance go to the examples of least id.
+    A text without terms of the index, a null or empty one too, has the examples' rate as its score
+    and no evidence. A null doc_id is not held out. Repeated rows stay; an empty table gives no
+    rows; other columns are not looked at. Ties of distance go to the examples of least id.
     """
 
     def add(b: pa.RecordBatch, got: list[tuple[float, list[int]]]) -> pa.RecordBatch:
@@ -239,7 +209,7 @@ def score(docs: DataFrame, index: Index, cut: float = CUT) -> DataFrame:
             [b.column(0), b.column(1), pa.array(s), pa.array((s >= cut).astype(np.int32)), pa.array([g[1][:5] for g in got], pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "predicted", "evidence"]
         )
 
-    return _scored(docs.select("doc_id", (fold() == 0).alias("held_out"), "text"), index, [], add, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
+    return _scored(docs.select("doc_id", (fold() == 0).alias("held_out"), "text"), index, add, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
 
 
 def reject(docs: DataFrame, index: Index, cut: float = CUT) -> DataFrame:
@@ -248,4 +218,4 @@ def reject(docs: DataFrame, index: Index, cut: float = CUT) -> DataFrame:
     def add(b: pa.RecordBatch, got: list[tuple[float, list[int]]]) -> pa.RecordBatch:
         return b.filter(pa.array([g[0] < cut for g in got], pa.bool_()))
 
-    return _scored(docs, index, docs.columns, add, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return _scored(docs, index, add, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
