@@ -446,6 +446,99 @@ def test_automata():
         assert accepts(t) is None, t
 
 
+def template_parts(text):
+    """[(word choices, None) | (None, parts) for an optional region | (None, n) for a replaceable one]"""
+    marks = re.findall(r"[{}]|<\d+>|[^\s{}<>]+", text)
+
+    def read(i):
+        out = []
+        while i < len(marks) and marks[i] != "}":
+            if marks[i] == "{":
+                inner, i = read(i + 1)
+                out.append((None, inner))
+            elif marks[i][0] == "<":
+                out.append((None, int(marks[i][1:-1])))
+            else:
+                out.append((marks[i].split("|"), None))
+            i += 1
+        return out, i
+
+    return read(0)[0]
+
+
+def reached(parts, ws, at):
+    """By trying every way: (whether the parts match from at on, the most mandatory words met in order)."""
+
+    def walk(todo, i, met):
+        if not todo:
+            return {(i, met, True)}
+        (choice, inner), rest = todo[0], todo[1:]
+        if choice is not None:
+            return walk(rest, i + 1, met + 1) | {(i + 1, met + 1, False)} if i < len(ws) and ws[i] in choice else {(i, met, False)}
+        out = set(walk(rest, i, met))
+        if isinstance(inner, int):
+            return out.union(*(walk(rest, i + k, met) for k in range(1, min(inner, len(ws) - i) + 1)))
+        return out.union(*(walk(rest, j, met) for j, _, ok in walk(inner, i, 0) if ok))
+
+    got = walk(parts, at, 0)
+    return any(ok for _, _, ok in got), max(m for _, m, _ in got)
+
+
+def brute_license(text, templates):
+    ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))
+    labels, score = set(), 0.0
+    for label, t in templates:
+        parts = template_parts(t)
+        total = sum(c is not None for c, _ in parts)
+        for at, w in enumerate(ws):
+            if w in parts[0][0]:
+                ok, met = reached(parts, ws, at)
+                labels.update({label} if ok else ())
+                score = max(score, 1.0 if ok else met / total)
+    base = {label for label, p in licenses.PHRASES.items() if f" {p} " in f" {' '.join(ws)} "}
+    return ",".join(sorted(labels | base)), 1.0 if base else score
+
+
+def test_license_labels_and_scores(spark, edges):
+    r = random.Random(6)
+    toy = (("x", "licensed|made {all <2>} under <2> the {old {very}} licence"), ("y", "the {a|b} licence of|by it"), ("mpl", "mozilla public license"))
+    parts = "licensed made all of under x the old very licence a b by it mozilla public license".split()
+    texts = [" ".join(r.choices(parts, k=r.randint(0, 25))) for _ in range(1500)] + ["Made all, UNDER the old licence.", "the Mozilla Public License"]
+    scanner = licenses.Scanner(templates=toy)
+    for t in texts:
+        _, base, labels, score = scanner.scan(t)
+        assert (",".join(sorted(labels | {b for _, b in base})), score) == brute_license(t, toy), t
+    for df in (docs(spark), edges):
+        got = licenses.scan(df).select("doc_id", "labels", "score").collect()
+        assert Counter(map(tuple, got)) == Counter((x.doc_id, *brute_license(x.text, licenses.TEMPLATES)) for x in df.collect())
+    with pytest.raises(ValueError, match="mandatory"):
+        licenses.compile_template("z", "{maybe} this")
+
+
+def test_whole_license_texts():
+    """Each template's own wording, its regions filled or left out, has its label; with one mandatory word changed it is not accepted."""
+    r = random.Random(1)
+
+    def worded(parts):
+        out = []
+        for choice, inner in parts:
+            if choice:
+                out.append(r.choice(choice))
+            elif isinstance(inner, int):
+                out += ["word"] * r.randint(0, inner)
+            elif r.random() < 0.5:
+                out += worded(inner)
+        return out
+
+    for label, t in licenses.TEMPLATES:
+        ws = worded(template_parts(t))
+        assert label in licenses.Scanner().scan("Lead, " + " ".join(ws).upper() + " tail")[2], t
+        a = licenses.compile_template(label, t)
+        own = [w.encode() for w in ws]
+        at = max(i for i in range(len(ws)) if own[i] != b"word" and not re.search(r"[{|]", t)) if not re.search(r"[{|<]", t) else 0
+        assert a.run([*own[:at], b"wrong", *own[at + 1 :]], 0)[0] is None
+
+
 # --- 9: rules -----------------------------------------------------------------------------------
 
 

@@ -21,8 +21,23 @@ from timbral.llm.common import LOWER_ALNUM, map_arrow
 # The phrases of the contract, by label.
 PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 
-# Wording of public license notices as templates, by label. The first word
-# of each is mandatory.
+# Wording of public licenses and their notices as templates, by label: the short
+# notices first, then whole texts. The first word of each is mandatory.
+NO_WARRANTY = (
+    "this software is provided by <12> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall <12> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits "
+    "or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software "
+    "even if advised of the possibility of such damage"
+)
+BSD_TWO = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "{1} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "{2} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+GNU_NOTICE = (
+    "{0} is free software you can redistribute it and or modify it under the terms of the gnu {1}general public license as published by the free software foundation either version <2> of the license or {{at your option}} any later version "
+    "{0} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {1}general public license for more details"
+)
 TEMPLATES = (
     ("mit", "licensed|released|distributed|available|published|provided {<3>} under the {terms of the} {<2>} mit license"),
     ("mit", "mit license {copyright <12>} permission is hereby granted free of charge to any person obtaining a copy of this software"),
@@ -31,12 +46,39 @@ TEMPLATES = (
     ("apache-2", "apache license version 2 0 {the license} {you may not use this file except in compliance with the license}"),
     ("cc-by-nc", "licensed|released|distributed|available|published|provided {<3>} under {<3>} cc by nc {nd|sa} {2|3|4} {0}"),
     ("cc-by-nc", "creative commons attribution {<1>} noncommercial|non {commercial} {<3>} license"),
+    ("cc-by", "creative commons attribution {<1>} {sharealike|share} {alike} {<2>} international|unported license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("isc", "permission to use copy modify and or|distribute {distribute} this software for any purpose with or without fee is hereby granted"),
     ("gpl", "licensed|released|distributed|available {<3>} under the {terms of the} gnu {lesser|affero} general public license"),
+    ("mpl-2", "licensed|released|distributed|available|subject {<3>} under|to the {terms of the} mozilla public license {v|version} {2} {0}"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation "
+        "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice {including the next paragraph} shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement|non {infringement} "
+        "in no event shall <12> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    ("bsd-2-clause", f"{BSD_TWO} {NO_WARRANTY}"),
+    ("bsd-3-clause", f"{BSD_TWO} {{3}} neither the name of <12> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission {NO_WARRANTY}"),
+    (
+        "isc",
+        "permission to use copy modify and or|distribute {distribute} this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and <12> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall <12> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action "
+        "arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "apache-2",
+        "licensed {<12>} under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http|https www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+    ),
+    ("gpl", GNU_NOTICE.format("this <2>", "")),
+    ("lgpl", GNU_NOTICE.format("this <2>", "lesser ")),
+    ("agpl", GNU_NOTICE.format("this <2>", "affero ")),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http|https {www} mozilla org mpl 2 0"),
 )
-#: A text that has none of these words can't be accepted by any template.
-KEYS = (b"mit", b"apache", b"cc", b"creative", b"permission", b"redistribution", b"gnu")
 
 
 @dataclass
@@ -91,6 +133,8 @@ class Automaton:
 def compile_template(label: str, text: str) -> Automaton:
     a = Automaton(label)
     marks = re.findall(r"[{}]|<\d+>|[^\s{}<>]+", text)
+    if not marks or marks[0][0] in "{}<":
+        raise ValueError(f"a template's first word is mandatory: {text[:40]!r}")
 
     def chain(at: int, i: int, depth: int, optional: bool) -> tuple[int, int, int]:
         while i < len(marks) and marks[i] != "}":
@@ -155,7 +199,7 @@ class Scanner:
         base = [(at, label) for label, p, ws in self.phrases if p in joined for at in places(words, ws)]
         labels: set[str] = set()
         score = 1.0 if base else 0.0
-        if any(k in joined for k in KEYS):
+        if not self.starts.isdisjoint(words):
             for at, w in enumerate(words):
                 if w in self.starts:
                     for a in self.automata:
