@@ -257,16 +257,42 @@ def test_substrings(spark, edges):
     assert substrings.without_repeats(edges.limit(0)).count() == 0
 
 
+def test_suspects_are_verified(spark):
+    """With 12 bits of the first fingerprint nearly all windows collide; words that don't repeat stay all the same."""
+    r = random.Random(9)
+    texts = [" ".join(r.choice("abcdefghij") + str(r.randint(0, 99)) for _ in range(200)) for _ in range(60)]
+    texts += [texts[0], " ".join(texts[1].split()[:80]) + " other end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = Counter((i, *x) for i, x in enumerate(brute_removed(texts)))
+    for weak in (12, None):
+        assert Counter(map(tuple, substrings.without_repeats(df, weak=weak).collect())) == expected
+
+
+def test_common_passage(spark):
+    """A passage that all documents have is two entries a run, and is found in each."""
+    texts = [f"{i} " + "x y " * 3 + " ".join(f"w{j}" for j in range(40)) + f" {i}" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    entries = substrings.runs(df).filter("g is null").agg(F.sum("n")).first()[0]
+    assert entries < 300 * 14 + 2 * 2 * 12 * 2
+    assert Counter(map(tuple, substrings.without_repeats(df).collect())) == Counter((i, *x) for i, x in enumerate(brute_removed(texts)))
+
+
 def test_run_index(spark, tmp_path):
+    """Two batches appended, one of them twice, an empty one and one of nulls; the third is judged before and after the runs are merged."""
     rows = docs(spark).select("doc_id", "text").orderBy("doc_id").collect()
-    a, b = rows[:100], rows[100:]
+    a, b, c = rows[:60], rows[60:120], rows[120:]
     frame = lambda r: spark.createDataFrame([tuple(x) for x in r], "doc_id long, text string")
     index = substrings.RunIndex(spark, str(tmp_path / "runs"), 5)
     assert index.history() is None
-    index.append(frame(a), "1")
-    for i in (index, index.compact(str(tmp_path / "merged"))):
-        got = Counter(map(tuple, i.dedup(frame(b)).collect()))
-        assert got == Counter((r.doc_id, *x) for r, x in zip(b, brute_removed([r.text for r in b], history=[r.text for r in a]), strict=True))
+    for batch, name in ((a, "1"), (b, "2"), (b, "2"), ([], "3"), ([(None, None)], "4")):
+        index.append(frame(batch), name)
+    expected = Counter((r.doc_id, *x) for r, x in zip(c, brute_removed([r.text for r in c], history=[r.text for r in a + b]), strict=True))
+    assert Counter(map(tuple, index.dedup(frame(c)).collect())) == expected
+    index.compact("level-1", 2)
+    index.compact("level-2")
+    assert [f.rsplit("/", 1)[1] for f in index._folders("first")] == ["run-level-2"]
+    assert Counter(map(tuple, index.dedup(frame(c)).collect())) == expected
+    assert index.dedup(frame([])).count() == 0
 
 
 # --- 5 and 6: fitted scores ---------------------------------------------------------------------

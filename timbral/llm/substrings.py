@@ -1,17 +1,18 @@
-"""Exact repeated passages through a log-structured index of window fingerprints.
+"""Exact repeated passages through a log-structured index of window fingerprints, verified by a second one.
 
 Every window of WINDOW consecutive words has a 64-bit rolling fingerprint. A task's
 fingerprints become sorted immutable runs, one per range (bucket) of fingerprints and
-delta-coded, each fingerprint with the group of documents that asks for it; within a task
-a group's equal fingerprints are kept twice at most, so a very common passage is a
-few entries. All runs of a bucket, those of the batch and of the history, meet in one task
-and are merged; fingerprints met twice go back to the groups that asked. There each
-document's windows are looked up and covered words dropped.
-
-A text is never cut; nothing is broadcast or collected. Fingerprints are 64 bits of a
-polynomial hash over 64-bit word hashes; the chance that any two of n different windows
-agree is about n^2 / 2^65 (under one in a thousand for the 1.4e8 windows of the half GB
-table).
+delta-coded, each fingerprint with the group of documents that asks for it. One that is met twice
+within a run is known to repeat: the groups that have it are told directly, and the run keeps two
+entries that ask nothing, so a very common passage is two entries a run, however many documents have
+it. All runs of a bucket, those of the batch and of the history, meet in one task and are
+merged; fingerprints met twice go back to the groups that asked. There each document's windows
+are looked up: those found are suspects.
+
+Suspects are verified: the same is done once more with the suspect windows alone, by a second fingerprint
+of another base and another hash of the words, and only windows that repeat by both are dropped.
+Two different windows would have to agree in 128 bits. A text is never cut; nothing is
+broadcast or collected.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ RUN_WINDOWS = 2_000_000
 #: Distinct words whose hashes a worker keeps.
 MEMO_WORDS = 500_000
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
-RUN_SCHEMA = "bucket int, keys binary, groups binary, n long"
+#: The second fingerprint's base and word hash seed.
+BASE2, SEED2 = 0xD1342543DE82EF95, 1
+RUN_SCHEMA = "bucket int, g int, keys binary, groups binary, n long"
 
 
 class Windows:
@@ -90,16 +93,31 @@ def unpack(data: bytes, n: int, kind: type = np.uint64) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(width, n).T).view(kind).ravel(), dtype=kind)
 
 
-def _runs(window: int, buckets: int):
-    """(group, text) -> sorted runs."""
+def _per_group(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Groups, and the sorted distinct fingerprints of each."""
+    order = np.lexsort((h, g))
+    h, g = h[order], g[order]
+    ends = np.flatnonzero(np.diff(g)) + 1
+    return g[np.concatenate([[0], ends])], [np.unique(x) for x in np.split(h, ends)]
 
-    def flush(keys: list[np.ndarray], groups: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+
+def _runs(hashes, buckets: int):  # noqa: ANN001
+    """(group, text, ...) -> sorted runs (bucket, -, keys, groups, n) and, for fingerprints met twice in a run, answers (any bucket, g, keys, -, n)."""
+
+    def flush(keys: list[np.ndarray], groups: list[np.ndarray], at: int) -> Iterator[pa.RecordBatch]:
         h, g = np.concatenate(keys), np.concatenate(groups)
-        order = np.lexsort((g, h))
+        order = np.argsort(h, kind="stable")
         h, g = h[order], g[order]
-        same = np.zeros(len(h), bool)
-        same[2:] = (h[2:] == h[:-2]) & (g[2:] == g[:-2])
-        h, g = h[~same], g[~same]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        many = np.diff(np.append(first, len(h))) > 1
+        again = np.repeat(many, np.diff(np.append(first, len(h))))
+        if again.any():
+            names, parts = _per_group(h[again], g[again])
+            n = len(names)
+            where = (at + np.arange(n)) % buckets
+            yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(names, pa.int32()), pa.array([pack(p) for p in parts], pa.binary()), pa.nulls(n, pa.binary()), pa.array([len(p) for p in parts], pa.int64())], ["bucket", "g", "keys", "groups", "n"])
+        repeats = 1 + many
+        h, g = np.repeat(h[first], repeats), np.repeat(np.where(many, -1, g[first]).astype(np.int32), repeats)
         bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         ends = np.flatnonzero(np.diff(bucket)) + 1
         starts = np.concatenate([[0], ends])
@@ -108,35 +126,59 @@ def _runs(window: int, buckets: int):
             part = slice(at, at + 64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(bucket[starts[part]].astype(np.int32)), pa.array([pack(k) for k in ks[part]], pa.binary()),
+                    pa.array(bucket[starts[part]].astype(np.int32)), pa.nulls(len(ks[part]), pa.int32()), pa.array([pack(k) for k in ks[part]], pa.binary()),
                     pa.array([zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in gs[part]], pa.binary()), pa.array([len(k) for k in ks[part]], pa.int64()),
                 ],
-                ["bucket", "keys", "groups", "n"],
+                ["bucket", "g", "keys", "groups", "n"],
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, keys, groups, held = Windows(window), [], [], 0
+        of, keys, groups, held, at = hashes(), [], [], 0, 0
         for b in batches:
-            for g, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = windows.of(windows.words(text))
+            for g, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h = of(*row)
                 if len(h):
                     keys.append(h)
                     groups.append(np.full(len(h), g, np.int32))
                     held += len(h)
                     if held >= RUN_WINDOWS:
-                        yield from flush(keys, groups)
-                        keys, groups, held = [], [], 0
+                        yield from flush(keys, groups, at)
+                        keys, groups, held, at = [], [], 0, at + 7
         if held:
-            yield from flush(keys, groups)
+            yield from flush(keys, groups, at)
 
     return run
 
 
+def _all_windows(window: int, weak: int | None):
+    """(text) -> fingerprints of all windows; weak keeps that many bits only (for tests)."""
+
+    def make():
+        windows = Windows(window)
+        return lambda text: _weaker(windows.of(windows.words(text)), weak)
+
+    return make
+
+
+def _weaker(h: np.ndarray, bits: int | None) -> np.ndarray:
+    return h if bits is None else (h >> np.uint64(64 - bits)) << np.uint64(64 - bits)
+
+
+def _suspect_windows(window: int):
+    """(text, starts, how many) -> second fingerprints of the suspect windows."""
+
+    def make():
+        windows = Windows(window, BASE2, SEED2)
+        return lambda text, starts, n: windows.of(windows.words(text))[unpack(starts, n, np.uint32)] if n else np.zeros(0, np.uint64)
+
+    return make
+
+
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Rows come sorted by bucket: (bucket, fingerprints, groups) of each; a run of the history has group -1."""
+    """Rows come sorted by bucket: (bucket, fingerprints, groups) of each; what asks nothing, such as a run of the history, has group -1."""
     now, keys, groups = None, [], []
     for b in batches:
-        for bucket, k, g, n in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+        for bucket, _, k, g, n in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
             if bucket != now:
                 if keys:
                     yield now, np.concatenate(keys), np.concatenate(groups)
@@ -148,25 +190,32 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndar
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of a bucket -> for each group the sorted fingerprints that it asked for and that were met twice or more."""
-    for _, h, g in _by_bucket(batches):
+    """Runs of a bucket -> for each group the sorted fingerprints that it asked for and that were met twice or more; answers pass."""
+    passed: list[pa.RecordBatch] = []
+
+    def runs_only() -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            answers = b.filter(b.column(1).is_valid())
+            if answers.num_rows:
+                passed.append(answers.select(["g", "keys", "n"]))
+            yield b.filter(b.column(1).is_null())
+
+    for _, h, g in _by_bucket(runs_only()):
+        yield from passed
+        passed.clear()
         order = np.argsort(h, kind="stable")
         h, g = h[order], g[order]
         twice = np.zeros(len(h), bool)
         twice[1:] = h[1:] == h[:-1]
         twice[:-1] |= twice[1:]
         twice &= g >= 0
-        h, g = h[twice], g[twice]
-        if not len(h):
+        if not twice.any():
             continue
-        order = np.argsort(g, kind="stable")  # fingerprints stay sorted within a group
-        h, g = h[order], g[order]
-        ends = np.flatnonzero(np.diff(g)) + 1
-        parts = [np.unique(x) for x in np.split(h, ends)]
-        names = g[np.concatenate([[0], ends])]
+        names, parts = _per_group(h[twice], g[twice])
         for at in range(0, len(parts), 64):
             part = parts[at : at + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 64].astype(np.int32)), pa.array([pack(p) for p in part], pa.binary()), pa.array([len(p) for p in part], pa.int64())], ["g", "keys", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 64], pa.int32()), pa.array([pack(p) for p in part], pa.binary()), pa.array([len(p) for p in part], pa.int64())], ["g", "keys", "n"])
+    yield from passed
 
 
 def covered(hits: np.ndarray, n_words: int, window: int) -> np.ndarray:
@@ -178,36 +227,70 @@ def covered(hits: np.ndarray, n_words: int, window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows come sorted by (g, kind): a group's repeated fingerprints, then its documents: each document's row with those fingerprints, and None between batches."""
+    now, parts, known = None, [], None
+    for b in batches:
+        for g, kind, doc_id, text, keys, n in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            if g != now:
+                now, parts, known = g, [], None
+            if kind == 0:
+                parts.append(unpack(keys, n))
+                continue
+            if known is None:
+                known = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+            yield g, doc_id, text, keys, n, known
+        yield None
+
+
+def _hits(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(h) or not len(known):
+        return np.zeros(len(h), bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+def _finished(whole: bool, words: list[bytes], gone: np.ndarray | None) -> str:
+    rest = b" ".join(words if gone is None else [w for w, x in zip(words, gone.tolist(), strict=True) if not x])
+    return rest.decode("utf-8", "surrogatepass") if whole else hashlib.sha256(rest).hexdigest()
+
+
+def _suspect(window: int, whole: bool, weak: int | None):
+    """-> (g, doc_id, n_words, kept, text, starts, n): of documents without suspects kept, of the others the text and where suspects start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, rows = Windows(window), []
+        for row in _looked_up(batches):
+            if row is None:
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64()), strict=True)], ["g", "doc_id", "n_words", "kept", "text", "starts", "n"])
+                rows = []
+                continue
+            g, doc_id, text, _, _, known = row
+            words = windows.words(text)
+            at = np.flatnonzero(_hits(_weaker(windows.of(words), weak), known)).astype(np.uint32)
+            rows.append((g, doc_id, len(words), None, text, pack(at), len(at)) if len(at) else (g, doc_id, len(words), _finished(whole, words, None), None, None, 0))
+
+    return run
+
+
 def _drop(window: int, whole: bool):
-    """Rows come sorted by (g, kind): a group's repeated fingerprints, then its documents."""
+    """Suspect windows whose second fingerprint repeats too go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, now, parts, known = Windows(window), None, [], None
-        for b in batches:
-            ids, counts, removed, kept = [], [], [], []
-            for g, doc_id, text, keys, n in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
-                if g != now:
-                    now, parts, known = g, [], None
-                if keys is not None:
-                    parts.append(unpack(keys, n))
-                    continue
-                if known is None:
-                    known = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-                words = windows.words(text)
-                h = windows.of(words)
-                ids.append(doc_id)
-                counts.append(len(words))
-                gone = None
-                if len(h) and len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    hits = known[at] == h
-                    if hits.any():
-                        gone = covered(hits, len(words), window)
-                removed.append(0 if gone is None else int(gone.sum()))
-                rest = b" ".join(words if gone is None else [w for w, x in zip(words, gone.tolist(), strict=True) if not x])
-                kept.append(rest.decode("utf-8", "surrogatepass") if whole else hashlib.sha256(rest).hexdigest())
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+        windows, rows = Windows(window, BASE2, SEED2), []
+        for row in _looked_up(batches):
+            if row is None:
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept"])
+                rows = []
+                continue
+            _, doc_id, text, starts, n, known = row
+            words = windows.words(text)
+            at = unpack(starts, n, np.uint32)
+            hits = np.zeros(len(words), bool)
+            hits[at[_hits(windows.of(words)[at], known)]] = True
+            gone = covered(hits, len(words), window) if hits.any() else None
+            rows.append((doc_id, len(words), 0 if gone is None else int(gone.sum()), _finished(whole, words, gone)))
 
     return run
 
@@ -216,64 +299,106 @@ def _width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def runs(docs: DataFrame, window: int = WINDOW, buckets: int | None = None, groups: int | None = None) -> DataFrame:
-    """The sorted runs of docs: (bucket, keys, groups, n)."""
+def _group(n: int) -> F.Column:
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("g")
+
+
+def runs(docs: DataFrame, window: int = WINDOW, buckets: int | None = None, weak: int | None = None) -> DataFrame:
+    """The sorted runs of docs: (bucket, g, keys, groups, n)."""
+    n = _width(docs.sparkSession)
+    return map_arrow(docs.select(_group(n), "text"), _runs(_all_windows(window, weak), buckets or 2 * n), RUN_SCHEMA)
+
+
+def _answers(made: DataFrame) -> DataFrame:
+    """Runs -> (g, keys, n): the repeated fingerprints that each group asked for."""
+    return map_arrow(made.repartition(_width(made.sparkSession), "bucket").sortWithinPartitions("bucket"), _merge, "g int, keys binary, n long")
+
+
+def _told(docs: DataFrame, answers: DataFrame) -> DataFrame:
+    """docs: (g, doc_id, text, keys, n), each group's answers before its documents."""
     n = _width(docs.sparkSession)
-    asked = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups or n)).cast("int").alias("g")
-    return map_arrow(docs.select(asked, "text"), _runs(window, buckets or 2 * n), RUN_SCHEMA)
+    known = answers.select("g", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "keys", "n")
+    return docs.select("g", F.lit(1).alias("kind"), "doc_id", "text", "keys", "n").unionByName(known).repartition(n, "g").sortWithinPartitions("g", "kind")
+
 
+def _asking_nothing(history: DataFrame) -> DataFrame:
+    return history.select("bucket", F.lit(None).cast("int").alias("g"), "keys", F.lit(None).cast("binary").alias("groups"), "n")
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, history: DataFrame | None = None, buckets: int | None = None, whole: bool = True) -> DataFrame:
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, history: tuple[DataFrame, DataFrame] | None = None, buckets: int | None = None, whole: bool = True, weak: int | None = None) -> DataFrame:
     """docs: (doc_id, text, ...) -> (doc_id, n_words, n_removed, kept), one row per row of docs.
 
     Words covered by a window whose words also start elsewhere in docs, or are in the history's
-    runs, are removed; kept joins the others by a blank (whole=False: its SHA-256 in
+    runs (of first and second fingerprints), are removed; kept joins the others by a blank (whole=False: its SHA-256 in
     hexadecimal). Windows are judged on the input, not on what is left. A null text has no
     words. Repeated rows are repeats of one another; null ids stay; an empty table gives no
-    rows; other columns are dropped.
+    rows; other columns are dropped. weak: bits of the first fingerprint that are used, for tests.
     """
     n = _width(docs.sparkSession)
     own = docs.select("doc_id", "text")
-    made = runs(own, window, buckets)
-    met = made if history is None else made.unionByName(history.select("bucket", "keys", F.lit(None).cast("binary").alias("groups"), "n"))
-    repeated = map_arrow(met.repartition(n, "bucket").sortWithinPartitions("bucket"), _merge, "g int, keys binary, n long")
-    asked = own.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("g"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("long").alias("n")
-    )
-    known = repeated.select("g", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "keys", "n")
-    both = asked.unionByName(known).repartition(n, "g").sortWithinPartitions("g", "kind")
-    return map_arrow(both, _drop(window, whole), "doc_id long, n_words long, n_removed long, kept string")
+    made = runs(own, window, buckets, weak)
+    if history is not None:
+        made = made.unionByName(_asking_nothing(history[0]))
+    asked = own.select(_group(n), "doc_id", "text", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("long").alias("n"))
+    looked = map_arrow(_told(asked, _answers(made)), _suspect(window, whole, weak), "g int, doc_id long, n_words long, kept string, text string, starts binary, n long")
+    suspects = looked.filter("n > 0")
+    second = map_arrow(suspects.select("g", "text", "starts", "n"), _runs(_suspect_windows(window), buckets or 2 * n), RUN_SCHEMA)
+    if history is not None:
+        second = second.unionByName(_asking_nothing(history[1]))
+    verified = map_arrow(_told(suspects.select("g", "doc_id", "text", F.col("starts").alias("keys"), "n"), _answers(second)), _drop(window, whole), "doc_id long, n_words long, n_removed long, kept string")
+    return looked.filter("n = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept").unionByName(verified)
 
 
 class RunIndex:
-    """The history: folders of sorted runs below one path that all executors see. Runs are only added, or merged into one."""
+    """The history: folders of sorted runs below one path that all executors see, of first and of second fingerprints. Runs are only added, or merged by levels."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int, window: int = WINDOW) -> None:
         self.spark, self.path, self.buckets, self.window = spark, path.rstrip("/"), buckets, window
 
-    def history(self) -> DataFrame | None:
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        found = fs.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return self.spark.read.option("recursiveFileLookup", "true").parquet(self.path) if found.exists(fs) else None
+    def _folders(self, kind: str) -> list[str]:
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(f.getPath().toString() for f in fs.listStatus(top)) if fs.exists(top) else []
+
+    def history(self) -> tuple[DataFrame, DataFrame] | None:
+        found = [self._folders(k) for k in ("first", "second")]
+        return tuple(self.spark.read.parquet(*f) for f in found) if all(found) else None
 
     def dedup(self, batch: DataFrame, whole: bool = True) -> DataFrame:
         """What is left of a batch, against the history and itself."""
         return without_repeats(batch, self.window, self.history(), self.buckets, whole)
 
     def append(self, batch: DataFrame, name: str) -> None:
-        """Adds the batch's runs as a folder of their own; writing it again under its name changes nothing."""
-        runs(batch, self.window, self.buckets).select("bucket", "keys", "n").write.mode("overwrite").parquet(f"{self.path}/run-{name}")
-
-    def compact(self, to: str) -> RunIndex:
-        """A new index at another path: one merged run per bucket, each fingerprint once."""
-
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for bucket, h, _ in _by_bucket(batches):
-                keys = np.unique(h)
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([pack(keys)], pa.binary()), pa.array([len(keys)], pa.int64())], ["bucket", "keys", "n"])
-
-        met = self.history()
-        if met is not None:
-            rows = met.select("bucket", "keys", F.lit(None).cast("binary").alias("groups"), "n").repartition(_width(self.spark), "bucket").sortWithinPartitions("bucket")
-            map_arrow(rows, merge, "bucket int, keys binary, n long").write.mode("overwrite").parquet(f"{to.rstrip('/')}/run-merged")
-        return RunIndex(self.spark, to, self.buckets, self.window)
+        """Adds the batch's runs as folders of their own; writing it again under its name changes nothing. An empty batch adds empty runs; null texts have no windows."""
+        for kind, base, seed in (("first", BASE, 0), ("second", BASE2, SEED2)):
+
+            def make(window: int = self.window, base: int = base, seed: int = seed):
+                windows = Windows(window, base, seed)
+                return lambda text: np.unique(windows.of(windows.words(text)))
+
+            made = map_arrow(batch.select(F.lit(-1).alias("g"), "text"), _runs(make, self.buckets), RUN_SCHEMA).filter("g is null")
+            made.select("bucket", "keys", "n").write.mode("overwrite").parquet(f"{self.path}/{kind}/run-{name}")
+
+    def compact(self, name: str, most: int | None = None) -> None:
+        """Merges the `most` oldest runs (None: all) into one of that name, each fingerprint once, and then drops them.
+
+        The merged run is written before those that it holds go, so one that is cut short loses nothing. Merged in
+        batches of a level's size, each fingerprint is rewritten once a level.
+        """
+        for kind in ("first", "second"):
+            folders = [f for f in self._folders(kind) if not f.endswith(f"/run-{name}")][:most]
+            if not folders:
+                continue
+
+            def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for bucket, h, _ in _by_bucket(batches):
+                    keys = np.unique(h)
+                    for at in range(0, len(keys), RUN_WINDOWS):  # a run's cell has a bounded size
+                        part = keys[at : at + RUN_WINDOWS]
+                        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([pack(part)], pa.binary()), pa.array([len(part)], pa.int64())], ["bucket", "keys", "n"])
+
+            rows = _asking_nothing(self.spark.read.parquet(*folders)).repartition(_width(self.spark), "bucket").sortWithinPartitions("bucket")
+            map_arrow(rows, merge, "bucket int, keys binary, n long").write.mode("overwrite").parquet(f"{self.path}/{kind}/run-{name}")
+            for f in folders:
+                gone = self.spark._jvm.org.apache.hadoop.fs.Path(f)
+                gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
