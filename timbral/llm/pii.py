@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from timbral.llm.common import map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS = 16
-TRAIN_LINES, EPOCHS, RATE, RIDGE = 500, 8, 0.25, 1e-3
+MAX_TOKENS = 24
+TRAIN_LINES, EPOCHS, RATE, RIDGE = 800, 8, 0.25, 1e-3
 #: Tokens whose segments are scored at a time; the dynamic program runs over the whole region.
 SCORED_TOKENS = 256
 #: Log-odds against no entity that a span needs to be added.
@@ -37,7 +37,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,}+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[^0-9]+")
-TRIGGER = re.compile(r"[0-9]{3}|@|[(\[](?:at|dot)[)\]]|(?<= )at [A-Za-z0-9-]+ dot ", re.I)
+TRIGGER = re.compile(r"[0-9]{3}|[0-9]{1,2}(?: ?[.-] ?| )[0-9]{1,3}(?: ?[.-] ?| )[0-9]{1,3}|@|[(\[](?:at|dot)[)\]]|(?<= )at [A-Za-z0-9-]+ dot ", re.I)
 #: Chunks that a region goes on over: of digits and separators, or a mark and the chunk beyond it.
 NUMERIC = re.compile(r"[0-9().+/,;:-]+")
 MARK = re.compile(r"@|dot|[(\[](?:at|dot)[)\]]", re.I)
@@ -84,7 +84,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 FEATURES = (
     "bias", "tokens", "digits<4", "digits4-8", "digits9-12", "digits13-19", "digits>19", "at", "dot after at", "letters", "luhn", "plus first", "paren", "groups1",
-    "groups2-3", "groups4", "groups>4", "dots only", "dash or blank only", "octets", "blank edge", "mark edge", "alnum before", "alnum after", "digit unit cut", "cue", "odd mark",
+    "groups2-3", "groups4", "groups>4", "dots only", "dash or blank only", "octets", "blank edge", "mark edge", "alnum before", "alnum after", "digit unit cut", "cue", "odd mark", "shape 3-3-4", "shape of twos", "shape of fours",
 )
 AT = re.compile(r"@|[(\[]at[)\]]| at ", re.I)
 DOT_ON = re.compile(r" (?:dot|[(\[]dot[)\]]) ", re.I)
@@ -110,11 +110,13 @@ def span_features(text: str, start: int, end: int, cue: int) -> np.ndarray:
     x[11], x[12] = s[0] == "+", s.count("(") == 1 == s.count(")")
     x[13 if g < 2 else 14 if g < 4 else 15 if g == 4 else 16] = 1
     x[17], x[18] = marks == {"."}, bool(marks) and marks <= {" ", "-"}
-    x[19] = g == 4 and marks == {"."} and all(int(q) <= 255 for q in groups if len(q) < 4) and max(map(len, groups)) < 4
-    x[20], x[21] = s[0].isspace() or s[-1].isspace(), (not s[0].isalnum() and s[0] not in "+(") or not s[-1].isalnum()
+    x[19] = g == 4 and marks <= {".", " "} and s.count(".") == 3 and all(int(q) <= 255 for q in groups if len(q) < 4) and max(map(len, groups)) < 4
+    x[20], x[21] = s[0].isspace() or s[-1].isspace(), (not s[0].isalnum() and s[0] != "+" and not (s[0] == "(" and s[1:2].isdigit())) or not s[-1].isalnum()
     x[22], x[23] = before.isalnum(), after.isalnum()
     x[24] = (before in {".", "-", "+", "@"} and before != "") or (after in {"@", "-"} and after != "") or bool(DOT_ON.match(text, end) or DOT_LAST.search(s))
     x[25], x[26] = cue >= 0, bool(marks - set(" .-+()@[]_%"))
+    sizes = [len(q) for q in groups]
+    x[27], x[28], x[29] = sizes[-3:] == [3, 3, 4] and g < 5, g > 3 and set(sizes) == {2}, g > 3 and set(sizes) == {4}
     return x
 
 
@@ -178,14 +180,17 @@ def invented_lines(seed: int = 7) -> Iterator[tuple[str, list[tuple[str, int, in
     def card() -> str:
         d = num(15)
         d += next(c for c in "0123456789" if luhn(d + c))
-        sep = r.choice(["", " ", "-", ".", " - "])
+        sep = r.choice(["", "", " ", "-", ".", " - "])
         return sep.join(d[i : i + 4] for i in range(0, 16, 4))
 
+    def octets() -> str:
+        return r.choice([".", ".", " . "]).join(str(r.randint(0, 255)) for _ in range(4))
+
     made = {
-        "email": lambda: r.choice(["{0}@{1}.com", "{0}.{2}@{1}.example.org", "{0} at {1} dot com", "{0}(at){1}.net", "{0} [at] {1} [dot] com", "{0}{3}@{1}.de"]).format(word(), word(), word(), num(2)),
-        "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
+        "email": lambda: r.choice(["{0}@{1}.com", "{0}.{2}@{1}.example.org", "{0} at {1} dot com", "{0}(at){1}.net", "{0} [at] {1} [dot] com", "{0} (at) {1} (dot) org", "{0}.{2} [at] {1}.net", "{0} at {1} dot {2} dot org", "{0}{3}@{1}.de"]).format(word(), word(), word(), num(2)),
+        "ip": octets,
         "card": card,
-        "phone": lambda: r.choice(["+1 ({0}) {1}-{2}", "({0}) {1}-{2}", "{0}-{1}-{2}", "+44 {0} {1} {2}", "{0}.{1}.{2}", "+1{0}{1}{2}"]).format(num(3), num(3), num(4)),
+        "phone": lambda: r.choice(["+1 ({0}) {1}-{2}", "({0}) {1}-{2}", "{0}-{1}-{2}", "+44 {0} {1} {2}", "{0}.{1}.{2}", "{0} {1} {2}", "+1{0}{1}{2}", "06 {3} {4} {5} {6}", "{3}-{4}-{5}-{6}-{7}"]).format(num(3), num(3), num(4), *(num(2) for _ in range(5))),
         None: lambda: r.choice([num(4), num(3), num(8), num(6) + "." + num(2), f"{num(4)}-{num(2)}-{num(2)}", num(12), "".join(r.choice("0123456789abcdef") for _ in range(r.choice([8, 20, 32, 40]))), "".join(r.choice("0123456789abcdef") for _ in range(40)), f"{num(1)}.{num(3)}.{num(2)}", f"{num(3)} {num(4)}", f"{num(5)}-{num(4)}-{num(6)}", num(16), num(22), f"v{num(1)}.{num(3)}", f"{num(3)},{num(3)},{num(3)}", f"{num(4)} {num(4)} {num(4)}", "@" + word()]),
     }
     cue = {"email": ["mail", "email"], "ip": ["ip", "host"], "card": ["card", "visa"], "phone": ["tel", "phone", "call"]}
@@ -198,6 +203,9 @@ def invented_lines(seed: int = 7) -> Iterator[tuple[str, list[tuple[str, int, in
             s = made[kind]()
             if kind:
                 spans.append((kind, len(text), len(text) + len(s)))
+            if kind == "card" and r.random() < 0.3:  # another one beside it
+                text, s = text + s + " ", made[kind]()
+                spans.append((kind, len(text), len(text) + len(s)))
             text += s + r.choice([" ", ". ", ", ", "\n"]) + word()
         yield text, spans
 
@@ -235,7 +243,7 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
             s = max(low, text.rfind(" ", max(0, s - REACH), max(0, s - 1)) + 1) if m[0][:2].lower() in ("at", "(a", "[a") else s
         while e < high and not text[e].isspace():
             e += 1
-        s, e = grown(text, s, e, not m[0].isdigit())
+        s, e = grown(text, s, e, not m[0][0].isdigit())
         if b is not None and s - b <= 2:
             b = max(b, e)
             continue
@@ -287,7 +295,7 @@ def decoded(text: str, tokens: list[tuple[int, int]], cue: int, w: np.ndarray) -
 
 @lru_cache(maxsize=1)
 def trained() -> np.ndarray:
-    """kinds x features, by stochastic gradient ascent with AdaGrad steps; the same on every worker."""
+    """kinds x features, by stochastic gradient ascent with AdaGrad steps; fitted once, on the driver, which sends them along."""
     w, seen = np.zeros((len(KINDS), len(FEATURES))), np.full((len(KINDS), len(FEATURES)), 1e-6)
     data = []
     for text, gold in invented_lines():
@@ -319,23 +327,23 @@ def trained() -> np.ndarray:
     return w
 
 
-def field_spans(text: str) -> list[tuple[str, int, int]]:
+def field_spans(text: str, w: np.ndarray | None = None) -> list[tuple[str, int, int]]:
     """What the field finds, best segmentation of each region."""
-    w, out = trained(), []
+    w, out = trained() if w is None else w, []
     for a, b in regions(text):
         cue, tokens = region_tokens(text, a, b)
         out += decoded(text, tokens, cue, w)
     return out
 
 
-def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+def find(text: str | None, w: np.ndarray | None = None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans): base ones stay, the field's are added where they touch none of those. In order of kind and start."""
     base = base_spans(text) if text else []
     taken = sorted((s, e) for _, s, e in base)
     starts = np.array([s for s, _ in taken])
     far = np.maximum.accumulate([e for _, e in taken]) if taken else starts
     more = []
-    for kind, s, e in field_spans(text) if text else []:
+    for kind, s, e in field_spans(text, w) if text else []:
         i = int(np.searchsorted(starts, e)) - 1 if taken else -1
         if i < 0 or far[i] <= s:
             more.append((kind, s, e))
@@ -346,13 +354,13 @@ def coded(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def redacted(text: str | None) -> str | None:
+def redacted(text: str | None, w: np.ndarray | None = None) -> str | None:
     """Each span, overlapping ones as one, replaced by its kind in brackets; null stays null."""
     if not text:
         return text
     out, at = [], 0
     merged: list[list] = []
-    for kind, s, e in sorted(find(text)[1], key=lambda x: (x[1], -x[2])):
+    for kind, s, e in sorted(find(text, w)[1], key=lambda x: (x[1], -x[2])):
         if merged and s < merged[-1][2]:
             merged[-1][2] = max(merged[-1][2], e)
         else:
@@ -371,9 +379,11 @@ def detect(docs: DataFrame) -> DataFrame:
     string. Repeated rows and null ids stay; an empty table gives no rows; other columns are dropped.
     """
 
+    w = trained()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [find(t) for t in b.column(1).to_pylist()]
+            got = [find(t, w) for t in b.column(1).to_pylist()]
             counts = [pa.array([sum(x[0] == k for x in g[0]) for g in got], pa.int64()) for k in KINDS]
             digest = pa.array([hashlib.sha256(coded(g[0]).encode()).hexdigest() for g in got], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, digest, pa.array([coded(g[1]) for g in got], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
@@ -383,11 +393,11 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the spans of detect replaced in the named column; every other column and every row stays."""
-    at = docs.columns.index(text)
+    at, w = docs.columns.index(text), trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.set_column(at, b.schema.names[at], pa.array([redacted(t) for t in b.column(at).to_pylist()], pa.string()))
+            yield b.set_column(at, b.schema.names[at], pa.array([redacted(t, w) for t in b.column(at).to_pylist()], pa.string()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select([F.col(f"`{c}`") for c in docs.columns]).schema)
     return map_arrow(docs, run, schema)

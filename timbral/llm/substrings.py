@@ -1,6 +1,6 @@
 """Exact repeated passages through a log-structured index of window fingerprints, verified by a second one.
 
-Every window of WINDOW consecutive words has a 64-bit rolling fingerprint. A task's
+Every window of WINDOW consecutive words has a rolling fingerprint of KEY_BITS bits. A task's
 fingerprints become sorted immutable runs, one per range (bucket) of fingerprints and
 delta-coded, each fingerprint with the group of documents that asks for it. One that is met twice
 within a run is known to repeat: the groups that have it are told directly, and the run keeps two
@@ -11,7 +11,7 @@ are looked up: those found are suspects.
 
 Suspects are verified: the same is done once more with the suspect windows alone, by a second fingerprint
 of another base and another hash of the words, and only windows that repeat by both are dropped.
-Two different windows would have to agree in 128 bits. A text is never cut; nothing is
+Two different windows would have to agree in 120 bits. A text is never cut; nothing is
 broadcast or collected.
 """
 
@@ -35,6 +35,8 @@ RUN_WINDOWS = 2_000_000
 #: Distinct words whose hashes a worker keeps.
 MEMO_WORDS = 500_000
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
+#: Bits of the first fingerprint: it only finds suspects. The second has 64.
+KEY_BITS = 56
 #: The second fingerprint's base and word hash seed.
 BASE2, SEED2 = 0xD1342543DE82EF95, 1
 RUN_SCHEMA = "bucket int, g int, keys binary, groups binary, n long"
@@ -150,18 +152,18 @@ def _runs(hashes, buckets: int):  # noqa: ANN001
     return run
 
 
-def _all_windows(window: int, weak: int | None):
-    """(text) -> fingerprints of all windows; weak keeps that many bits only (for tests)."""
+def _all_windows(window: int, bits: int):
+    """(text) -> first fingerprints of all windows."""
 
     def make():
         windows = Windows(window)
-        return lambda text: _weaker(windows.of(windows.words(text)), weak)
+        return lambda text: _high(windows.of(windows.words(text)), bits)
 
     return make
 
 
-def _weaker(h: np.ndarray, bits: int | None) -> np.ndarray:
-    return h if bits is None else (h >> np.uint64(64 - bits)) << np.uint64(64 - bits)
+def _high(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)) << np.uint64(64 - bits) if bits < 64 else h
 
 
 def _suspect_windows(window: int):
@@ -231,7 +233,7 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows come sorted by (g, kind): a group's repeated fingerprints, then its documents: each document's row with those fingerprints, and None between batches."""
     now, parts, known = None, [], None
     for b in batches:
-        for g, kind, doc_id, text, keys, n in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+        for g, kind, doc_id, text, keys, n, n_words, kept in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
             if g != now:
                 now, parts, known = g, [], None
             if kind == 0:
@@ -239,7 +241,7 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                 continue
             if known is None:
                 known = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-            yield g, doc_id, text, keys, n, known
+            yield g, doc_id, text, keys, n, n_words, kept, known
         yield None
 
 
@@ -254,7 +256,7 @@ def _finished(whole: bool, words: list[bytes], gone: np.ndarray | None) -> str:
     return rest.decode("utf-8", "surrogatepass") if whole else hashlib.sha256(rest).hexdigest()
 
 
-def _suspect(window: int, whole: bool, weak: int | None):
+def _suspect(window: int, whole: bool, bits: int):
     """-> (g, doc_id, n_words, kept, text, starts, n): of documents without suspects kept, of the others the text and where suspects start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,9 +267,9 @@ def _suspect(window: int, whole: bool, weak: int | None):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64()), strict=True)], ["g", "doc_id", "n_words", "kept", "text", "starts", "n"])
                 rows = []
                 continue
-            g, doc_id, text, _, _, known = row
+            g, doc_id, text, *_, known = row
             words = windows.words(text)
-            at = np.flatnonzero(_hits(_weaker(windows.of(words), weak), known)).astype(np.uint32)
+            at = np.flatnonzero(_hits(_high(windows.of(words), bits), known)).astype(np.uint32)
             rows.append((g, doc_id, len(words), None, text, pack(at), len(at)) if len(at) else (g, doc_id, len(words), _finished(whole, words, None), None, None, 0))
 
     return run
@@ -284,7 +286,10 @@ def _drop(window: int, whole: bool):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept"])
                 rows = []
                 continue
-            _, doc_id, text, starts, n, known = row
+            _, doc_id, text, starts, n, n_words, kept, known = row
+            if kept is not None:
+                rows.append((doc_id, n_words, 0, kept))
+                continue
             words = windows.words(text)
             at = unpack(starts, n, np.uint32)
             hits = np.zeros(len(words), bool)
@@ -303,10 +308,10 @@ def _group(n: int) -> F.Column:
     return F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("g")
 
 
-def runs(docs: DataFrame, window: int = WINDOW, buckets: int | None = None, weak: int | None = None) -> DataFrame:
+def runs(docs: DataFrame, window: int = WINDOW, buckets: int | None = None, bits: int = KEY_BITS) -> DataFrame:
     """The sorted runs of docs: (bucket, g, keys, groups, n)."""
     n = _width(docs.sparkSession)
-    return map_arrow(docs.select(_group(n), "text"), _runs(_all_windows(window, weak), buckets or 2 * n), RUN_SCHEMA)
+    return map_arrow(docs.select(_group(n), "text"), _runs(_all_windows(window, bits), buckets or 2 * n), RUN_SCHEMA)
 
 
 def _answers(made: DataFrame) -> DataFrame:
@@ -315,38 +320,39 @@ def _answers(made: DataFrame) -> DataFrame:
 
 
 def _told(docs: DataFrame, answers: DataFrame) -> DataFrame:
-    """docs: (g, doc_id, text, keys, n), each group's answers before its documents."""
+    """docs: (g, doc_id, text, keys, n, n_words, kept), each group's answers before its documents."""
     n = _width(docs.sparkSession)
-    known = answers.select("g", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "keys", "n")
-    return docs.select("g", F.lit(1).alias("kind"), "doc_id", "text", "keys", "n").unionByName(known).repartition(n, "g").sortWithinPartitions("g", "kind")
+    null = {"doc_id": "long", "text": "string", "n_words": "long", "kept": "string"}
+    columns = ["g", "kind", "doc_id", "text", "keys", "n", "n_words", "kept"]
+    known = answers.withColumns({"kind": F.lit(0)} | {c: F.lit(None).cast(t) for c, t in null.items()}).select(*columns)
+    return docs.withColumn("kind", F.lit(1)).select(*columns).unionByName(known).repartition(n, "g").sortWithinPartitions("g", "kind")
 
 
 def _asking_nothing(history: DataFrame) -> DataFrame:
     return history.select("bucket", F.lit(None).cast("int").alias("g"), "keys", F.lit(None).cast("binary").alias("groups"), "n")
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, history: tuple[DataFrame, DataFrame] | None = None, buckets: int | None = None, whole: bool = True, weak: int | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, history: tuple[DataFrame, DataFrame] | None = None, buckets: int | None = None, whole: bool = True, bits: int = KEY_BITS) -> DataFrame:
     """docs: (doc_id, text, ...) -> (doc_id, n_words, n_removed, kept), one row per row of docs.
 
     Words covered by a window whose words also start elsewhere in docs, or are in the history's
     runs (of first and second fingerprints), are removed; kept joins the others by a blank (whole=False: its SHA-256 in
     hexadecimal). Windows are judged on the input, not on what is left. A null text has no
     words. Repeated rows are repeats of one another; null ids stay; an empty table gives no
-    rows; other columns are dropped. weak: bits of the first fingerprint that are used, for tests.
+    rows; other columns are dropped. bits: of the first fingerprint.
     """
     n = _width(docs.sparkSession)
     own = docs.select("doc_id", "text")
-    made = runs(own, window, buckets, weak)
+    made = runs(own, window, buckets, bits)
     if history is not None:
         made = made.unionByName(_asking_nothing(history[0]))
-    asked = own.select(_group(n), "doc_id", "text", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("long").alias("n"))
-    looked = map_arrow(_told(asked, _answers(made)), _suspect(window, whole, weak), "g int, doc_id long, n_words long, kept string, text string, starts binary, n long")
-    suspects = looked.filter("n > 0")
-    second = map_arrow(suspects.select("g", "text", "starts", "n"), _runs(_suspect_windows(window), buckets or 2 * n), RUN_SCHEMA)
+    asked = own.select(_group(n), "doc_id", "text", F.lit(None).cast("binary").alias("keys"), *[F.lit(None).cast("long").alias(c) for c in ("n", "n_words")], F.lit(None).cast("string").alias("kept"))
+    looked = map_arrow(_told(asked, _answers(made)), _suspect(window, whole, bits), "g int, doc_id long, n_words long, kept string, text string, starts binary, n long")
+    second = map_arrow(looked.filter("n > 0").select("g", "text", "starts", "n"), _runs(_suspect_windows(window), buckets or 2 * n), RUN_SCHEMA)
     if history is not None:
         second = second.unionByName(_asking_nothing(history[1]))
-    verified = map_arrow(_told(suspects.select("g", "doc_id", "text", F.col("starts").alias("keys"), "n"), _answers(second)), _drop(window, whole), "doc_id long, n_words long, n_removed long, kept string")
-    return looked.filter("n = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept").unionByName(verified)
+    told = _told(looked.withColumnRenamed("starts", "keys"), _answers(second))  # documents without suspects pass: looking up once less is worth their digests' way
+    return map_arrow(told, _drop(window, whole), "doc_id long, n_words long, n_removed long, kept string")
 
 
 class RunIndex:
@@ -370,11 +376,11 @@ class RunIndex:
 
     def append(self, batch: DataFrame, name: str) -> None:
         """Adds the batch's runs as folders of their own; writing it again under its name changes nothing. An empty batch adds empty runs; null texts have no windows."""
-        for kind, base, seed in (("first", BASE, 0), ("second", BASE2, SEED2)):
+        for kind, base, seed, bits in (("first", BASE, 0, KEY_BITS), ("second", BASE2, SEED2, 64)):
 
-            def make(window: int = self.window, base: int = base, seed: int = seed):
+            def make(window: int = self.window, base: int = base, seed: int = seed, bits: int = bits):
                 windows = Windows(window, base, seed)
-                return lambda text: np.unique(windows.of(windows.words(text)))
+                return lambda text: np.unique(_high(windows.of(windows.words(text)), bits))
 
             made = map_arrow(batch.select(F.lit(-1).alias("g"), "text"), _runs(make, self.buckets), RUN_SCHEMA).filter("g is null")
             made.select("bucket", "keys", "n").write.mode("overwrite").parquet(f"{self.path}/{kind}/run-{name}")
