@@ -88,6 +88,26 @@ def test_chat_round_trip(spark):
     assert w.count() > 41
 
 
+def test_chat_budget(spark):
+    """Whole windows fit the budget, with system turns short or long, but where one turn and the system turn alone pass it."""
+    r = random.Random(8)
+    data = []
+    for c in range(60):
+        if c % 3:
+            data.append((c, 0, "system", "s" * r.choice([10, 800, 2400, 3000])))
+        data += [(c, t, r.choice(["user", "assistant"]), "x" * r.choice([5, 100, 400, 1200, 5000])) for t in range(1, 40)]
+    data.append((99, 0, "assistant", "long " * 200_000))
+    w = chat.windows(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))
+    tokens = lambda x: -(-len(x) // chat.CHARS_A_TOKEN) + chat.TURN_TOKENS
+    system = {c: tokens(x) for c, t, role, x in data if role == "system"}
+    longest = {c: max(tokens(x) for d, _, role, x in data if d == c and role != "system") for c in {d[0] for d in data}}
+    rows = w.select("conv_id", "n_context", "tokens", F.size(F.expr("regexp_extract_all(formatted, '(</s>|\\\\[/INST\\\\]|<</SYS>>)', 1)")).alias("turns")).collect()
+    for x in rows:
+        alone = x.turns - x.n_context == 1 and x.n_context <= 1
+        assert x.tokens <= chat.BUDGET or alone and x.tokens <= system.get(x.conv_id, 0) + longest[x.conv_id], x
+    assert sum(x.tokens <= chat.BUDGET for x in rows) > len(rows) / 2 and any(x.n_context > 1 for x in rows)
+
+
 # --- 2: SimHash ---------------------------------------------------------------------------------
 
 

@@ -164,7 +164,6 @@ class Coder:
         self.vocabulary = Vocabulary(text)
         self.pieces = regex.compile(self.PIECES).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.vocabulary.specials, key=len, reverse=True))) + ")")
-        self.marks = [s[:2] for s in self.vocabulary.specials]
         self.memo: dict[str, tuple[bytes, str]] = {}
 
     def _learn(self, words: set[str]) -> None:
@@ -190,7 +189,7 @@ class Coder:
         new: set[str] = set()
         for text in texts:
             parts: list[tuple[str | None, list[str]]] = []
-            for part in self.specials.split(text) if "<|" in text else [text]:
+            for part in self.specials.split(text) if self.vocabulary.specials else [text]:
                 if part in self.vocabulary.specials:
                     parts.append((part, []))
                 elif part:

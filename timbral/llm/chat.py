@@ -1,11 +1,12 @@
 r"""Chat formatting into budgeted windows, with DataFrame functions only.
 
-Turns lie end to end on a line of tokens, by prefix sums over a conversation. The line is cut every
-BUDGET tokens: the turns that lie wholly in one cell are a window's new turns; a turn that
-crosses a cut is a window of its own. So windows are turn-aligned, hold every turn once as
-new, and new turns exceed the budget only where a single turn does. A window also has, not
-for the loss, the conversation's first turn if that is a system turn, and up to HISTORY
-turns before its own, of HISTORY_TOKENS in all. The loss mask covers new assistant texts.
+Turns lie end to end on a line of tokens, by prefix sums over a conversation. The first turn, if it is a system turn, is
+repeated in each window, so the line after it is cut every BUDGET less its tokens (LEAST_NEW at least):
+the turns that lie wholly in one cell are a window's new turns; a turn that crosses a cut is a window
+of its own. So windows are turn-aligned and hold every turn once as new. A window also has, not for the
+loss, that system turn, and up to HISTORY turns before its own, of HISTORY_TOKENS in all and of what the
+budget still has room for. So a whole window exceeds the budget only where a single turn with
+the system turn does, or the system turn leaves less than LEAST_NEW. The loss mask covers new assistant texts.
 
 A turn is its marks around its escaped text:
 user [INST]...[/INST], assistant <s>...</s>, system <<SYS>>...<</SYS>>, any other role
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUDGET, HISTORY, HISTORY_TOKENS = 1024, 4, 256
+BUDGET, HISTORY, HISTORY_TOKENS, LEAST_NEW = 1024, 4, 256, 256
 CHARS_A_TOKEN, TURN_TOKENS = 4, 4
 
 # The template's marks and the escapes of their strings within texts.
@@ -50,9 +51,9 @@ def _by_role(known: dict[str, str], other: F.Column) -> F.Column:
 
 
 def windows(conversations: DataFrame) -> DataFrame:
-    """conversations: (conv_id, turn, role, text, ...) -> (conv_id, window, formatted, n_context, loss array<struct<start, stop>>).
+    """conversations: (conv_id, turn, role, text, ...) -> (conv_id, window, formatted, n_context, tokens, loss array<struct<start, stop>>).
 
-    One row per window. n_context: turns at the window's start that aren't new. loss: stretches
+    One row per window. n_context: turns at the window's start that aren't new. tokens: of all its turns. loss: stretches
     of formatted, in code points from 0, end exclusive. A null text or role counts as empty; rows of a
     null conv_id are one conversation. Turns are in the order of turn, nulls first,
     then role and text; repeated rows are turns of their own. An empty table gives no rows.
@@ -66,24 +67,29 @@ def windows(conversations: DataFrame) -> DataFrame:
         .withColumn("tokens", (F.length("body") + CHARS_A_TOKEN - 1 - F.pmod(F.length("body") + CHARS_A_TOKEN - 1, F.lit(CHARS_A_TOKEN))) / CHARS_A_TOKEN + TURN_TOKENS).withColumn("tokens", F.col("tokens").cast("long"))
         .withColumn("stop", F.sum("tokens").over(upto)).withColumn("place", F.row_number().over(line) - 1)
         .withColumn("begin", F.col("stop") - F.col("tokens"))
-        .withColumn("cell", F.expr(f"2 * (begin div {BUDGET}) + IF(begin div {BUDGET} = (stop - 1) div {BUDGET}, 0, 1)"))
+        .withColumn("system_tokens", F.coalesce(F.first(F.when(F.col("role") == "system", F.col("tokens"))).over(upto), F.lit(0)))
+        .withColumn("room", F.expr(f"greatest({BUDGET} - system_tokens, {LEAST_NEW})"))
+        .withColumn("cell", F.expr("2 * (greatest(begin - system_tokens, 0) div room) + IF(greatest(begin - system_tokens, 0) div room = (greatest(stop - system_tokens, 1) - 1) div room, 0, 1)"))
         .withColumn("first", F.coalesce(F.lag("cell").over(line) != F.col("cell"), F.lit(True))).withColumn("window", F.sum(F.col("first").cast("int")).over(upto).cast("int") - 1)
     )
-    piece = F.struct("place", "role", "lead", "body", "tail", "begin")
+    piece = F.struct("place", "role", "lead", "body", "tail", "begin", "tokens")
     # what a window repeats is read at its first turn, so no row holds more than HISTORY + 1 other turns
     turns = turns.withColumn("opening", F.first(F.when(F.col("role") == "system", piece)).over(upto)).withColumn("before", F.array(*[F.lag(piece, k).over(line) for k in range(HISTORY, 0, -1)]))
-    history = f"filter(before, t -> t IS NOT NULL AND begin - t.begin <= {HISTORY_TOKENS})"
-    system = f"filter(array(opening), t -> t IS NOT NULL AND place > 0 AND NOT exists({history}, h -> h.place = 0))"
-    marked = turns.select("conv_id", "window", piece.alias("piece"), F.expr(f"CASE WHEN first THEN concat({system}, {history}) END").alias("context"))
+    once = F.when(F.col("first"), F.struct("opening", "before", "system_tokens"))
+    marked = turns.select("conv_id", "window", piece.alias("piece"), once.alias("around"))
+    limit = f"least({HISTORY_TOKENS}, {BUDGET} - around.system_tokens - new_tokens)"
     built = (
-        marked.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list("piece")).alias("new"), F.flatten(F.collect_list("context")).alias("context"))
+        marked.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list("piece")).alias("new"), F.first("around", ignorenulls=True).alias("around"), F.sum("piece.tokens").alias("new_tokens"))
+        .withColumn("history", F.expr(f"filter(around.before, t -> t IS NOT NULL AND new[0].begin - t.begin <= {limit})"))
+        .withColumn("context", F.expr("concat(filter(array(around.opening), t -> t IS NOT NULL AND new[0].place > 0 AND NOT exists(history, h -> h.place = 0)), history)"))
         .withColumn("pieces", F.concat("context", "new")).withColumn("n_context", F.size("context").cast("long"))
+        .withColumn("tokens", F.expr("aggregate(pieces, 0L, (a, p) -> a + p.tokens)"))
         .withColumn("ends", F.expr("aggregate(pieces, array(0), (a, p) -> concat(a, array(element_at(a, -1) + length(p.lead) + length(p.body) + length(p.tail))))"))
         .withColumn("loss", F.expr("""transform(filter(sequence(0, size(pieces) - 1), i -> i >= n_context AND pieces[i].role = 'assistant'),
             i -> struct(ends[i] + length(pieces[i].lead) AS start, ends[i] + length(pieces[i].lead) + length(pieces[i].body) AS stop))"""))
         .withColumn("formatted", F.expr("array_join(transform(pieces, p -> concat(p.lead, p.body, p.tail)), '')"))
     )
-    return built.select("conv_id", "window", "formatted", "n_context", "loss")
+    return built.select("conv_id", "window", "formatted", "n_context", "tokens", "loss")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

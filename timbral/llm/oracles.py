@@ -25,7 +25,7 @@ def _escaped(c: str) -> str:
 def op1() -> str:
     marks = " ".join(f"when {_quote(r)} then {len(chat.OPEN[r]) + len(chat.CLOSE[r])}" for r in chat.OPEN)
     other = len(chat.OTHER_OPEN) + len(chat.OTHER_MID) + len(chat.OTHER_CLOSE)
-    b, h, ht = chat.BUDGET, chat.HISTORY, chat.HISTORY_TOKENS
+    b, h, ht, least = chat.BUDGET, chat.HISTORY, chat.HISTORY_TOKENS, chat.LEAST_NEW
     return f"""
 with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -35,15 +35,18 @@ with rows as (
 ), lined as (
   select *, (body + {chat.CHARS_A_TOKEN - 1}) // {chat.CHARS_A_TOKEN} + {chat.TURN_TOKENS} as tokens,
     row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as place from sized
-), summed as (select *, sum(tokens) over (partition by conv_id order by place)::bigint as stop from lined
-), celled as (
-  select *, stop - tokens as start, 2 * ((stop - tokens) // {b}) + case when (stop - tokens) // {b} = (stop - 1) // {b} then 0 else 1 end as cell from summed
+), summed as (
+  select *, sum(tokens) over (partition by conv_id order by place)::bigint as stop,
+    coalesce(first_value(case when role = 'system' then tokens end) over (partition by conv_id order by place), 0) as system_tokens from lined
+), roomy as (select *, greatest({b} - system_tokens, {least}) as room, greatest(stop - tokens - system_tokens, 0) as pos, greatest(stop - system_tokens, 1) as pos_stop from summed
+), celled as (select *, stop - tokens as start, 2 * (pos // room) + case when pos // room = (pos_stop - 1) // room then 0 else 1 end as cell from roomy
 ), firsts as (
   select *, coalesce(lag(cell) over (partition by conv_id order by place) <> cell, true) as is_first from celled
-), windows as (select conv_id, place as at, start as at_start from firsts where is_first
+), numbered as (select *, sum(is_first::int) over (partition by conv_id order by place) as win from firsts
+), windows as (select conv_id, min(place) as at, min(start) as at_start, least({ht}, {b} - max(system_tokens) - sum(tokens)) as most from numbered group by conv_id, win
 ), context as (
   select distinct w.conv_id, w.at, f.place, f.body + f.marks as chars from windows w join firsts f on f.conv_id is not distinct from w.conv_id and f.place < w.at
-  where (f.place >= w.at - {h} and w.at_start - f.start <= {ht}) or (f.place = 0 and f.role = 'system')
+  where (f.place >= w.at - {h} and w.at_start - f.start <= w.most) or (f.place = 0 and f.role = 'system')
 ), extra as (select conv_id, sum(chars) as chars from context group by conv_id
 ), whole as (
   select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,

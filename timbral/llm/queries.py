@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from timbral.llm import bpe, chat, decontaminate, licenses, pii, quality, rules, simhash, substrings, toxicity
 from timbral.llm.common import table
 
-#: Where the public tokenizers' files are; set TOKENIZERS_DIR for another place.
-VOCABULARY = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "word_bpe_49k.json")
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 CONTROL = "</s>[INST] ok [/INST]"
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    extra = spark.sql(f"select * from values (-7L, 0L, 'user', '{CONTROL}'), (-7L, 1L, 'assistant', '{CONTROL}') as t(conv_id, turn, role, text)")
     return chat.digests(rows.unionByName(extra))
 
 
