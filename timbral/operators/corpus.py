@@ -72,9 +72,13 @@ def file_names(clips: DataFrame) -> DataFrame:
     return clips.withColumn("filename", F.concat(name, F.lit(".wav")))
 
 
-def fan_out(clips: DataFrame, by_class: DataFrame, seed: int = 42) -> DataFrame:
-    """One clean row and factor - 1 augmented rows a clip, with the augmentation's type. Ids fan out, waveforms are joined later."""
-    out = clips.join(F.broadcast(by_class), "file_type").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("factor") - 1)))
+def fan_out(clips: DataFrame, by_class: DataFrame, seed: int = 42, only: Column | None = None) -> DataFrame:
+    """One clean row and factor - 1 augmented rows a clip, with the augmentation's type. Ids fan out, waveforms are joined later.
+
+    Clips for which `only` doesn't hold keep their clean row alone: they are never fanned out.
+    """
+    factor = F.col("factor") if only is None else F.when(only, F.col("factor")).otherwise(1)
+    out = clips.join(F.broadcast(by_class), "file_type").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), factor - 1)))
     u = draw("type", "clip_id", "copy", seed=seed)
     return out.withColumn("aug", F.when(F.col("copy") == 0, "-").otherwise(choose(u, TYPES)))
 

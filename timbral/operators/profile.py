@@ -50,3 +50,10 @@ def pairwise(c: DataFrame, group: str, vector: str) -> DataFrame:
     flat = c.select(group, F.posexplode(vector).alias("i", "v"))
     a, b = flat.select(F.col(group).alias("a"), "i", F.col("v").alias("x")), flat.select(F.col(group).alias("b"), "i", F.col("v").alias("y"))
     return a.join(b, "i").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
+
+
+def off_diagonal(c: DataFrame, vector: str) -> DataFrame:
+    """(pairs, mean_cosine) of all pairs of unit vectors: (|sum|^2 - sum of |v|^2) / (n (n - 1)); sums by place, combined before the shuffle. Fewer than two give no pairs and a null."""
+    places = c.select(F.posexplode(vector).alias("i", "v")).groupBy("i").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    one = places.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.sum(F.col("s") * F.col("s") - F.col("q")).alias("cross"))
+    return one.select((F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"), F.when(F.col("n") > 1, F.col("cross") / (F.col("n") * (F.col("n") - 1))).alias("mean_cosine"))

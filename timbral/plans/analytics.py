@@ -194,8 +194,8 @@ def centroid_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {CENTROIDS_SQL}, p as (select a.label as a, b.label as b, sum(a.v * b.v) as cosine from unit a join unit b on a.i = b.i and a.label < b.label group by all) select count(*) as pairs, round(avg(cosine), 6) as mean_cosine, avg(cosine) > 0.8 as poor from p")
 def off_diag_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean over all pairs without the diagonal, by the pairs' own sum."""
-    return profile.pairwise(bank(spark, sf_dir), "label", "centroid").agg(F.count("*").alias("pairs"), F.round(F.avg("cosine"), 6).alias("mean_cosine"), (F.avg("cosine") > 0.8).alias("poor"))
+    """The mean over all pairs without the diagonal: (|sum of v|^2 - sum of |v|^2) / (n (n - 1)), so no pair is made."""
+    return profile.off_diagonal(bank(spark, sf_dir), "centroid").select("pairs", F.round("mean_cosine", 6).alias("mean_cosine"), (F.col("mean_cosine") > 0.8).alias("poor"))
 
 
 @query(f"with {CENTROIDS_SQL}, c as (select label, list(v order by i) as v from unit group by label) select doc_id, round(coalesce(list_sum(list_transform(c.v, lambda x: x * x)), 0), 6) as norm2, c.label is null as is_default from documents d left join c on c.label = d.doc_id % 14")

@@ -140,10 +140,14 @@ PROTOCOL = f"""{PARAMETERS}, {RANKS}, placed as (select split, speaker_id, case
  where split = 'train' or copy = 0)"""
 
 
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The protocol's rows before they are numbered. Splits come first, and only the training split is fanned out; the others have factor 1."""
+    c = clips(spark, sf_dir)
+    return corpus.fan_out(c.join(corpus.split_speakers(c), "speaker_id"), factors.by_class(corpus.balanced_factors(c, 0.5, 3)), only=F.col("split") == "train")
+
+
 def protocol_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the training split is augmented; the others have factor 1."""
-    rows = corpus.parameters(fanned(spark, sf_dir)).join(corpus.split_speakers(clips(spark, sf_dir)), "speaker_id").filter("split = 'train' or copy = 0")
-    return corpus.protocol(rows)
+    return corpus.protocol(corpus.parameters(placed(spark, sf_dir)))
 
 
 @query(f"with {PROTOCOL} select *, speaker_id || ' ' || audio_id || ' ' || system_id || ' ' || key as line from placed")
@@ -154,7 +158,8 @@ def protocol_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {PROTOCOL} select split, count(*) as total, count(*) filter (key = 'bonafide') as n_bonafide, count(*) filter (key = 'spoof') as n_spoof, count(*) filter (system_id = '-') as n_clean,
  count(*) filter (system_id <> '-') as n_augmented, round(100.0::double * count(*) filter (system_id = '-') / count(*), 6) as clean_pct from placed group by split""")
 def protocol_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.protocol_statistics(protocol_of(spark, sf_dir))
+    """Counts need neither numbers nor labels: what is clean shows in the type."""
+    return corpus.protocol_statistics(placed(spark, sf_dir).select("split", F.col("file_type").alias("key"), F.col("aug").alias("system_id")))
 
 
 FILE_SPLIT = """files as (select clip_id, speaker_id, row_number() over (partition by speaker_id order by md5(concat_ws('|', '42', clip_id::varchar))) - 1 as rank, count(*) over (partition by speaker_id) as n from clips),
