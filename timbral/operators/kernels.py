@@ -150,10 +150,9 @@ def augmented(row: object, rate: int = 16000, seed: int = 42) -> np.ndarray:
 
 def augment(rows: DataFrame, rate: int = 16000, seed: int = 42) -> DataFrame:
     """rows: corpus.parameters' columns with x, rir and noise_wave (arrays, the latter null where there is none) -> (clip_id, copy, aug, y)."""
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(WAVE_ROWS))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
+        for p in (whole.iloc[at : at + WAVE_ROWS] for whole in parts for at in range(0, len(whole), WAVE_ROWS)):
             yield pd.DataFrame({"clip_id": p.clip_id, "copy": p["copy"], "aug": p.aug, "y": [augmented(r, rate, seed) for r in p.itertuples(index=False)]})
 
     columns = ["clip_id", "copy", "aug", "x", "rir", "noise_wave", "snr_db", "rate", "loss", "bandpass", "bits", "operations"]
@@ -163,17 +162,23 @@ def augment(rows: DataFrame, rate: int = 16000, seed: int = 42) -> DataFrame:
 def with_dictionary(rows: DataFrame, dictionary: DataFrame, category: str, name: str, seed: int = 42) -> DataFrame:
     """rows with `name`, the wave of a random member of the row's category; null where the category has none.
 
-    dictionary: (category, path, wave). Members are numbered by path, and the draw is an equi-join on (category, number).
+    dictionary: (category, path, wave). Paths are unique within a category. They are numbered in blocks by their hash, without
+    the waves; the draw is an equi-join on (category, number), and waves are joined last, by path.
     """
     from pyspark.sql import Window
 
     from timbral.functions.draws import draw
 
-    w = Window.partitionBy("category")
-    members = dictionary.select(F.col("category").alias(category), F.col("wave").alias(name), (F.row_number().over(w.orderBy("path")) - 1).cast("long").alias("_i"), F.count("*").over(w).alias("_n"))
-    sizes = members.select(category, "_n").distinct()
-    picked = rows.join(F.broadcast(sizes), category, "left").withColumn("_i", F.floor(draw(f"file {name}", "clip_id", "copy", seed=seed) * F.col("_n")))
-    return picked.drop("_n").join(members.drop("_n"), [category, "_i"], "left").drop("_i")
+    names = dictionary.select(F.col("category").alias(category), "path").withColumn("_b", F.substring(F.md5("path"), 1, 3))
+    blocks = names.groupBy(category, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(category).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(category, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))  # of 4,096 blocks a category
+    number = F.row_number().over(Window.partitionBy(category, "_b").orderBy("path")) - 1 + F.col("_o")
+    members = names.join(offsets, [category, "_b"]).select(category, number.cast("long").alias("_i"), F.col("path").alias("_path"))
+    sizes = names.groupBy(category).agg(F.count("*").alias("_n"))
+    picked = rows.join(sizes, category, "left").withColumn("_i", F.floor(draw(f"file {name}", "clip_id", "copy", seed=seed) * F.col("_n"))).drop("_n")
+    waves = dictionary.select(F.col("category").alias(category), F.col("path").alias("_path"), F.col("wave").alias(name))
+    return picked.join(members, [category, "_i"], "left").join(waves, [category, "_path"], "left").drop("_i", "_path")
 
 
 def flatness(x: np.ndarray, size: int = 512) -> float:

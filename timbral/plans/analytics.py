@@ -148,12 +148,12 @@ def latest_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = "len(regexp_extract_all(text, '[^ \\t\\n\\r\\x0B\\f]+'))"
 
 
-@query(f"select doc_id, n_words, failed from (select doc_id, {WORDS}::bigint as n_words, n_chars / (200.0::double * 0.4::double * greatest({WORDS}, 1)) as ratio, n_chars / (200.0::double * 0.4::double * greatest({WORDS}, 1)) not between 0.06 and 0.1 as failed from documents)")
+@query(f"select doc_id, n_words, n_words > 0 and (ratio > 3.5::double or ratio < 0.15::double) as failed from (select doc_id, {WORDS}::bigint as n_words, n_chars / 16.0::double / (0.4::double * greatest({WORDS}, 1)) as ratio from documents)")
 def duration_ratio_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected seconds are 0.4 a word; characters stand in for the duration that is held against them."""
+    """Failed if over 3.5 or under 0.15 times the expected seconds, 0.4 a word; sixteen characters stand in for a second. No words: not failed."""
     n = F.size(F.filter(F.split("text", "[ \\t\\n\\r\\x0B\\f]+"), lambda w: w != "")).cast("long")
-    ratio = F.col("n_chars") / (F.lit(200.0) * F.lit(0.4) * F.greatest(n, F.lit(1)))
-    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_words"), (~ratio.between(0.06, 0.1)).alias("failed"))
+    ratio = F.col("n_chars") / F.lit(16.0) / (F.lit(0.4) * F.greatest(n, F.lit(1)))
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_words"), ((n > 0) & ((ratio > 3.5) | (ratio < 0.15))).alias("failed"))
 
 
 @query("select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as quantity, round(avg(l_discount), 4) as discount from lineitem group by rollup(l_returnflag, l_linestatus)")

@@ -12,14 +12,14 @@ from timbral.sources.adapters import waves
 
 
 def _rows(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Two augmented copies of each wave, of one kind, with waves of small ids as rooms and noises."""
+    """Two augmented copies of each wave, of one kind, with the waves themselves as rooms and noises."""
     w = waves(spark, sf_dir)
     ids = w.select(F.col("wave_id").alias("clip_id"), F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("copy")).withColumn("aug", F.lit(kind))
     narrow = corpus.parameters(ids)
     category = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("wave_id") % 3 + 1).cast("int")).alias("category")
-    small = w.filter("wave_id < 60").withColumn("path", F.lpad(F.col("wave_id").cast("string"), 6, "0"))
-    rooms = small.select(category([n for n, _ in corpus.ROOMS]), "path", F.slice("x", 1, 16).alias("wave"))
-    noises = small.select(category([n for n, _ in corpus.NOISES]), "path", F.col("x").alias("wave"))
+    named = w.withColumn("path", F.col("wave_id").cast("string"))
+    rooms = named.select(category([n for n, _ in corpus.ROOMS]), "path", F.col("x").alias("wave"))
+    noises = named.select(category([n for n, _ in corpus.NOISES]), "path", F.col("x").alias("wave"))
     picked = kernels.with_dictionary(kernels.with_dictionary(narrow, rooms, "room", "rir"), noises, "noise", "noise_wave")
     return picked.join(w.select(F.col("wave_id").alias("clip_id"), "x"), "clip_id")
 
