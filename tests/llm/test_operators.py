@@ -440,7 +440,9 @@ def test_toxicity_of_the_whole_query(spark):
     assert sum(not r.evidence for r in got) < 0.02 * len(got)
 
 
-def test_nearest_is_exact():
+@pytest.mark.parametrize("block", [toxicity.BLOCK, 16])
+def test_nearest_is_exact(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
     rng = np.random.default_rng(4)
 
     def make():

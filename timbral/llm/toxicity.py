@@ -31,9 +31,9 @@ EXAMPLES = 6_000
 LEAST, COMMON = 2, 0.1
 #: The likelihood-ratio statistic that chance exceeds in one term of twenty, and how much a unit beyond it adds to a weight.
 SURE, RAISE = 3.84, 0.1
-NEIGHBOURS, BLOCK, CUT = 15, 32, 0.5
-#: Blocks that are searched first; then twice as many each time.
-AHEAD = 8
+NEIGHBOURS, BLOCK, CUT = 15, 256, 0.5
+#: Blocks that are searched first; then those that may still reach the k-th best.
+AHEAD = 4
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -104,9 +104,10 @@ class Index:
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(terms, how often each is used)."""
-        get = self.terms.get
-        own = sorted((i, n) for w, n in Counter(words_of(text)).items() if (i := get(w)) is not None)
-        return np.array([i for i, _ in own], np.int64), np.array([n for _, n in own], np.int64)
+        get, own = self.terms.get, Counter(words_of(text))
+        ids, n = np.array([get(w, -1) for w in own], np.int64), np.fromiter(own.values(), np.int64, len(own))
+        order = np.argsort(ids)[np.count_nonzero(ids < 0) :]
+        return ids[order], n[order]
 
     def unit(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(n)) * self.weight[ids]
@@ -129,19 +130,24 @@ class Index:
         bound = np.bincount(block, w * self.greatest[posting], self.blocks)
         todo = np.argsort(-bound, kind="stable")
         todo = todo[: np.count_nonzero(bound)]
-        at, ahead, least = 0, AHEAD, 0.0
-        while at < len(todo) and not (len(found) == k and bound[todo[at]] < least - 1e-9):
-            chosen = np.zeros(self.blocks, bool)
-            chosen[todo[at : at + ahead]] = True
-            here = np.flatnonzero(chosen[block])
+        at, stop = 0, AHEAD
+        while at < len(todo) and stop > at:
+            here = slice(None)
+            if stop - at < len(todo):
+                chosen = np.zeros(self.blocks, bool)
+                chosen[todo[at:stop]] = True
+                here = np.flatnonzero(chosen[block])
             flat, sizes = self._spread(self.begin[posting[here]], self.end[posting[here]])
             own = np.bincount(self.example[flat], np.repeat(w[here], sizes) * self.weights[flat], len(self.y))
             hit = np.flatnonzero(own)
             found, cosines = np.concatenate([found, hit]), np.concatenate([cosines, own[hit]])
+            if len(found) > k:  # those that tie with the k-th, for all that rounding may do, stay for the order
+                near = cosines >= np.partition(cosines, -k)[-k] - 1e-11
+                found, cosines = found[near], cosines[near]
             order = np.lexsort((self.rank[found], -np.round(cosines, 12)))[:k]
             found, cosines = found[order], cosines[order]
-            least = cosines[-1] if len(found) == k else 0.0
-            at, ahead = at + ahead, 2 * ahead
+            # of the rest, all blocks that may still hold one as near as the k-th
+            at, stop = stop, np.count_nonzero(bound >= cosines[-1] - 1e-9) if len(found) == k else len(todo)
         return found, cosines
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
