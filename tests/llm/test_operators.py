@@ -688,3 +688,19 @@ def test_decontaminate(spark, monkeypatch, limit):
     assert kept.columns == d.columns and kept.count() == sum(n for k, n in expected.items() if not k[-1])
     assert decontaminate.report(d.limit(0), b).count() == 0
     assert decontaminate.report(d, b.limit(0)).filter("contaminated").count() == 0
+
+
+def test_word_hashes_in_pieces(monkeypatch):
+    """A text's words hash alike however it is dealt in pieces; words end as bytes.split ends them; equal words are equal, others are not."""
+    rng = random.Random(5)
+    text = "".join(rng.choice(["ab", "ba", "é", "\0", "a" * 40, " ", "\n", "\t\x0b", "  "]) for _ in range(3000))
+    windows = substrings.Windows()
+    whole, words = windows.hashes(text), windows.words(text)
+    assert len(whole) == len(words)
+    of: dict[bytes, int] = {}
+    for w, h in zip(words, whole.tolist(), strict=True):
+        assert of.setdefault(w, h) == h
+    assert len(set(of.values())) == len(of)
+    monkeypatch.setattr(substrings, "PIECE", 7)
+    assert windows.hashes(text).tolist() == whole.tolist()
+    assert windows.hashes(None).tolist() == windows.hashes(" \n").tolist() == []

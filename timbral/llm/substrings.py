@@ -39,13 +39,17 @@ BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 KEY_BITS = 56
 #: The second fingerprint's base and word hash seed.
 BASE2, SEED2 = 0xD1342543DE82EF95, 1
+#: Bytes of a text whose words are hashed at once.
+PIECE = 1 << 22
+IN_WORD = np.array([0 if b == 32 or 9 <= b <= 13 else 1 for b in range(256)], np.int8)
 RUN_SCHEMA = "bucket int, g int, keys binary, groups binary, n long"
 
 
 class Windows:
-    """Fingerprints of all windows of a document."""
+    """Fingerprints of all windows of a document, from its words' hashes."""
 
-    def __init__(self, window: int = WINDOW, base: int = BASE, seed: int = 0) -> None:
+    def __init__(self, window: int = WINDOW, base: int = BASE, seed: int | None = None) -> None:
+        """seed: of XXH64 as the words' hash; None hashes words by sums over their bytes, all of a text at once."""
         self.window, self.base, self.seed = window, base, seed
         self.memo: dict[bytes, int] = {}
         self.up = self.down = np.ones(1, np.uint64)
@@ -60,27 +64,68 @@ class Windows:
                 setattr(self, name, np.multiply.accumulate(p))
 
     def words(self, text: str | None) -> list[bytes]:
-        return (text or "").encode("utf-8", "surrogatepass").split()
+        return _bytes(text).split()
+
+    def hashes(self, text: str | None) -> np.ndarray:
+        """A hash of each word."""
+        data = _bytes(text)
+        if self.seed is None:
+            parts = [self._sums(data[a:b]) for a, b in _pieces(data)]
+            return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        words = data.split()
+        if len(self.memo) > MEMO_WORDS:
+            self.memo = {}
+        for w in set(words).difference(self.memo):
+            self.memo[w] = xxhash.xxh64_intdigest(w, self.seed)
+        return np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
+
+    def _sums(self, data: bytes) -> np.ndarray:
+        """For each word the sum of (byte + 1) * base ** (place in the word)."""
+        b = np.frombuffer(data, np.uint8)
+        n = len(b)
+        inside = np.zeros(n + 2, np.int8)
+        np.take(IN_WORD, b, out=inside[1:-1])
+        edges = np.flatnonzero(np.diff(inside))
+        starts, ends = edges[::2], edges[1::2]
+        self._powers(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=sums[1:])
+        return _mixed((sums[ends] - sums[starts]) * self.down[starts])
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        k, n = self.window, len(words)
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Fingerprints of the windows of words with these hashes."""
+        k, n = self.window, len(h)
         if n < k:
             return np.zeros(0, np.uint64)
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        memo = self.memo
-        for w in set(words).difference(memo):
-            memo[w] = xxhash.xxh64_intdigest(w, self.seed)
-        h = np.fromiter(map(memo.__getitem__, words), np.uint64, n)
         self._powers(n + k)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(h * self.down[:n], out=sums[1:])
-        x = (sums[k:] - sums[:-k]) * self.up[k - 1 : n]
-        x ^= x >> np.uint64(30)  # spreads the low bits' differences to the high ones, which choose the bucket
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(27)
-        x *= np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        return _mixed((sums[k:] - sums[:-k]) * self.up[k - 1 : n])
+
+
+def _bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def _pieces(data: bytes) -> Iterator[tuple[int, int]]:
+    """Ranges of about PIECE bytes that end at a blank, so that no word is cut."""
+    at = 0
+    while at < len(data):
+        end = len(data) if len(data) - at <= PIECE else data.rfind(b" ", at, at + PIECE)
+        if end <= at:
+            end = data.find(b" ", at + PIECE)
+            end = len(data) if end < 0 else end
+        yield at, end
+        at = end
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads the low bits' differences to the high ones, which choose the bucket."""
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -108,7 +153,7 @@ def _runs(hashes, buckets: int):  # noqa: ANN001
 
     def flush(keys: list[np.ndarray], groups: list[np.ndarray], at: int) -> Iterator[pa.RecordBatch]:
         h, g = np.concatenate(keys), np.concatenate(groups)
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         h, g = h[order], g[order]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         many = np.diff(np.append(first, len(h))) > 1
@@ -157,7 +202,7 @@ def _all_windows(window: int, bits: int):
 
     def make():
         windows = Windows(window)
-        return lambda text: _high(windows.of(windows.words(text)), bits)
+        return lambda text: _high(windows.of(windows.hashes(text)), bits)
 
     return make
 
@@ -171,7 +216,7 @@ def _suspect_windows(window: int):
 
     def make():
         windows = Windows(window, BASE2, SEED2)
-        return lambda text, starts, n: windows.of(windows.words(text))[unpack(starts, n, np.uint32)] if n else np.zeros(0, np.uint64)
+        return lambda text, starts, n: windows.of(windows.hashes(text))[unpack(starts, n, np.uint32)] if n else np.zeros(0, np.uint64)
 
     return make
 
@@ -268,9 +313,9 @@ def _suspect(window: int, whole: bool, bits: int):
                 rows = []
                 continue
             g, doc_id, text, *_, known = row
-            words = windows.words(text)
-            at = np.flatnonzero(_hits(_high(windows.of(words), bits), known)).astype(np.uint32)
-            rows.append((g, doc_id, len(words), None, text, pack(at), len(at)) if len(at) else (g, doc_id, len(words), _finished(whole, words, None), None, None, 0))
+            h = windows.hashes(text)
+            at = np.flatnonzero(_hits(_high(windows.of(h), bits), known)).astype(np.uint32)
+            rows.append((g, doc_id, len(h), None, text, pack(at), len(at)) if len(at) else (g, doc_id, len(h), _finished(whole, windows.words(text), None), None, None, 0))
 
     return run
 
@@ -293,7 +338,7 @@ def _drop(window: int, whole: bool):
             words = windows.words(text)
             at = unpack(starts, n, np.uint32)
             hits = np.zeros(len(words), bool)
-            hits[at[_hits(windows.of(words)[at], known)]] = True
+            hits[at[_hits(windows.of(windows.hashes(text))[at], known)]] = True
             gone = covered(hits, len(words), window) if hits.any() else None
             rows.append((doc_id, len(words), 0 if gone is None else int(gone.sum()), _finished(whole, words, gone)))
 
@@ -316,7 +361,7 @@ def runs(docs: DataFrame, window: int = WINDOW, buckets: int | None = None, bits
 
 def _answers(made: DataFrame) -> DataFrame:
     """Runs -> (g, keys, n): the repeated fingerprints that each group asked for."""
-    return map_arrow(made.repartition(_width(made.sparkSession), "bucket").sortWithinPartitions("bucket"), _merge, "g int, keys binary, n long")
+    return map_arrow(made.repartitionById(_width(made.sparkSession), "bucket").sortWithinPartitions("bucket"), _merge, "g int, keys binary, n long")
 
 
 def _told(docs: DataFrame, answers: DataFrame) -> DataFrame:
@@ -325,7 +370,7 @@ def _told(docs: DataFrame, answers: DataFrame) -> DataFrame:
     null = {"doc_id": "long", "text": "string", "n_words": "long", "kept": "string"}
     columns = ["g", "kind", "doc_id", "text", "keys", "n", "n_words", "kept"]
     known = answers.withColumns({"kind": F.lit(0)} | {c: F.lit(None).cast(t) for c, t in null.items()}).select(*columns)
-    return docs.withColumn("kind", F.lit(1)).select(*columns).unionByName(known).repartition(n, "g").sortWithinPartitions("g", "kind")
+    return docs.withColumn("kind", F.lit(1)).select(*columns).unionByName(known).repartitionById(n, "g").sortWithinPartitions("g", "kind")
 
 
 def _asking_nothing(history: DataFrame) -> DataFrame:
@@ -376,11 +421,11 @@ class RunIndex:
 
     def append(self, batch: DataFrame, name: str) -> None:
         """Adds the batch's runs as folders of their own; writing it again under its name changes nothing. An empty batch adds empty runs; null texts have no windows."""
-        for kind, base, seed, bits in (("first", BASE, 0, KEY_BITS), ("second", BASE2, SEED2, 64)):
+        for kind, base, seed, bits in (("first", BASE, None, KEY_BITS), ("second", BASE2, SEED2, 64)):
 
-            def make(window: int = self.window, base: int = base, seed: int = seed, bits: int = bits):
+            def make(window: int = self.window, base: int = base, seed: int | None = seed, bits: int = bits):
                 windows = Windows(window, base, seed)
-                return lambda text: np.unique(_high(windows.of(windows.words(text)), bits))
+                return lambda text: np.unique(_high(windows.of(windows.hashes(text)), bits))
 
             made = map_arrow(batch.select(F.lit(-1).alias("g"), "text"), _runs(make, self.buckets), RUN_SCHEMA).filter("g is null")
             made.select("bucket", "keys", "n").write.mode("overwrite").parquet(f"{self.path}/{kind}/run-{name}")
@@ -403,7 +448,7 @@ class RunIndex:
                         part = keys[at : at + RUN_WINDOWS]
                         yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([pack(part)], pa.binary()), pa.array([len(part)], pa.int64())], ["bucket", "keys", "n"])
 
-            rows = _asking_nothing(self.spark.read.parquet(*folders)).repartition(_width(self.spark), "bucket").sortWithinPartitions("bucket")
+            rows = _asking_nothing(self.spark.read.parquet(*folders)).repartitionById(_width(self.spark), "bucket").sortWithinPartitions("bucket")
             map_arrow(rows, merge, "bucket int, keys binary, n long").write.mode("overwrite").parquet(f"{self.path}/{kind}/run-{name}")
             for f in folders:
                 gone = self.spark._jvm.org.apache.hadoop.fs.Path(f)
