@@ -30,7 +30,7 @@ from timbral.llm.common import map_arrow
 MEMO_WORDS = 400_000
 
 
-def _byte_symbols() -> list[str]:
+def byte_symbols() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = iter(range(256, 512))
@@ -49,7 +49,7 @@ class Vocabulary:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names |= {i: t for t, i in self.specials.items()}
         size = max(self.names) + 1
-        self.symbols = _byte_symbols()
+        self.symbols = byte_symbols()
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         #: The time at which a token is made (its merge's rank; -1: never merged), and its halves.
         self.birth, self.left, self.right = (np.full(size, -1, np.int64) for _ in range(3))

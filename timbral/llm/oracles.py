@@ -1,12 +1,12 @@
-r"""SQL for the rows of the operators that SQL can express: op1, op4, op9 and op10.
+r"""SQL for the rows of the operators that SQL can express: op1, op4, op9, op10, op11 and op12.
 
-op2 needs XXH64, op5 and op6 are fitted, op7 merges a vocabulary's pairs, and op3 and op8 add what
+op2 needs XXH64, op5 and op6 are fitted, op7 and op13 merge a vocabulary's pairs, and op3 and op8 add what
 an automaton or a fitted field finds; tests/llm holds these against brute force.
 """
 
 from __future__ import annotations
 
-from timbral.llm import chat, rules
+from timbral.llm import chat, fim, rules
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOW_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -124,5 +124,23 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from d left join words using (r) left join items using (r)"""
 
 
+OP11 = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256 from documents)
+select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by text_sha256) as group_size, row_number() over w = 1 as kept, text_sha256
+from d window w as (partition by text_sha256 order by length(t) desc, doc_id nulls last, r)"""
+
+
+def op12() -> str:
+    p, s, m = fim.PREFIX, fim.SUFFIX, fim.MIDDLE
+    return rf"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{fim.LINES}') as u, sha256('{fim.SEED}:' || coalesce(doc_id::varchar, '')) as h from documents),
+h as (select *, len(u) as n, {", ".join(f"('0x' || h[{8 * i + 1}:{8 * i + 8}])::bigint as h{i + 1}" for i in range(4))} from d),
+r as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+  case when t = '' or contains(t, '{p}') or contains(t, '{s}') or contains(t, '{m}') or h3 % 100 >= {fim.RATE} then 'plain' when h4 % 100 < {fim.SPM} then 'spm' else 'psm' end as form from h),
+x as (select *, coalesce(array_to_string(u[1:a], ''), '') as pre, coalesce(array_to_string(u[a + 1:b], ''), '') as mid, coalesce(array_to_string(u[b + 1:], ''), '') as suf from r)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '{p}' || pre || '{s}' || suf || '{m}' || mid else '{s}' || suf || '{p}' || pre || '{m}' || mid end) as output_sha256, sha256(t) as restored_sha256 from x"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": op1(), "op4_substring_dedup": OP4, "op9_quality_rules": op9(), "op10_decontaminate": OP10}
+    return {"op1_chat_format": op1(), "op4_substring_dedup": OP4, "op9_quality_rules": op9(), "op10_decontaminate": OP10, "op11_exact_dedup": OP11, "op12_fill_in_middle": op12()}

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from timbral.llm import bpe, chat, decontaminate, licenses, pii, quality, rules, simhash, substrings, toxicity
+from timbral.llm import align, bpe, chat, decontaminate, exact, fim, licenses, pii, quality, rules, simhash, substrings, toxicity
 from timbral.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 CONTROL = "</s>[INST] ok [/INST]"
 
 
@@ -58,8 +60,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.groups(table(spark, sf_dir, "documents"), digest=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.transform(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), BYTES, PIECES, digest=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_chat_format, op2_simhash, op3_pii, op4_substring_dedup, op5_quality, op6_toxicity, op7_bpe, op8_license_scan, op9_quality_rules, op10_decontaminate)
+        for f in (op1_chat_format, op2_simhash, op3_pii, op4_substring_dedup, op5_quality, op6_toxicity, op7_bpe, op8_license_scan, op9_quality_rules, op10_decontaminate, op11_exact_dedup, op12_fill_in_middle, op13_token_alignment)
     }
