@@ -35,7 +35,7 @@ from timbral.llm.bpe import byte_symbols
 from timbral.llm.common import cut, map_arrow, shared_folder
 
 #: Keys that a partition holds before it merges them, and distinct ones before it gives them away.
-PENDING, HELD = 2 << 20, 4 << 20
+PENDING, HELD = 1 << 20, 4 << 20
 #: Characters of one piece that the quick route of A may meet; its merging is quadratic in a piece.
 PIECE = 512
 #: The split pattern of byte-level vocabularies (a fixed value).
@@ -88,16 +88,21 @@ def pair(files: tuple[str, bytes]) -> Pair:
     return _PAIRS[key]
 
 
+def id_type(n: int) -> str:
+    """How ids of a vocabulary of n tokens are stored."""
+    return "<u2" if n <= 1 << 16 else "<u4"
+
+
 def tokens(docs: DataFrame, files: tuple[str, bytes]) -> DataFrame:
-    """docs: (doc_id, text, ...) -> (doc_id, a binary, b binary): ids as little-endian 32-bit integers. The files are of fixed size and broadcast."""
+    """docs: (doc_id, text, ...) -> (doc_id, a binary, b binary): ids as little-endian integers of id_type. The files are of fixed size and broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pair(shared.value)
+        kinds = [id_type(len(own.a_bytes)), id_type(len(own.b_bytes))]
         for rows in batches:
-            got = [own.encode(t) for t in rows.column(1).to_pylist()]
-            both = [pa.array([np.array(g[k], "<u4").tobytes() for g in got], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), *both], ["doc_id", "a", "b"])
+            got = [[np.array(ids, kind).tobytes() for ids, kind in zip(own.encode(t.as_py()), kinds, strict=True)] for t in rows.column(1)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array([g[k] for g in got], pa.binary()) for k in (0, 1))], ["doc_id", "a", "b"])
 
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, a binary, b binary")
 
@@ -121,11 +126,12 @@ class Links:
 
 def link(a_column: pa.Array, b_column: pa.Array, a_len: np.ndarray, b_len: np.ndarray) -> Links:
     """Tokens of all documents of a batch on one line of bytes: a document's A and B tokens cover the same bytes of it."""
-    parts = [[np.frombuffer(x, "<u4") for x in c.to_pylist()] for c in (a_column, b_column)]
-    a, b = (np.concatenate([np.empty(0, "<u4"), *p]).astype(np.int64) for p in parts)
+    parts = [[np.frombuffer(x, id_type(len(n))) for x in c.to_pylist()] for c, n in ((a_column, a_len), (b_column, b_len))]
+    a, b = (np.concatenate([np.empty(0, np.int64), *p]) for p in parts)
     doc_a, doc_b = (np.cumsum([0, *map(len, p)])[1:] for p in parts)
     a_ends, b_ends = np.cumsum(a_len[a]), np.cumsum(b_len[b])
-    ends = np.union1d(a_ends, b_ends)
+    ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")  # two sorted runs
+    ends = ends[np.diff(ends, prepend=0) > 0]
     a_at, b_at = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
     shared = ends[(a_ends[a_at] == ends) & (b_ends[b_at] == ends)] if len(ends) else ends
     a_group, b_group = np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends)
