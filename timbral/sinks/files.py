@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import os
+import io
 import wave
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timbral.functions.labels import protocol_line
+from timbral.operators.kernels import WAVE_ROWS
+from timbral.sinks import tree
 
 
 def write_protocol(p: DataFrame, path: str) -> None:
@@ -34,22 +37,33 @@ def write_tree(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split", "speaker_id").parquet(path)
 
 
+def wav_files(rows: DataFrame, rate: int = 16000) -> DataFrame:
+    """rows: (target, y, ...) -> (target, content): 16-bit WAV files; the columns rate and channels, where there are any, count before the argument."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for at in range(0, len(p), WAVE_ROWS):
+                some = p[at : at + WAVE_ROWS]
+                yield pd.DataFrame({"target": some.target, "content": [_wav(*x) for x in zip(some.y, some.rate, some.channels, strict=True)]})
+
+    has = set(rows.columns)
+    own = [F.col(c) if c in has else F.lit(d).alias(c) for c, d in (("rate", rate), ("channels", 1))]
+    return rows.select("target", "y", *own).mapInPandas(run, "target string, content binary")
+
+
+def _wav(y: np.ndarray, rate: int, channels: int) -> bytes:
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(int(channels))
+        w.setsampwidth(2)
+        w.setframerate(int(rate))
+        w.writeframes((np.clip(np.asarray(y, float), -1, 1) * 32767).round().astype("<i2").tobytes())
+    return out.getvalue()
+
+
 def write_wavs(rows: DataFrame, root: str, rate: int = 16000) -> None:
-    """rows: (relative, y) -> 16-bit WAV files below a folder that every executor mounts; written aside, then renamed, so a retry is harmless."""
-
-    def save(part: Iterator[Row]) -> None:
-        for r in part:
-            to = os.path.join(root, r.relative)
-            os.makedirs(os.path.dirname(to), exist_ok=True)
-            aside = f"{to}.{os.getpid()}.part"
-            with wave.open(aside, "wb") as w:
-                w.setnchannels(1)
-                w.setsampwidth(2)
-                w.setframerate(rate)
-                w.writeframes((np.clip(np.asarray(r.y), -1, 1) * 32767).round().astype("<i2").tobytes())
-            os.replace(aside, to)
-
-    rows.select("relative", "y").foreachPartition(save)
+    """rows: (relative, y) -> WAV files below root, published together."""
+    tree.write(wav_files(rows.withColumnRenamed("relative", "target"), rate), root)
 
 
 class Manifest:

@@ -8,22 +8,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timbral.functions.labels import file_type
 from timbral.operators.kernels import WAVE_ROWS, resample
+from timbral.sources import headers
 
 SPLITS = ("train", "val", "test")
 TECHNIQUES = ("CycleGAN", "Diff", "StarGAN")
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, rel array<string>, length) of the .wav and .flac files below root, whatever the case of the suffix; contents aren't read."""
+def scan(spark: SparkSession, root: str, ordered: bool = False) -> DataFrame:
+    """(path, rel array<string>, length) of the .wav and .flac files below root, whatever the case of the suffix; contents aren't read. `ordered`: by path."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     base = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(spark._jvm.org.apache.hadoop.fs.Path(root)).toUri().getPath()
     rel = F.split(F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?", ""), f"^{base.rstrip('/')}/", ""), "/")
-    return found.filter(F.lower("path").rlike(r"\.(wav|flac)$")).withColumn("rel", rel)
+    audio = found.filter(F.lower("path").rlike(r"\.(wav|flac)$")).withColumn("rel", rel)
+    return audio.orderBy("path") if ordered else audio
 
 
 def split_tree(files: DataFrame) -> DataFrame:
@@ -58,11 +61,41 @@ def inventory(files: DataFrame, minimum: int = 3) -> DataFrame:
     )
 
 
+def master_inventory(found: DataFrame) -> DataFrame:
+    """found: as of headers.read -> (category, subcategory, filename, duration, format, path) of the files that can be read; files at the root are unknown."""
+    parts = F.size("rel")
+    return found.filter("error is null").select(
+        F.when(parts >= 2, F.get("rel", F.lit(0))).otherwise("unknown").alias("category"), F.when(parts >= 3, F.get("rel", F.lit(1))).when(parts == 2, "generic").otherwise("unknown").alias("subcategory"),
+        F.element_at("rel", -1).alias("filename"), "duration", "format", "path",
+    )
+
+
 def rir_inventory(files: DataFrame, folders: dict[str, str]) -> DataFrame:
-    """Categories by folder; only simulated rooms have a subcategory."""
+    """Categories by folder; only simulated rooms have a subcategory. With headers, their durations too, and files that can't be read are left out."""
     names = F.create_map(*[F.lit(x) for kv in folders.items() for x in kv])
     category = F.coalesce(names[F.get("rel", F.lit(0))], F.lit("unknown"))
-    return files.select(category.alias("category"), F.when(category == "simulated", F.get("rel", F.lit(1))).otherwise("NA").alias("subcategory"), F.element_at("rel", -1).alias("filename"), "path")
+    known = files.filter("error is null") if "error" in files.columns else files
+    more = ["duration"] if "duration" in files.columns else []
+    return known.select(category.alias("category"), F.when(category == "simulated", F.get("rel", F.lit(1))).otherwise("NA").alias("subcategory"), F.element_at("rel", -1).alias("filename"), *more, "path")
+
+
+def simulated(rooms: DataFrame) -> DataFrame:
+    """The simulated rooms of an inventory of impulse responses."""
+    return rooms.filter("category = 'simulated'")
+
+
+def properties(found: DataFrame) -> DataFrame:
+    """(country, speaker_id, duration, rate, channels) from {country}/{speaker}/file, by headers alone."""
+    return found.filter("error is null and size(rel) >= 3").select(F.get("rel", F.lit(0)).alias("country"), F.get("rel", F.lit(1)).alias("speaker_id"), "duration", "rate", "channels")
+
+
+def missing_folders(spark: SparkSession, root: str, wanted: tuple[str, ...]) -> list[str]:
+    """Those of the wanted folders that aren't below root: a warning for noise and rooms, an error for the root itself."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path(root)):
+        raise FileNotFoundError(root)
+    return [w for w in wanted if not system.exists(path(f"{root}/{w}"))]
 
 
 def read_wav(data: bytes) -> tuple[np.ndarray, int, int]:
@@ -75,22 +108,30 @@ def read_wav(data: bytes) -> tuple[np.ndarray, int, int]:
 
 
 def decode(spark: SparkSession, root: str, rate: int = 16000) -> DataFrame:
-    """(path, x, rate, channels, seconds, error): a file that can't be decoded has an error and no samples. FLAC has no decoder here."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(WAVE_ROWS))
+    """(path, x, rate, channels, seconds, error): a file that can't be decoded has an error and no samples. FLAC has no decoder here.
+
+    Files are listed by headers.read and read one by one in the tasks, so a batch holds WAVE_ROWS of them whatever the session's settings.
+    """
+    uri = root if ":/" in root else f"file://{root}"
+    none = (None,) * 4
+
+    def one(system: fs.FileSystem, path: str) -> tuple:
+        try:
+            with system.open_input_file(path) as f:
+                x, own, channels = read_wav(f.read())
+            return (path, resample(x, own, rate), own, channels, round(len(x) / own, 4), None)
+        except Exception as e:  # noqa: BLE001  what is wrong with a file is data
+            return (path, *none, f"{type(e).__name__}: {e}")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system = fs.FileSystem.from_uri(uri)[0]
+        names = ["path", "x", "rate", "channels", "seconds", "error"]
         for p in parts:
-            out = []
-            for path, content in zip(p.path, p.content, strict=True):
-                try:
-                    x, own, channels = read_wav(content)
-                    out.append((path, resample(x, own, rate), own, channels, round(len(x) / own, 4), None))
-                except Exception as e:  # noqa: BLE001  what is wrong with a file is data
-                    out.append((path, None, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["path", "x", "rate", "channels", "seconds", "error"]).astype({"rate": "Int32", "channels": "Int32"})
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content").filter(F.lower("path").rlike(r"\.(wav|flac)$"))
-    return files.mapInPandas(run, "path string, x array<double>, rate int, channels int, seconds double, error string")
+            for at in range(0, len(p), WAVE_ROWS):
+                rows = [one(system, x) if e is None else (x, *none, e) for x, e in zip(p.path[at : at + WAVE_ROWS], p.error[at : at + WAVE_ROWS], strict=True)]
+                yield pd.DataFrame(rows, columns=names).astype({"rate": "Int32", "channels": "Int32"})
+
+    return headers.read(spark, root).select("path", "error").mapInPandas(run, "path string, x array<double>, rate int, channels int, seconds double, error string")
 
 
 def path_speaker(path: Column) -> Column:
