@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.harness import session
 from timbral.__main__ import main
 from timbral.functions.strategy import Registry, Strategy, check_arguments
-from timbral.operators import checks, speech
+from timbral.operators import checks, corpus, speech
 from timbral.plans import pipelines
 from timbral.sources import audio
 
@@ -105,3 +105,33 @@ def test_source_tree(spark):
     assert inv["TTS-clf_2_1.wav"] == ("TTS", "Chile", "wav")
     rir = {r.subcategory for r in audio.rir_inventory(files, {"Real": "real", "Diff": "simulated"}).collect()}
     assert rir == {"NA", "Chile-Chile"}
+
+
+def test_a_run_of_several_strategies(spark, clips):
+    """A table of strategies: each clip follows its own, ids run within each, an unknown one is an error."""
+    r = Registry()
+    r.register("rooms only", Strategy("rooms only", 3, types={"rir": 1.0}, rooms={"largeroom": 1.0}, noises={"music": 1.0}, snr=((7.0, 8.0, 1.0),)))
+    r.register("halves", Strategy("halves", 2, types={"codec": 0.5, "rawboost": 0.5}))
+    mixes = r.mixes(spark, ["rooms only", "halves", "4x"])
+    by = mixes.table.select("strategy", (F.col("extra") + 1).alias("factor"), F.explode(F.array(F.lit("bonafide"), F.lit("spoof"))).alias("file_type"))
+    mine = pipelines.partition(clips).withColumn("strategy", F.element_at(F.array(*map(F.lit, ("rooms only", "halves", "4x"))), (F.floor(F.col("clip_id") / 30) % 3 + 1).cast("int")))
+    p = corpus.protocol(corpus.with_factor(mine, by, only=F.col("split") == "train"), mixes=mixes)
+    kinds = {(x.strategy, x.kind) for x in p.select("strategy", F.regexp_extract("system_id", "^[A-Z]*", 0).alias("kind")).distinct().collect()}
+    assert kinds == {("rooms only", ""), ("rooms only", "RIR"), ("halves", ""), ("halves", "CODEC"), ("halves", "RAWBOOST"), *(("4x", k) for k in ("", "RIR", "CODEC", "RAWBOOST"))}
+    assert {x.system_id for x in p.filter("strategy = 'rooms only' and system_id <> '-'").collect()} == {"RIR_LARGE_MUS_SNR7"}
+    sizes = p.groupBy("strategy", "split").agg(F.count("*").alias("n"), F.countDistinct("audio_id").alias("ids"), F.max(F.substring("audio_id", -7, 7)).alias("last")).collect()
+    assert len(sizes) == 9 and all(x.n == x.ids == int(x.last) for x in sizes)
+    with pytest.raises(Exception, match="unknown strategy 9x"):
+        corpus.parameters(spark.range(1).select(F.col("id").alias("clip_id"), F.lit(1).alias("copy"), F.lit("rir").alias("aug"), F.lit("9x").alias("strategy")), mixes=mixes).collect()
+    with pytest.raises(ValueError, match="name of its own"):
+        r.mixes(spark, ["4x", "4x"])
+
+
+def test_default_table_is_the_default(spark, clips):
+    """A table with the default strategy draws what the constants draw."""
+    mixes = Registry().mixes(spark, ["3x"])
+    rows = corpus.fan_out(clips, spark.createDataFrame([("bonafide", 5), ("spoof", 3)], "file_type string, factor long"))
+    plain = corpus.system_ids(corpus.parameters(rows))
+    table = corpus.system_ids(corpus.parameters(rows.withColumn("strategy", F.lit("3x")), mixes=mixes))
+    key = ["clip_id", "copy", "system_id"]
+    assert plain.select(*key).exceptAll(table.select(*key)).count() == 0 == table.select(*key).exceptAll(plain.select(*key)).count()

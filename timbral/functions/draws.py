@@ -17,12 +17,3 @@ def draw(purpose: str, *keys: str | Column, seed: int = SEED) -> Column:
 def shuffle_key(*keys: str | Column, seed: int = SEED) -> Column:
     """What a keyed shuffle orders by."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys]).cast("binary"))
-
-
-def choose(u: Column, weighted: list[tuple[str, float]]) -> Column:
-    """The value whose cumulative weight u falls under; the last one takes the rest."""
-    out = None
-    for value, upto in weighted[:-1]:
-        out = F.when(u < upto, F.lit(value)) if out is None else out.when(u < upto, F.lit(value))
-    last = F.lit(weighted[-1][0])
-    return last if out is None else out.otherwise(last)

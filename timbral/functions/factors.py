@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timbral.functions import strategy
+
 
 def factor(total: Column, share: Column | float, own: Column) -> Column:
     """max(1, ceil(total * share / own)); an empty class is a division by zero, which is an error."""
@@ -46,7 +48,7 @@ def by_class(factors: DataFrame) -> DataFrame:
 def planned(n: Column, times: Column) -> dict[str, Column]:
     """Rows per type where `times` counts extra copies; each part is cut to an integer and the rest is lost."""
     extra = n.cast("double") * times.cast("double")
-    parts = {k: F.floor(extra * F.lit(p)).cast("long") for k, p in (("rir", 0.6), ("codec", 0.3), ("rawboost", 0.1))}
+    parts = {k: F.floor(extra * F.lit(p)).cast("long") for k, p in strategy.TYPE_MIX.items()}
     return parts | {"originals": n.cast("long"), "total": (n + n * times).cast("long")}
 
 

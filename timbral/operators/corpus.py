@@ -6,20 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timbral.functions import factors, labels
-from timbral.functions.draws import choose, draw, shuffle_key
+from timbral.functions.draws import draw, shuffle_key
+from timbral.functions.strategy import Mixes
+from timbral.operators.numbering import numbered
 
-# Cumulative shares of types, rooms and noises; the chance of each raw-waveform operation, in order;
-# ranges of SNR in dB with cumulative shares; the codec's chances and ranges.
-TYPES = [("rir", 0.6), ("codec", 0.9), ("rawboost", 1.0)]
-ROOMS = [("smallroom", 0.3), ("mediumroom", 0.8), ("largeroom", 1.0)]
-NOISES = [("noise", 0.5), ("speech", 0.8), ("music", 1.0)]
+# The chance of each raw-waveform operation, in order; the codec's chances and ranges.
 STAGES = [("linear_filter", 0.5), ("nonlinear_distortion", 0.3), ("additive_noise", 0.6), ("gain_variation", 0.4), ("clipping", 0.2)]
-SNR = [(0.0, 5.0, 0.1), (5.0, 30.0, 0.9), (30.0, 35.0, 1.0)]
 CODEC = {"rates": (8000, 16000), "loss": 0.5, "loss_range": (0.01, 0.05), "bandpass": 0.7, "quantise": 0.3, "bits": (8, 12)}
 
-#: Clips that are numbered as one group; a speaker with more has several.
-NUMBERED_CLIPS = 100_000
-
 
 def class_counts(clips: DataFrame, *by: str) -> DataFrame:
     n, b = F.count("*"), F.count_if(F.col("file_type") == "bonafide")
@@ -59,48 +53,57 @@ def split_speakers(clips: DataFrame, seed: int = 42) -> DataFrame:
 
 def split_files(clips: DataFrame, seed: int = 42) -> DataFrame:
     """Each speaker's own files cut by rank."""
-    w = Window.partitionBy("speaker_id")
-    r = F.row_number().over(w.orderBy(shuffle_key("clip_id", seed=seed))) - 1
-    return clips.select("clip_id", "speaker_id", r.alias("rank"), F.count("*").over(w).alias("n")).select("clip_id", "speaker_id", cut_by_rank(F.col("rank"), F.col("n")).alias("split"))
+    placed = numbered(clips.select("clip_id", "speaker_id", shuffle_key("clip_id", seed=seed).alias("key")), ["key"], ("speaker_id",), "rank", total="n")
+    return placed.select("clip_id", "speaker_id", cut_by_rank(F.col("rank"), F.col("n")).alias("split"))
 
 
 def file_names(clips: DataFrame) -> DataFrame:
     """clips with `filename`: numbered from 0 within speaker and technique, in order of the source."""
-    w = Window.partitionBy("speaker_id", "file_type", "technique").orderBy("clip_id")
-    ix = F.lpad((F.row_number().over(w) - 1).cast("string"), 4, "0")
+    placed = numbered(clips, ["clip_id"], ("speaker_id", "file_type", "technique"), "_ix")
+    ix = F.lpad(F.col("_ix").cast("string"), 4, "0")
     name = F.when(F.col("file_type") == "bonafide", F.concat_ws("_", F.lit("bonafide"), "speaker_id", ix)).otherwise(F.concat_ws("_", F.lit("spoof"), "technique", "speaker_id", ix))
-    return clips.withColumn("filename", F.concat(name, F.lit(".wav")))
+    return placed.withColumn("filename", F.concat(name, F.lit(".wav"))).drop("_ix")
+
+
+def with_factor(clips: DataFrame, by_class: DataFrame, only: Column | None = None) -> DataFrame:
+    """clips with `factor`. by_class: (file_type, factor), and strategy where clips have one: a row a class and strategy, which is small."""
+    on = [c for c in ("strategy", "file_type") if c in by_class.columns]
+    out = clips.join(F.broadcast(by_class.select(*on, "factor")), on)
+    return out if only is None else out.withColumn("factor", F.when(only, F.col("factor")).otherwise(1))
 
 
-def fan_out(clips: DataFrame, by_class: DataFrame, seed: int = 42, only: Column | None = None) -> DataFrame:
+def fan_out(clips: DataFrame, by_class: DataFrame, seed: int = 42, only: Column | None = None, mixes: Mixes | None = None) -> DataFrame:
     """One clean row and factor - 1 augmented rows a clip, with the augmentation's type. Ids fan out, waveforms are joined later.
 
-    Clips for which `only` doesn't hold keep their clean row alone: they are never fanned out.
+    Clips for which `only` doesn't hold keep their clean row alone: they are never fanned out. With a
+    table of strategies, clips have a `strategy`, and factors may differ by it.
     """
-    factor = F.col("factor") if only is None else F.when(only, F.col("factor")).otherwise(1)
-    out = clips.join(F.broadcast(by_class), "file_type").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), factor - 1)))
-    u = draw("type", "clip_id", "copy", seed=seed)
-    return out.withColumn("aug", F.when(F.col("copy") == 0, "-").otherwise(choose(u, TYPES)))
+    return typed(with_factor(clips, by_class, only), seed, mixes)
 
 
-def snr(u: Column, v: Column) -> Column:
-    """A mixture of uniforms: u chooses the range, v the place in it."""
-    place = [F.lit(low) + v * F.lit(high - low) for low, high, _ in SNR]
-    return F.when(u < SNR[0][2], place[0]).when(u < SNR[1][2], place[1]).otherwise(place[2])
+def typed(clips: DataFrame, seed: int = 42, mixes: Mixes | None = None) -> DataFrame:
+    """clips with `factor` -> factor rows a clip, with `copy` and `aug`."""
+    mixes = mixes or Mixes()
+    out = mixes.attach(clips).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("factor") - 1)))
+    u = draw("type", "clip_id", "copy", seed=seed)
+    return out.withColumn("aug", F.when(F.col("copy") == 0, "-").otherwise(mixes.choose(u, "types"))).drop("_mix")
 
 
-def parameters(rows: DataFrame, seed: int = 42) -> DataFrame:
-    """Every choice of an augmented row: room, noise and SNR; rate, loss, band and bits; operations."""
+def parameters(rows: DataFrame, seed: int = 42, mixes: Mixes | None = None) -> DataFrame:
+    """The choices of an augmented row's own type, null for others: room, noise and SNR; rate, loss, band and bits; operations."""
+    mixes = mixes or Mixes()
     d = lambda p: draw(p, "clip_id", "copy", seed=seed)
+    own = lambda kind, c: F.when(F.col("aug") == kind, c)
     bits = F.when(d("q") < CODEC["quantise"], F.when(d("bits") < 0.5, CODEC["bits"][0]).otherwise(CODEC["bits"][1])).otherwise(0)
     low, high = CODEC["loss_range"]
     loss = F.when(d("l") < CODEC["loss"], F.lit(low) + d("loss") * F.lit(round(high - low, 9))).otherwise(F.lit(0.0))
     ops = F.filter(F.array(*[F.when(d(o) < p, F.lit(o)) for o, p in STAGES]), lambda o: o.isNotNull())
-    return (
-        rows.withColumn("room", choose(d("room"), ROOMS)).withColumn("noise", choose(d("noise"), NOISES)).withColumn("snr_db", snr(d("snr"), d("snr_in")))
-        .withColumn("rate", F.when(d("rate") < 0.5, CODEC["rates"][0]).otherwise(CODEC["rates"][1])).withColumn("loss", loss).withColumn("bandpass", d("band") < CODEC["bandpass"]).withColumn("bits", bits)
-        .withColumn("operations", ops)
-    )
+    rate = F.when(d("rate") < 0.5, CODEC["rates"][0]).otherwise(CODEC["rates"][1])
+    return mixes.attach(rows).withColumns({
+        "room": own("rir", mixes.choose(d("room"), "rooms")), "noise": own("rir", mixes.choose(d("noise"), "noises")), "snr_db": own("rir", mixes.snr(d("snr"), d("snr_in"))),
+        "rate": own("codec", rate), "loss": own("codec", loss), "bandpass": own("codec", d("band") < CODEC["bandpass"]), "bits": own("codec", bits),
+        "operations": own("rawboost", ops),
+    }).drop("_mix")
 
 
 def system_ids(rows: DataFrame) -> DataFrame:
@@ -114,25 +117,28 @@ def system_ids(rows: DataFrame) -> DataFrame:
     return rows.withColumn("system_id", label)
 
 
-def number(rows: DataFrame) -> DataFrame:
-    """rows with `audio_id`: per split, bonafide before spoof, by speaker, clip and copy, from 1.
+def first_ids(clips: DataFrame) -> DataFrame:
+    """clips with split and factor -> with `first`: how many rows of the split (and strategy) come before the clip's own.
 
-    Groups of one split, class, speaker and block of clip ids are numbered apart and offset by the counts
-    of the groups before, so a speaker that has a third of all rows is many groups.
+    Bonafide comes before spoof, then speaker and clip. All clips of a class of a split have one factor, so it is
+    clips that are numbered, before they fan out, and a row's number is first + copy + 1.
     """
-    group = ["split", "file_type", "speaker_id", "_block"]
-    rows = rows.withColumn("_block", F.floor(F.col("clip_id") / NUMBERED_CLIPS))
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("split").orderBy("file_type", "speaker_id", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    ix = F.row_number().over(Window.partitionBy(*group).orderBy("clip_id", "copy")) + F.col("_offset")
+    group = tuple(c for c in ("strategy", "split") if c in clips.columns)
+    placed = numbered(clips, ["speaker_id", "clip_id"], (*group, "file_type", "factor"), "_rank", total="_n")
+    classes = placed.groupBy(*group, "file_type", "factor").agg((F.first("_n") * F.col("factor")).alias("_rows"))  # a few rows a strategy
+    before = Window.partitionBy(*group).orderBy("file_type", "factor").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = classes.select(*group, "file_type", "factor", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    met = placed.join(F.broadcast(offsets), [*group, "file_type", "factor"])
+    return met.withColumn("first", F.col("_offset") + F.col("_rank") * F.col("factor")).drop("_offset", "_rank", "_n")
+
+
+def protocol(clips: DataFrame, seed: int = 42, mixes: Mixes | None = None) -> DataFrame:
+    """clips: (clip_id, speaker_id, file_type, split, factor, and strategy with a table of them) -> (split, speaker_id, audio_id, system_id, key, and strategy)."""
+    names = [c for c in ("strategy",) if c in clips.columns]
+    rows = typed(first_ids(clips.select("clip_id", "speaker_id", "file_type", "split", "factor", *names)), seed, mixes)
     prefix = labels.lookup(labels.SPLIT_PREFIX, F.col("split"), "LA_U")
-    return rows.join(offsets, group).withColumn("audio_id", labels.audio_id(prefix, ix)).drop("_offset", "_block")
-
-
-def protocol(rows: DataFrame) -> DataFrame:
-    """(split, speaker_id, audio_id, system_id, key)."""
-    return number(system_ids(rows)).select("split", "speaker_id", "audio_id", "system_id", F.col("file_type").alias("key"))
+    audio = labels.audio_id(prefix, F.col("first") + F.col("copy") + 1)
+    return system_ids(parameters(rows, seed, mixes)).select("split", "speaker_id", audio.alias("audio_id"), "system_id", F.col("file_type").alias("key"), *names)
 
 
 def protocol_statistics(p: DataFrame) -> DataFrame:
@@ -143,6 +149,14 @@ def protocol_statistics(p: DataFrame) -> DataFrame:
     )
 
 
+def planned_statistics(clips: DataFrame) -> DataFrame:
+    """clips with split and factor -> protocol_statistics of what they fan out to, without fanning out."""
+    n, clean, of = F.sum("factor"), F.count("*"), lambda k: F.coalesce(F.sum(F.when(F.col("file_type") == k, F.col("factor"))), F.lit(0))
+    return clips.groupBy("split").agg(
+        n.alias("total"), of("bonafide").alias("n_bonafide"), of("spoof").alias("n_spoof"), clean.alias("n_clean"), (n - clean).alias("n_augmented"), F.round(F.lit(100.0) * clean / n, 6).alias("clean_pct")
+    )
+
+
 def split_overlap(members: DataFrame) -> DataFrame:
     """members: (speaker_id, split) -> pairs of splits and the speakers that they share; one pass, no self-join of rows."""
     sets = members.groupBy("speaker_id").agg(F.array_sort(F.collect_set("split")).alias("s")).filter("size(s) > 1")

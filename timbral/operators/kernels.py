@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timbral.functions.draws import draw
+from timbral.operators.numbering import numbered
+
 #: Rows of one Arrow batch: a clip of four seconds is 64,000 floats.
 WAVE_ROWS = 64
 
@@ -142,7 +145,7 @@ def augmented(row: object, rate: int = 16000, seed: int = 42) -> np.ndarray:
         y = y if row.noise_wave is None else mix(y, np.asarray(row.noise_wave, float), row.snr_db, int(rng.integers(1 << 30)))
         return np.clip(y, -1, 1)
     if row.aug == "codec":
-        return codec(x, rate, row.rate, row.loss, row.bandpass, row.bits, rng)
+        return codec(x, rate, int(row.rate), row.loss, bool(row.bandpass), int(row.bits), rng)
     if row.aug == "rawboost":
         return rawboost(x, list(row.operations), rng)
     raise ValueError(f"unknown augmentation {row.aug}")
@@ -159,26 +162,31 @@ def augment(rows: DataFrame, rate: int = 16000, seed: int = 42) -> DataFrame:
     return rows.select(*columns).mapInPandas(run, "clip_id long, copy long, aug string, y array<double>")
 
 
-def with_dictionary(rows: DataFrame, dictionary: DataFrame, category: str, name: str, seed: int = 42) -> DataFrame:
-    """rows with `name`, the wave of a random member of the row's category; null where the category has none.
+def _paths(rows: DataFrame, dictionary: DataFrame, category: str, name: str, seed: int) -> DataFrame:
+    """rows with `_path {name}`, that of a random member of the row's category."""
+    names = numbered(dictionary.select(F.col("category").alias(category), F.col("path").alias(f"_path {name}")), [F.substring(F.md5(f"_path {name}"), 1, 3), f"_path {name}"], (category,), "_i", total="_n")
+    sizes = names.groupBy(category).agg(F.first("_n").alias("_n"))
+    picked = rows.join(sizes, category, "left").withColumn("_i", F.floor(draw(f"file {name}", "clip_id", "copy", seed=seed) * F.col("_n"))).drop("_n")
+    return picked.join(names.drop("_n"), [category, "_i"], "left").drop("_i")
 
-    dictionary: (category, path, wave). Paths are unique within a category. They are numbered in blocks by their hash, without
-    the waves; the draw is an equi-join on (category, number), and waves are joined last, by path.
-    """
-    from pyspark.sql import Window
 
-    from timbral.functions.draws import draw
+def with_dictionaries(rows: DataFrame, dictionaries: dict[str, tuple[DataFrame, str]], seed: int = 42) -> DataFrame:
+    """rows with a wave for each name of dictionaries: that of a random member of the row's category; null where there is none.
 
-    names = dictionary.select(F.col("category").alias(category), "path").withColumn("_b", F.substring(F.md5("path"), 1, 3))
-    blocks = names.groupBy(category, "_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(category).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(category, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))  # of 4,096 blocks a category
-    number = F.row_number().over(Window.partitionBy(category, "_b").orderBy("path")) - 1 + F.col("_o")
-    members = names.join(offsets, [category, "_b"]).select(category, number.cast("long").alias("_i"), F.col("path").alias("_path"))
-    sizes = names.groupBy(category).agg(F.count("*").alias("_n"))
-    picked = rows.join(sizes, category, "left").withColumn("_i", F.floor(draw(f"file {name}", "clip_id", "copy", seed=seed) * F.col("_n"))).drop("_n")
-    waves = dictionary.select(F.col("category").alias(category), F.col("path").alias("_path"), F.col("wave").alias(name))
-    return picked.join(members, [category, "_i"], "left").join(waves, [category, "_path"], "left").drop("_i", "_path")
+    dictionaries: name -> ((category, path, wave), the column of the row's category). Paths are unique within a category. All
+    paths are picked first, on narrow rows and for those alone that have a category; waves are joined after, by path.
+    """
+    has = F.lit(False)
+    for _, category in dictionaries.values():
+        has = has | F.col(category).isNotNull()
+    out = rows.filter(has)
+    for name, (dictionary, category) in dictionaries.items():
+        out = _paths(out, dictionary, category, name, seed)
+    for name, (dictionary, category) in dictionaries.items():
+        waves = dictionary.select(F.col("category").alias(category), F.col("path").alias(f"_path {name}"), F.col("wave").alias(name))
+        out = out.join(waves, [category, f"_path {name}"], "left").drop(f"_path {name}")
+    others = rows.filter(~has).withColumns({name: F.lit(None).cast(out.schema[name].dataType) for name in dictionaries})
+    return out.select(*rows.columns, *dictionaries).unionByName(others)
 
 
 def flatness(x: np.ndarray, size: int = 512) -> float:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timbral.functions.draws import shuffle_key
+from timbral.operators.quantiles import quantiles
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: list[str], distinct: str | None = None) -> DataFrame:
@@ -15,10 +16,12 @@ def crosstab(df: DataFrame, row: str, column: str, values: list[str], distinct:
 
 
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    q = lambda p: F.round(F.percentile(value, F.lit(p)), 6)
-    return df.groupBy(*by).agg(
-        F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("std"), F.min(value).alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(value).alias("max"),
-    )
+    """Count, mean, deviation, extremes and quartiles by group; a group of any size is never one task's work. Groups without values have nulls."""
+    plain = df.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    names = ["q25", "q50", "q75"]
+    q = quantiles(df, by, value, [0.25, 0.5, 0.75], names).withColumnsRenamed({b: f"_q_{b}" for b in by})
+    joined = plain.join(q, [plain[b].eqNullSafe(q[f"_q_{b}"]) for b in by], "left")
+    return joined.select(*by, "n", "mean", "std", "min", *[F.round(x, 6).alias(x) for x in names], "max")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timbral.functions import labels, signals, strategy
+from timbral.functions import labels, signals
 from timbral.operators import checks, corpus, profile, speech
+from timbral.operators.numbering import numbered
+from timbral.operators.quantiles import quantiles
 from timbral.plans.augmentation import FILE_SPLIT, NAMES
 from timbral.plans.registry import query
 from timbral.sources.adapters import CLIPS_SQL, WAVES_SQL, clips, table, waves
@@ -68,8 +70,8 @@ def minutes_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {CLIPS_SQL} select speaker_id, round(quantile_cont(duration, 0.5), 6) as median, rank() over (order by round(quantile_cont(duration, 0.5), 6) desc, speaker_id) as place from clips group by speaker_id")
 def median_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = clips(spark, sf_dir).groupBy("speaker_id").agg(F.round(F.percentile("duration", F.lit(0.5)), 6).alias("median"))
-    return m.withColumn("place", F.rank().over(Window.orderBy(F.desc("median"), "speaker_id")).cast("long"))
+    m = quantiles(clips(spark, sf_dir), ["speaker_id"], "duration", [0.5], ["median"]).withColumn("median", F.round("median", 6))
+    return numbered(m, [F.desc("median"), "speaker_id"]).select("speaker_id", "median", (F.col("place") + 1).alias("place"))
 
 
 @query("select event_type, event_id, value from (select *, row_number() over (partition by event_type order by md5(concat_ws('|', '42', event_id::varchar)), event_id) as r from events) where r <= 200")
@@ -220,11 +222,14 @@ def bank_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- checks, splits and evaluation --------------------------------------------------------------
 
 
-@query("""with d(dist, p) as (values ('types', 0.6::double), ('types', 0.3), ('types', 0.1), ('noises', 0.5), ('noises', 0.3), ('noises', 0.2), ('rooms', 0.3), ('rooms', 0.5), ('rooms', 0.2), ('snr', 0.1), ('snr', 0.8), ('snr', 0.1))
- select dist, round(sum(p), 6) as total, abs(sum(p) - 1) < 0.01 as valid from d group by dist""")
+@query("""with n as (select user_id % 50 as segment, event_type, count(*) as n from events group by all), d as (select segment, (((200 * n + whole) // (2 * whole)) * 0.01::decimal(3, 2)) as p from (select *, sum(n) over (partition by segment)::bigint as whole from n))
+ select 'segment ' || segment as dist, round(sum(p), 6)::double as total, abs(sum(p) - 1) < 0.01 as valid from d group by 1""")
 def share_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = {"types": strategy.TYPE_MIX.values(), "noises": strategy.NOISE_MIX.values(), "rooms": strategy.ROOM_MIX.values(), "snr": [p for *_, p in strategy.SNR_RANGES]}
-    return checks.shares(spark.createDataFrame([(k, float(p)) for k, ps in named.items() for p in ps], "dist string, p double"))
+    """Observed mixes of events as a strategy would hold them, to two places: those whose rounded shares are off by a hundredth or more aren't valid."""
+    n = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 50).alias("segment"), "event_type").agg(F.count("*").alias("n"))
+    whole = n.groupBy("segment").agg(F.sum("n").alias("whole"))
+    p = n.join(whole, "segment").select(F.concat(F.lit("segment "), F.col("segment").cast("string")).alias("dist"), F.expr("((200 * n + whole) div (2 * whole)) * 0.01BD").alias("p"))
+    return checks.shares(p).withColumn("total", F.col("total").cast("double"))
 
 
 @query("""with r as (select doc_id, row_number() over (order by md5(concat_ws('|', '42', doc_id::varchar))) - 1 as rank, count(*) over () as n from documents), c as (select *, trunc(n * 0.1::double)::bigint as n_test from r)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timbral.functions import factors, labels
+from timbral.functions import factors, labels, strategy
 from timbral.operators import corpus, profile
+from timbral.operators.numbering import numbered
 from timbral.plans.registry import query, u
 from timbral.sources.adapters import CLIPS_SQL, clips, table
 
-COUNTS = f"{CLIPS_SQL}, counts as (select count(*) filter (file_type = 'bonafide') as n_bonafide, count(*) filter (file_type = 'spoof') as n_spoof from clips)"
+RANKS = """speakers as (select *, row_number() over (order by key) - 1 as rank, count(*) over () as n from (select distinct speaker_id, md5(concat_ws('|', '42', speaker_id)) as key from clips)),
+ splits as (select speaker_id, case when rank < trunc(n * 0.8::double) then 'train' when rank < trunc(n * 0.8::double) + trunc(n * 0.1::double) then 'val' else 'test' end as split from speakers)"""
+_COUNTED = "count(*) filter (file_type = 'bonafide') as n_bonafide, count(*) filter (file_type = 'spoof') as n_spoof"
+COUNTS = f"{CLIPS_SQL}, counts as (select {_COUNTED} from clips)"
+TRAIN_COUNTS = f"{CLIPS_SQL}, {RANKS}, parted as (select clips.*, split from clips join splits using (speaker_id)), counts as (select {_COUNTED} from parted where split = 'train')"
 
 
 def _factor(t: str, share: str, own: str) -> str:
@@ -21,12 +26,22 @@ ACHIEVED = """n_bonafide * bonafide_factor as bonafide_rows, n_spoof * spoof_fac
  round(100.0::double * (n_bonafide * bonafide_factor) / (n_bonafide * bonafide_factor + n_spoof * spoof_factor), 6) as bonafide_pct,
  round(100.0::double * (n_bonafide + n_spoof) / (n_bonafide * bonafide_factor + n_spoof * spoof_factor), 6) as clean_pct,
  round((n_bonafide * bonafide_factor + n_spoof * spoof_factor)::double / (n_bonafide + n_spoof), 6) as total_factor"""
-BALANCED = f"{COUNTS}, factors as (select *, {_factor('((n_bonafide + n_spoof) * 3)', '0.5::double', 'n_bonafide')} as bonafide_factor, {_factor('((n_bonafide + n_spoof) * 3)', '(1.0::double - 0.5::double)', 'n_spoof')} as spoof_factor from counts)"
-FANNED = f"""{BALANCED}, by_class as (select 'bonafide' as file_type, bonafide_factor as factor from factors union all select 'spoof', spoof_factor from factors),
- fanned as (select clips.*, unnest(range(0, factor)) as copy from clips join by_class using (file_type)),
+
+
+def _balanced(counts: str) -> str:
+    return f"{counts}, factors as (select *, {_factor('((n_bonafide + n_spoof) * 3)', '0.5::double', 'n_bonafide')} as bonafide_factor, {_factor('((n_bonafide + n_spoof) * 3)', '(1.0::double - 0.5::double)', 'n_spoof')} as spoof_factor from counts)"
+
+
+def _fanned(balanced: str, rows: str = "clips", factor: str = "factor") -> str:
+    return f"""{balanced}, by_class as (select 'bonafide' as file_type, bonafide_factor as factor from factors union all select 'spoof', spoof_factor from factors),
+ fanned as (select {rows}.*, unnest(range(0, {factor})) as copy from {rows} join by_class using (file_type)),
  typed as (select *, case when copy = 0 then '-' when {u("type", "clip_id", "copy")} < 0.6 then 'rir' when {u("type", "clip_id", "copy")} < 0.9 then 'codec' else 'rawboost' end as aug from fanned)"""
 
 
+BALANCED = _balanced(COUNTS)
+FANNED = _fanned(BALANCED)
+
+
 def fanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = clips(spark, sf_dir)
     return corpus.fan_out(c, factors.by_class(corpus.balanced_factors(c, 0.5, 3)))
@@ -53,16 +68,21 @@ def simple_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factors.simple(corpus.class_counts(clips(spark, sf_dir)).select("n_bonafide", "n_spoof"), 3)
 
 
-CASES = [(80, 176, 0.5, 3), (80, 176, 0.6, 5), (80, 176, 0.7, 3), (80, 176, 0.5, 2), (80, 176, 0.5, 5), (80, 176, 0.5, 10), (10, 90, 0.7, 3)]
+RATIOS = [(0.5, 2), (0.5, 3), (0.5, 5), (0.5, 10), (0.6, 5), (0.7, 3)]
 
 
-@query(f"""with cases(n_bonafide, n_spoof, ratio, times) as (values {", ".join(f"({b}::bigint, {s}::bigint, {r}::double, {m}::bigint)" for b, s, r, m in CASES)}),
+@query(f"""with {CLIPS_SQL}, per as (select speaker_id, {_COUNTED} from clips group by 1), r(ratio, times) as (values {", ".join(f"({r}::double, {m}::bigint)" for r, m in RATIOS)}),
+ cases as (select * from per, r where n_bonafide > 0 and n_spoof > 0),
  factors as (select *, {_factor('((n_bonafide + n_spoof) * times)', 'ratio', 'n_bonafide')} as bonafide_factor, {_factor('((n_bonafide + n_spoof) * times)', '(1.0::double - ratio)', 'n_spoof')} as spoof_factor from cases),
- done as (select *, {ACHIEVED} from factors) select *, abs(bonafide_pct - 100 * ratio) <= 10 as ratio_ok, clean_pct >= 10 as clean_ok from done""")
+ done as (select *, {ACHIEVED} from factors) select *, round(bonafide_pct - 100 * ratio, 6) as deviation, abs(bonafide_pct - 100 * ratio) <= 10 as ratio_ok, clean_pct >= 10 as clean_ok from done""")
 def balanced_factors_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = spark.createDataFrame(CASES, "n_bonafide long, n_spoof long, ratio double, times long")
+    """What balancing would give each speaker with both classes, for several ratios and factors, held to the limits of deviation and of clean rows."""
+    per = corpus.class_counts(clips(spark, sf_dir), "speaker_id").select("speaker_id", "n_bonafide", "n_spoof").filter("n_bonafide > 0 and n_spoof > 0")
+    ratio = F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), F.lit(m).cast("long").alias("times")) for r, m in RATIOS])).alias("r")
+    cases = per.select("*", ratio).select("speaker_id", "n_bonafide", "n_spoof", "r.ratio", "r.times")
     out = factors.balanced(cases, F.col("ratio"), F.col("times"))
-    return out.withColumn("ratio_ok", F.abs(F.col("bonafide_pct") - F.lit(100.0) * F.col("ratio")) <= 10).withColumn("clean_ok", F.col("clean_pct") >= 10)
+    off = F.col("bonafide_pct") - F.lit(100.0) * F.col("ratio")
+    return out.withColumn("deviation", F.round(off, 6)).withColumn("ratio_ok", F.abs(off) <= 10).withColumn("clean_ok", F.col("clean_pct") >= 10)
 
 
 @query(f"""with {COUNTS}, n as (select n_bonafide + n_spoof as n, unnest([2, 3, 5, 10])::bigint as times from counts)
@@ -77,6 +97,9 @@ def augmentation_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fanned(spark, sf_dir).select("clip_id", "speaker_id", "file_type", "copy", "aug")
 
 
+MIX = strategy.Strategy("default", 3).rows()
+
+
 def _pick(purpose: str, values: list[tuple[str, float]]) -> str:
     return "case " + " ".join(f"when {u(purpose, 'clip_id', 'copy')} < {w} then '{v}'" for v, w in values[:-1]) + f" else '{values[-1][0]}' end"
 
@@ -86,7 +109,10 @@ def _u(p: str) -> str:
 
 
 OPS = ", ".join(f"case when {_u(o)} < {p} then '{labels.OPERATION_CODES[o]}' end" for o, p in corpus.STAGES)
-PARAMETERS = f"""{FANNED}, chosen as (select *, {_pick('room', corpus.ROOMS)} as room, {_pick('noise', corpus.NOISES)} as noise,
+
+
+def _parameters(fanned: str) -> str:
+    return f"""{fanned}, chosen as (select *, {_pick('room', MIX['rooms'])} as room, {_pick('noise', MIX['noises'])} as noise,
  case when {_u('snr')} < 0.1 then {_u('snr_in')} * 5.0::double when {_u('snr')} < 0.9 then 5.0::double + {_u('snr_in')} * 25.0::double else 30.0::double + {_u('snr_in')} * 5.0::double end as snr_db,
  case when {_u('rate')} < 0.5 then 8000 else 16000 end as rate, case when {_u('l')} < 0.5 then 0.01::double + {_u('loss')} * 0.04::double else 0.0::double end as loss, {_u('band')} < 0.7 as bandpass,
  case when {_u('q')} < 0.3 then case when {_u('bits')} < 0.5 then 8 else 12 end else 0 end as bits, list_filter([{OPS}], lambda x: x is not null) as codes from typed),
@@ -95,6 +121,9 @@ PARAMETERS = f"""{FANNED}, chosen as (select *, {_pick('room', corpus.ROOMS)} as
   else 'RAWBOOST_' || case when len(codes) = 0 then 'NONE' else array_to_string(codes, '_') end end as system_id from chosen)"""
 
 
+PARAMETERS = _parameters(FANNED)
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.system_ids(corpus.parameters(fanned(spark, sf_dir)))
 
@@ -126,28 +155,26 @@ def label_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("system_id", "p.kind", "p.room", "p.snr_db", "p.khz", "p.loss_pct", "p.bandpass", "p.bits", F.array_join("p.operations", "_").alias("operations"))
 
 
-RANKS = f"""speakers as (select *, row_number() over (order by key) - 1 as rank, count(*) over () as n from (select distinct speaker_id, md5(concat_ws('|', '42', speaker_id)) as key from clips)),
- splits as (select speaker_id, case when rank < trunc(n * 0.8::double) then 'train' when rank < trunc(n * 0.8::double) + trunc(n * 0.1::double) then 'val' else 'test' end as split from speakers)"""
-
-
 @query(f"with {CLIPS_SQL}, {RANKS} select * from splits")
 def speaker_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.split_speakers(clips(spark, sf_dir))
 
 
-PROTOCOL = f"""{PARAMETERS}, {RANKS}, placed as (select split, speaker_id, case split when 'train' then 'LA_T' when 'val' then 'LA_D' else 'LA_E' end || '_' ||
- lpad((row_number() over (partition by split order by file_type, speaker_id, clip_id, copy))::varchar, 7, '0') as audio_id, system_id, file_type as key from labelled join splits using (speaker_id)
- where split = 'train' or copy = 0)"""
+TRAINED = _fanned(_balanced(TRAIN_COUNTS), "parted", "case when split = 'train' then factor else 1 end")
+PROTOCOL = f"""{_parameters(TRAINED)}, placed as (select split, speaker_id, case split when 'train' then 'LA_T' when 'val' then 'LA_D' else 'LA_E' end || '_' ||
+ lpad((row_number() over (partition by split order by file_type, speaker_id, clip_id, copy))::varchar, 7, '0') as audio_id, system_id, file_type as key from labelled)"""
 
 
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The protocol's rows before they are numbered. Splits come first, and only the training split is fanned out; the others have factor 1."""
+    """clips with their split and factor: factors balance the training split and hold for it alone, the others have factor 1."""
     c = clips(spark, sf_dir)
-    return corpus.fan_out(c.join(corpus.split_speakers(c), "speaker_id"), factors.by_class(corpus.balanced_factors(c, 0.5, 3)), only=F.col("split") == "train")
+    parted = c.join(corpus.split_speakers(c), "speaker_id")
+    by_class = factors.by_class(corpus.balanced_factors(parted.filter("split = 'train'"), 0.5, 3))
+    return corpus.with_factor(parted, by_class, only=F.col("split") == "train")
 
 
 def protocol_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.protocol(corpus.parameters(placed(spark, sf_dir)))
+    return corpus.protocol(placed(spark, sf_dir))
 
 
 @query(f"with {PROTOCOL} select *, speaker_id || ' ' || audio_id || ' ' || system_id || ' ' || key as line from placed")
@@ -158,8 +185,31 @@ def protocol_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {PROTOCOL} select split, count(*) as total, count(*) filter (key = 'bonafide') as n_bonafide, count(*) filter (key = 'spoof') as n_spoof, count(*) filter (system_id = '-') as n_clean,
  count(*) filter (system_id <> '-') as n_augmented, round(100.0::double * count(*) filter (system_id = '-') / count(*), 6) as clean_pct from placed group by split""")
 def protocol_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts need neither numbers nor labels: what is clean shows in the type."""
-    return corpus.protocol_statistics(placed(spark, sf_dir).select("split", F.col("file_type").alias("key"), F.col("aug").alias("system_id")))
+    """Counts need neither numbers nor labels nor the rows themselves: a clip has one clean row of its factor's."""
+    return corpus.planned_statistics(placed(spark, sf_dir))
+
+
+OTHER = strategy.Strategy(
+    "other", 4, types={"rir": 0.25, "codec": 0.15, "rawboost": 0.6}, noises={"speech": 0.9, "music": 0.1}, rooms={"largeroom": 1.0}, snr=((0.0, 10.0, 0.5), (10.0, 20.0, 0.5))
+)
+
+
+@query(f"""with {CLIPS_SQL}, chosen as (select clip_id, if(clip_id % 3 = 0, 'other', 'default') as strategy, if(clip_id % 3 = 0, 4, 3) as factor from clips), fanned as (select *, unnest(range(0, factor)) as copy from chosen),
+ typed as (select *, case when copy = 0 then '-' when strategy = 'other' then {_pick("type", OTHER.rows()["types"])} else {_pick("type", MIX["types"])} end as aug from fanned),
+ drawn as (select *, case when strategy = 'other' then 'largeroom' else {_pick("room", MIX["rooms"])} end as room, case when strategy = 'other' then {_pick("noise", OTHER.rows()["noises"])} else {_pick("noise", MIX["noises"])} end as noise,
+  trunc(case when strategy = 'other' then case when {_u("snr")} < 0.5 then {_u("snr_in")} * 10.0::double else 10.0::double + {_u("snr_in")} * 10.0::double end
+   when {_u("snr")} < 0.1 then {_u("snr_in")} * 5.0::double when {_u("snr")} < 0.9 then 5.0::double + {_u("snr_in")} * 25.0::double else 30.0::double + {_u("snr_in")} * 5.0::double end)::int as snr from typed)
+ select strategy, aug, case when aug = 'rir' then room end as room, case when aug = 'rir' then noise end as noise, count(*) as n, sum(case when aug = 'rir' then snr end)::bigint as snr_sum from drawn group by all""")
+def strategy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two strategies in one run: every third clip follows one with types, rooms, noises and ranges of its own."""
+    known = strategy.Registry()
+    known.register("default", strategy.Strategy("default", 3))
+    known.register("other", OTHER)
+    mixes = known.mixes(spark, ["default", "other"])
+    by_class = mixes.table.select("strategy", F.col("extra").alias("factor"), F.explode(F.array(F.lit("bonafide"), F.lit("spoof"))).alias("file_type"))
+    c = clips(spark, sf_dir).withColumn("strategy", F.when(F.col("clip_id") % 3 == 0, "other").otherwise("default"))
+    rows = corpus.parameters(corpus.fan_out(c, by_class, mixes=mixes), mixes=mixes)
+    return rows.groupBy("strategy", "aug", "room", "noise").agg(F.count("*").alias("n"), F.sum(F.col("snr_db").cast("int")).alias("snr_sum"))
 
 
 FILE_SPLIT = """files as (select clip_id, speaker_id, row_number() over (partition by speaker_id order by md5(concat_ws('|', '42', clip_id::varchar))) - 1 as rank, count(*) over (partition by speaker_id) as n from clips),
@@ -282,7 +332,7 @@ def class_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts are dealt round the test speakers, in order of both."""
     speakers = corpus.split_speakers(clips(spark, sf_dir)).filter("split = 'test'").select("speaker_id")
-    numbered = speakers.withColumn("i", F.row_number().over(Window.orderBy("speaker_id")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
-    texts = table(spark, sf_dir, "benchmark").select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).alias("j"))
-    n = numbered.agg(F.max("n").alias("k"))
-    return texts.join(F.broadcast(n)).withColumn("i", F.expr("cast(j % k as int)")).join(numbered.select("i", "speaker_id"), "i").select("item_id", "speaker_id")
+    order = numbered(speakers, ["speaker_id"], name="i", total="n")
+    texts = numbered(table(spark, sf_dir, "benchmark").select("item_id"), ["item_id"], name="j")
+    n = order.agg(F.max("n").alias("k"))
+    return texts.join(F.broadcast(n)).withColumn("i", F.expr("j % k")).join(order.select("i", "speaker_id"), "i").select("item_id", "speaker_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timbral.functions import signals
+from timbral.functions import signals, strategy
 from timbral.operators import corpus, kernels
 from timbral.plans.registry import query
 from timbral.sources.adapters import waves
@@ -18,9 +18,9 @@ def _rows(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     narrow = corpus.parameters(ids)
     category = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("wave_id") % 3 + 1).cast("int")).alias("category")
     named = w.withColumn("path", F.col("wave_id").cast("string"))
-    rooms = named.select(category([n for n, _ in corpus.ROOMS]), "path", F.col("x").alias("wave"))
-    noises = named.select(category([n for n, _ in corpus.NOISES]), "path", F.col("x").alias("wave"))
-    picked = kernels.with_dictionary(kernels.with_dictionary(narrow, rooms, "room", "rir"), noises, "noise", "noise_wave")
+    rooms = named.select(category(list(strategy.ROOM_MIX)), "path", F.col("x").alias("wave"))
+    noises = named.select(category(list(strategy.NOISE_MIX)), "path", F.col("x").alias("wave"))
+    picked = kernels.with_dictionaries(narrow, {"rir": (rooms, "room"), "noise_wave": (noises, "noise")})
     return picked.join(w.select(F.col("wave_id").alias("clip_id"), "x"), "clip_id")
 
 

@@ -18,8 +18,7 @@ def partition(clips: DataFrame, seed: int = 42) -> DataFrame:
 def augmented(partitioned: DataFrame, ratio: float, times: int, seed: int = 42) -> DataFrame:
     """The protocol of a balanced corpus: factors come from the training split and hold for it alone."""
     by_class = factors.by_class(corpus.balanced_factors(partitioned.filter("split = 'train'"), ratio, times))
-    rows = corpus.fan_out(partitioned, by_class, seed).filter("split = 'train' or copy = 0")
-    return corpus.protocol(corpus.parameters(rows, seed))
+    return corpus.protocol(corpus.with_factor(partitioned, by_class, only=F.col("split") == "train"), seed)
 
 
 def run(clips: DataFrame, out: str, ratio: float = 0.5, times: int = 3, seed: int = 42) -> DataFrame:
