@@ -79,7 +79,6 @@ def op9() -> str:
         "mean_word": "100 * word_chars // greatest(n_words, 1)", "plain_word": "100 * (word_chars - n_symbols) // greatest(n_words, 1)",
     }
     shift = f"greatest(length(bin(v)) - {rules.BITS}, 0)"
-    fed = ", ".join(dict.fromkeys((*rules.COUNTS, *rules.MEASURES)))
     values = " union all ".join(f"select lang, source, '{m}' as measure, {m} as v from fed" for m in rules.MEASURES)
     least = ", ".join(f"min(case when upto * 100 >= total * {q} then bucket end) as q{q}" for q in rules.QUANTILES)
     drawn = ", ".join(f"(o.n * o.q{q} + {rules.PRIOR} * w.q{q}) // (o.n + {rules.PRIOR}) as q{q}" for q in rules.QUANTILES)
@@ -96,7 +95,7 @@ rep as (select r, count(distinct p) as n from (select r, unnest(range(i, i + 5))
 m as (select d.r, doc_id, lang, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
   len(lines)::bigint as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words from d left join rep using (r)),
 s as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, {", ".join(f"{v} as {k}" for k, v in shares.items())} from m),
-fed as (select distinct lang, source, {fed} from s where not base_failed),
+fed as (select * from s where not base_failed),
 vals as ({values}),
 sketch as (select lang, source, measure, ((v >> {shift}) << {shift}) as bucket, count(*) as n from vals group by all),
 cum as (select *, sum(n) over (partition by lang, source, measure order by bucket) as upto, sum(n) over (partition by lang, source, measure) as total from sketch),

@@ -2,8 +2,8 @@
 
 Every measure's distribution per language and source is a mergeable quantile sketch:
 counts by log-linear bucket (values keep their BITS leading bits), summed by key before and after
-the shuffle. Rows that fail the base, and rows whose measures repeat, don't feed it. A
-group's quantiles are drawn to its language's as if PRIOR more documents of the language
+the shuffle. Every row feeds it but those that fail the base, copies as often as they come, so the
+sketch of two tables together is the sum of theirs. A group's quantiles are drawn to its language's as if PRIOR more documents of the language
 were in it, so thin groups follow the language. From them come, for each group,
 - fences on both sides of the mean length of words and of words without symbols,
   SPREAD times the spread between the quartiles beyond these (the group's or the language's spread,
@@ -27,7 +27,6 @@ WORDS, SHARES = ("mean_word", "plain_word"), ("repeat_share", "dup_line_share")
 MEASURES = (*WORDS, *SHARES, "n_words")
 #: The quantiles that the fences need, in hundredths.
 QUANTILES = (25, 50, 75, 90, 99)
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -62,8 +61,7 @@ def sketch(measured: DataFrame) -> DataFrame:
     """(lang, source, measure, bucket, n): sketches of two tables are merged by adding n of equal keys."""
     shift = f"greatest(length(bin(v)) - {BITS}, 0)"
     values = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MEASURES])).alias("x")
-    fed = measured.filter("not base_failed").select("lang", "source", *dict.fromkeys((*COUNTS, *MEASURES))).distinct()
-    return fed.select("lang", "source", values).select("lang", "source", "x.measure", F.col("x.v").alias("v")).groupBy("lang", "source", "measure", F.expr(f"shiftleft(shiftright(v, {shift}), {shift})").alias("bucket")).agg(F.count("*").alias("n"))
+    return measured.filter("not base_failed").select("lang", "source", values).select("lang", "source", "x.measure", F.col("x.v").alias("v")).groupBy("lang", "source", "measure", F.expr(f"shiftleft(shiftright(v, {shift}), {shift})").alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def _quantiles(sketched: DataFrame, *keys: str) -> DataFrame:
