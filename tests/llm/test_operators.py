@@ -335,7 +335,7 @@ def test_run_index(spark, tmp_path):
     assert Counter(map(tuple, index.dedup(frame(c)).collect())) == expected
     index.compact("level-1", 2)
     index.compact("level-2")
-    assert [f.rsplit("/", 1)[1] for f in index._folders("first")] == ["run-level-2"]
+    assert [n for n, _ in index.runs()] == ["level-2"] and len(list((tmp_path / "runs/runs").iterdir())) == 1
     assert Counter(map(tuple, index.dedup(frame(c)).collect())) == expected
     assert index.dedup(frame([])).count() == 0
 

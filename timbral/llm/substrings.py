@@ -18,6 +18,8 @@ broadcast or collected.
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -401,26 +403,61 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, history: tuple[DataFr
 
 
 class RunIndex:
-    """The history: folders of sorted runs below one path that all executors see, of first and of second fingerprints. Runs are only added, or merged by levels."""
+    """The history: sorted runs of first and of second fingerprints below one path that all executors see, and a log of which of them count.
+
+    {path}/runs/{id}/first and /second hold one batch or merge; {path}/log/{number}.json is a list of the
+    runs that count, oldest first, and the log's last entry holds. Both kinds of a run begin
+    to count with one entry, so what is cut short before it counts for nothing. An entry's number can be taken once: of two writers one
+    fails, and its runs don't count.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int, window: int = WINDOW) -> None:
         self.spark, self.path, self.buckets, self.window = spark, path.rstrip("/"), buckets, window
 
-    def _folders(self, kind: str) -> list[str]:
-        top = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
-        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(f.getPath().toString() for f in fs.listStatus(top)) if fs.exists(top) else []
+    def _file(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def runs(self) -> list[tuple[str, str]]:
+        """(name, id) of the runs that count, oldest first."""
+        return self._log()[1]
+
+    def _log(self) -> tuple[int, list[tuple[str, str]]]:
+        top, system = self._file("log")
+        names = sorted(n for f in system.listStatus(top) if (n := f.getPath().getName()).endswith(".json")) if system.exists(top) else []
+        if not names:
+            return 0, []
+        return int(names[-1][:-5]), [tuple(r) for r in json.loads(self.spark.read.text(f"{self.path}/log/{names[-1]}", wholetext=True).first()[0])]
+
+    def _publish(self, number: int, runs: list[tuple[str, str]]) -> None:
+        aside, system = self._file(f"log/{uuid.uuid4().hex}.part")
+        entry, _ = self._file(f"log/{number:010d}.json")
+        out = system.create(aside, False)
+        out.write(bytearray(json.dumps(runs).encode()))
+        out.close()
+        if system.exists(entry) or not system.rename(aside, entry):
+            system.delete(aside, False)
+            raise RuntimeError(f"entry {number} of the log was written by another")
+
+    def _read(self, runs: list[tuple[str, str]], kind: str) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/runs/{i}/{kind}" for _, i in runs])
+
+    def _delete(self, runs: list[tuple[str, str]]) -> None:
+        for _, i in runs:
+            gone, system = self._file(f"runs/{i}")
+            system.delete(gone, True)
 
     def history(self) -> tuple[DataFrame, DataFrame] | None:
-        found = [self._folders(k) for k in ("first", "second")]
-        return tuple(self.spark.read.parquet(*f) for f in found) if all(found) else None
+        runs = self.runs()
+        return (self._read(runs, "first"), self._read(runs, "second")) if runs else None
 
     def dedup(self, batch: DataFrame, whole: bool = True) -> DataFrame:
         """What is left of a batch, against the history and itself."""
         return without_repeats(batch, self.window, self.history(), self.buckets, whole)
 
     def append(self, batch: DataFrame, name: str) -> None:
-        """Adds the batch's runs as folders of their own; writing it again under its name changes nothing. An empty batch adds empty runs; null texts have no windows."""
+        """Adds the batch's runs. Those of a batch of the same name, where they weren't merged yet, make way for it. An empty batch adds empty runs; null texts have no windows."""
+        own = uuid.uuid4().hex
         for kind, base, seed, bits in (("first", BASE, None, KEY_BITS), ("second", BASE2, SEED2, 64)):
 
             def make(window: int = self.window, base: int = base, seed: int | None = seed, bits: int = bits):
@@ -428,28 +465,35 @@ class RunIndex:
                 return lambda text: np.unique(_high(windows.of(windows.hashes(text)), bits))
 
             made = map_arrow(batch.select(F.lit(-1).alias("g"), "text"), _runs(make, self.buckets), RUN_SCHEMA).filter("g is null")
-            made.select("bucket", "keys", "n").write.mode("overwrite").parquet(f"{self.path}/{kind}/run-{name}")
+            made.select("bucket", "keys", "n").write.parquet(f"{self.path}/runs/{own}/{kind}")
+        number, runs = self._log()
+        self._publish(number + 1, [r for r in runs if r[0] != name] + [(name, own)])
+        self._delete([r for r in runs if r[0] == name])
 
     def compact(self, name: str, most: int | None = None) -> None:
-        """Merges the `most` oldest runs (None: all) into one of that name, each fingerprint once, and then drops them.
+        """Merges the `most` oldest runs (None: all) into one of that name, each fingerprint once, in their place.
 
-        The merged run is written before those that it holds go, so one that is cut short loses nothing. Merged in
-        batches of a level's size, each fingerprint is rewritten once a level.
+        The name may be that of a run that is merged, not that of another. What is merged goes only after the log
+        has the merged run, so one that is cut short loses nothing. Merged in batches of a level's size, each fingerprint is
+        rewritten once a level.
         """
-        for kind in ("first", "second"):
-            folders = [f for f in self._folders(kind) if not f.endswith(f"/run-{name}")][:most]
-            if not folders:
-                continue
+        number, runs = self._log()
+        old, rest = (runs, []) if most is None else (runs[:most], runs[most:])
+        if not old:
+            return
+        if name in [r[0] for r in rest]:
+            raise ValueError(f"{name} is a run that isn't merged")
+        own = uuid.uuid4().hex
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for bucket, h, _ in _by_bucket(batches):
+                keys = np.unique(h)
+                for at in range(0, len(keys), RUN_WINDOWS):  # a run's cell has a bounded size
+                    part = keys[at : at + RUN_WINDOWS]
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([pack(part)], pa.binary()), pa.array([len(part)], pa.int64())], ["bucket", "keys", "n"])
 
-            def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for bucket, h, _ in _by_bucket(batches):
-                    keys = np.unique(h)
-                    for at in range(0, len(keys), RUN_WINDOWS):  # a run's cell has a bounded size
-                        part = keys[at : at + RUN_WINDOWS]
-                        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([pack(part)], pa.binary()), pa.array([len(part)], pa.int64())], ["bucket", "keys", "n"])
-
-            rows = _asking_nothing(self.spark.read.parquet(*folders)).repartitionById(_width(self.spark), "bucket").sortWithinPartitions("bucket")
-            map_arrow(rows, merge, "bucket int, keys binary, n long").write.mode("overwrite").parquet(f"{self.path}/{kind}/run-{name}")
-            for f in folders:
-                gone = self.spark._jvm.org.apache.hadoop.fs.Path(f)
-                gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
+        for kind in ("first", "second"):
+            rows = _asking_nothing(self._read(old, kind)).repartitionById(_width(self.spark), "bucket").sortWithinPartitions("bucket")
+            map_arrow(rows, merge, "bucket int, keys binary, n long").write.parquet(f"{self.path}/runs/{own}/{kind}")
+        self._publish(number + 1, [(name, own), *rest])
+        self._delete(old)
