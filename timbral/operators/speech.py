@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from timbral.functions.draws import shuffle_key
 from timbral.operators import corpus, profile
+from timbral.operators.numbering import numbered
 
 
 def apply_model(rows: DataFrame, column: str, model: Callable[[object], object], out: str, kind: str) -> DataFrame:
@@ -71,3 +72,20 @@ def project(vectors: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:
     out = PCA(k=k, inputCol="_v", outputCol="_p").fit(rows).transform(rows).select(key, vector_to_array("_p").alias("_p"))
     means = out.agg(F.array(*[F.avg(F.col("_p")[i]) for i in range(k)]).alias("_m"))
     return out.join(F.broadcast(means)).select(key, F.zip_with("_p", "_m", lambda a, b: a - b).alias("projection"))
+
+
+def batches(rows: DataFrame, key: str, length: Column, size: int, multiple: int = 2) -> DataFrame:
+    """rows with `batch`, `kept` and `padded`: batches of `size` rows of like length, what is kept of a row (its length, cut to a multiple), and the batch's length, its longest row's.
+
+    Rows are numbered by length over ranges of it; a batch is one task's bounded work.
+    """
+    kept = (length - length % multiple).cast("long")
+    placed = numbered(rows.withColumn("kept", kept), ["kept", key], name="_place").withColumn("batch", F.floor(F.col("_place") / size).cast("long")).drop("_place")
+    return placed.withColumn("padded", F.max("kept").over(Window.partitionBy("batch")))
+
+
+def collate(rows: DataFrame, values: str, mask: float = -100.0) -> DataFrame:
+    """rows as of batches, with `labels`: the kept values, then the mask up to the batch's length, and `attention`, how many are kept."""
+    own = F.slice(values, F.lit(1), F.col("kept").cast("int"))
+    fill = F.array_repeat(F.lit(mask), (F.col("padded") - F.col("kept")).cast("int"))
+    return rows.withColumn("labels", F.concat(own, fill)).withColumn("attention", F.col("kept"))

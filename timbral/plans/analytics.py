@@ -11,6 +11,7 @@ from timbral.operators.numbering import numbered
 from timbral.operators.quantiles import quantiles
 from timbral.plans.augmentation import FILE_SPLIT, NAMES
 from timbral.plans.registry import query
+from timbral.sources import audio
 from timbral.sources.adapters import CLIPS_SQL, WAVES_SQL, clips, table, waves
 
 COUNTRY_SQL = "case substr(speaker_id, 1, 2) when 'ar' then 'Argentina' when 'cl' then 'Chile' when 'co' then 'Colombia' when 'pe' then 'Peru' when 've' then 'Venezuela' else 'unknown' end"
@@ -277,3 +278,58 @@ def bank_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQL has no eigenvectors; tests hold the components to numpy's."""
     p = speech.project(waves(spark, sf_dir), "wave_id", "x")
     return p.select("wave_id", *[F.round(F.col("projection")[i], 6).alias(f"axis{i}") for i in (0, 1)])
+
+
+PATHS_SQL = "paths as (select page_id, string_split(regexp_replace(regexp_replace(url, '[?#].*', ''), '^[a-z]+://', ''), '/') as rel from pages)"
+
+
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bare = F.regexp_replace(F.regexp_replace("url", "[?#].*", ""), "^[a-z]+://", "")
+    return table(spark, sf_dir, "pages").select("page_id", F.split(bare, "/").alias("rel"))
+
+
+@query(f"""with {PATHS_SQL}, f as (select rel[1:len(rel) - 1] as parts, count(*) as direct, bool_or(rel[-1] like '%7') as holds from paths group by 1),
+ laid as (select parts, direct, unnest(range(0, len(parts) + 1)) as k from f where holds)
+ select coalesce(array_to_string(parts[1:k], '/'), '') as folder, sum(direct)::bigint as files, sum(case when k = len(parts) then direct else 0 end)::bigint as direct from laid group by 1""")
+def tree_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in folders that directly hold a wanted leaf, here one that ends in 7, rolled up to all folders above."""
+    return profile.tree_counts(paths(spark, sf_dir), F.element_at("rel", -1).endswith("7"))
+
+
+@query(f"with {PATHS_SQL} select case when len(rel) > 1 then rel[1] else 'generic' end as category, case when len(rel) >= 3 then rel[2] else 'generic' end as subcategory, count(*) as files from paths group by 1, 2")
+def category_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.category_counts(audio.inventory(paths(spark, sf_dir).withColumn("path", F.array_join("rel", "/"))))
+
+
+@query("""with s as (select vec_id, 40 + vec_id % 24 - (40 + vec_id % 24) % 2 as kept, embedding::double[] as x from embeddings), b as (select *, (row_number() over (order by kept, vec_id) - 1) // 16 as batch from s),
+ p as (select *, max(kept) over (partition by batch) as padded from b)
+ select batch, max(padded)::bigint as padded, count(*) as n, sum(kept)::bigint as attention, sum(padded - kept)::bigint as masked, round(sum(list_sum(x[1:kept])), 6) as total from p group by batch""")
+def length_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waves of 40 to 63 samples in batches of sixteen of like length: padded length, what counts, what is masked by -100, and the sum of what isn't."""
+    rows = speech.collate(speech.batches(waves(spark, sf_dir).select("wave_id", "x"), "wave_id", F.lit(40) + F.col("wave_id") % 24, 16), "x")
+    masked = F.size(F.filter("labels", lambda v: v == -100.0))
+    return rows.groupBy("batch").agg(
+        F.max("padded").alias("padded"), F.count("*").alias("n"), F.sum("attention").alias("attention"), F.sum(masked).cast("long").alias("masked"),
+        F.round(F.sum(F.aggregate(F.filter("labels", lambda v: v != -100.0), F.lit(0.0), lambda a, v: a + v)), 6).alias("total"),
+    )
+
+
+@query(f"with {CENTROIDS_SQL} select a.label as a, b.label as b, round(sum(a.v * b.v), 6) as cosine from unit a join unit b on a.i = b.i and a.label < b.label group by all having sum(a.v * b.v) >= 0.0")
+def similar_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only pairs that point the same way; the others are dropped within the product of their blocks."""
+    return profile.pairwise(bank(spark, sf_dir), "label", "centroid", least=0.0).withColumn("cosine", F.round("cosine", 6))
+
+
+@query("select 'checkpoint-' || event_type || '-' || event_id as name, event_id as number from events where event_id = (select max(event_id) from events)")
+def latest_numbered_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the number in the name, not by time; names without one don't count."""
+    e = table(spark, sf_dir, "events")
+    names = e.select(F.concat(F.lit("checkpoint-"), "event_type", F.lit("-"), "event_id").alias("name")).unionByName(e.select(F.concat(F.lit("runs-"), F.col("event_id") + 1_000_000).alias("name")))
+    return profile.latest_numbered(names, "name")
+
+
+@query(f"with {CLIPS_SQL} select speaker_id, coalesce(string_agg(clip_id::varchar, ',' order by clip_id) filter (file_type = 'bonafide'), '') as bonafide, coalesce(string_agg(clip_id::varchar, ',' order by clip_id) filter (file_type = 'spoof'), '') as spoof from clips group by 1")
+def clips_by_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clips of each speaker by class, as lists."""
+    lists = profile.lists_by(clips(spark, sf_dir), "speaker_id", "file_type", ["bonafide", "spoof"], "clip_id")
+    return lists.select("speaker_id", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("bonafide", "spoof")])

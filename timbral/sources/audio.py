@@ -70,6 +70,11 @@ def master_inventory(found: DataFrame) -> DataFrame:
     )
 
 
+def category_counts(files: DataFrame) -> DataFrame:
+    """Files of each category and subcategory of an inventory."""
+    return files.groupBy("category", "subcategory").agg(F.count("*").alias("files"))
+
+
 def rir_inventory(files: DataFrame, folders: dict[str, str]) -> DataFrame:
     """Categories by folder; only simulated rooms have a subcategory. With headers, their durations too, and files that can't be read are left out."""
     names = F.create_map(*[F.lit(x) for kv in folders.items() for x in kv])
