@@ -51,3 +51,33 @@ def test_lists_and_latest(spark):
     names = spark.createDataFrame([("checkpoint-900",), ("checkpoint-10000",), ("runs-99999",), ("checkpoint-x",)], "name string")
     assert tuple(profile.latest_numbered(names, "name").first()) == ("checkpoint-10000", 10000)
     assert tuple(profile.latest_numbered(names.limit(0), "name").first()) == (None, None)
+
+
+def test_batched_models(spark, tmp_path):
+    """One load a worker, calls in batches, and only a bad value has an error."""
+    folder = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        open(f"{folder}/load-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def model(values):
+            open(f"{folder}/call-{len(values)}-{uuid.uuid4().hex}", "w").close()
+            if any(v < 0 for v in values):
+                raise ValueError("negative")
+            return [f"{v}!" for v in values]
+
+        return model
+
+    rows = spark.range(0, 200, 1, 1).select(F.when(F.col("id") == 77, -1).otherwise(F.col("id")).alias("v"))
+    model = speech.Batched(f"stub {folder}", load, 50)
+    got = speech.apply_model(rows, "v", model, "text", "string").collect()
+    assert [r.text for r in got] == [None if r.v < 0 else f"{r.v}!" for r in got] and [r.error for r in got if r.error] == ["ValueError: negative"]
+    names = [p.name for p in tmp_path.iterdir()]
+    workers = {n.split("-")[1] for n in names if n.startswith("load")}
+    assert sum(n.startswith("load") for n in names) == len(workers) == 1
+    assert sum(n.startswith("call-50") for n in names) == 4 and sum(n.startswith("call-1-") for n in names) == 50
+    short = speech.Batched(f"short {folder}", lambda: lambda values: values[:1], 10)
+    assert speech.apply_model(rows.limit(3), "v", short, "w", "long").filter("error is null").count() == 3

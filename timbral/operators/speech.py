@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.ml.feature import PCA
@@ -16,38 +17,67 @@ from timbral.operators import corpus, profile
 from timbral.operators.numbering import numbered
 
 
-def apply_model(rows: DataFrame, column: str, model: Callable[[object], object], out: str, kind: str) -> DataFrame:
-    """rows with out, of the type named, and error. The model is called row by row within Arrow batches."""
+@dataclass(frozen=True)
+class Batched:
+    """A model that takes a list of inputs and gives as many outputs. load makes it, once a worker; name tells models apart there."""
+
+    name: str
+    load: Callable[[], Callable[[list], list]]
+    size: int = 64
+
+    def outputs(self, values: list) -> Iterator[tuple[object, str | None]]:
+        """(output, error) of each value. A batch that fails is tried value by value, so that only bad ones have errors."""
+        if self.name not in _LOADED:
+            _LOADED[self.name] = self.load()
+        model = _LOADED[self.name]
+        for at in range(0, len(values), self.size):
+            some = values[at : at + self.size]
+            try:
+                got = list(model(some))
+                if len(got) != len(some):
+                    raise ValueError(f"{len(got)} outputs of {len(some)} inputs")
+                yield from ((g, None) for g in got)
+            except Exception:  # noqa: BLE001  which of them it was shows below
+                yield from (_tried(lambda v=v: list(model([v]))[0]) for v in some)
+
+
+#: The models that this worker has loaded; they outlast a task.
+_LOADED: dict[str, Callable[[list], list]] = {}
+
+
+def _tried(call: Callable[[], object]) -> tuple[object, str | None]:
+    try:
+        return call(), None
+    except Exception as e:  # noqa: BLE001  one bad row must not end a corpus
+        return None, f"{type(e).__name__}: {e}"
+
+
+def apply_model(rows: DataFrame, column: str, model: Callable[[object], object] | Batched, out: str, kind: str) -> DataFrame:
+    """rows with out, of the type named, and error. A Batched model is loaded once a worker and called with lists; a plain function is called with each value."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            got, wrong = [], []
-            for v in p[column]:
-                try:
-                    got.append(model(v))
-                    wrong.append(None)
-                except Exception as e:  # noqa: BLE001  one bad row must not end a corpus
-                    got.append(None)
-                    wrong.append(f"{type(e).__name__}: {e}")
-            yield p.assign(**{out: pd.Series(got, dtype=object, index=p.index), "error": wrong})
+            values = p[column].tolist()
+            results = list(model.outputs(values) if isinstance(model, Batched) else (_tried(lambda v=v: model(v)) for v in values))
+            yield p.assign(**{out: pd.Series([r[0] for r in results], dtype=object, index=p.index), "error": [r[1] for r in results]})
 
     return rows.mapInPandas(run, StructType.fromDDL(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, `{out}` {kind}, error string"))
 
 
-def transcribe(audio: DataFrame, model: Callable[[object], str], done: DataFrame | None = None) -> DataFrame:
+def transcribe(audio: DataFrame, model: Callable[[object], str] | Batched, done: DataFrame | None = None) -> DataFrame:
     """(path, x, ...) -> text; paths already done are left out."""
     todo = audio if done is None else corpus.pending(audio, done, "path")
     return apply_model(todo, "x", model, "text", "string")
 
 
-def speaker_bank(audio: DataFrame, model: Callable[[object], list[float]], most: int = 50, done: DataFrame | None = None) -> DataFrame:
+def speaker_bank(audio: DataFrame, model: Callable[[object], list[float]] | Batched, most: int = 50, done: DataFrame | None = None) -> DataFrame:
     """(speaker_id, path, x) -> (speaker_id, centroid): at most `most` clips a speaker, by keyed hash; done speakers are left out."""
     todo = audio if done is None else corpus.pending(audio, done, "speaker_id")
     vectors = apply_model(profile.stratified(todo, "speaker_id", "path", most), "x", model, "vector", "array<double>")
     return profile.centroids(vectors.filter("error is null"), "speaker_id", "vector")
 
 
-def examples(transcripts: DataFrame, bank: DataFrame, tokenise: Callable[[str], list[int]], size: int = 512) -> DataFrame:
+def examples(transcripts: DataFrame, bank: DataFrame, tokenise: Callable[[str], list[int]] | Batched, size: int = 512) -> DataFrame:
     """Transcripts with token ids and the speaker's vector, zeros for a speaker without one; rows without text go."""
     rows = transcripts.dropna(subset=["text"]).join(bank.select("speaker_id", F.col("centroid").alias("embedding")), "speaker_id", "left")
     rows = rows.withColumn("embedding", F.coalesce("embedding", F.array_repeat(F.lit(0.0), size)))
