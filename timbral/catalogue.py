@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timbral.plans import analytics, augmentation, kernels, signals, trees  # noqa: F401  they register their queries
+from timbral.plans import analytics, augmentation, kernels, signals, spectra, trees  # noqa: F401  they register their queries
 from timbral.plans.registry import QUERIES, SQL
 
 

@@ -6,7 +6,7 @@ Ids and parameters fan out on narrow rows; waveforms are joined last and leave i
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timbral.functions.draws import draw
+from timbral.operators import filters
 from timbral.operators.numbering import numbered
 
 #: Rows of one Arrow batch: a clip of four seconds is 64,000 floats.
@@ -73,17 +74,7 @@ def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
 
 
 def bandpass(x: np.ndarray, rate: int, low: float = BAND[0], high: float = BAND[1], order: int = ORDER) -> np.ndarray:
-    """Butterworth, forwards and backwards: the squared magnitude of the bilinear design, no phase. Ends are extended oddly."""
-    high = min(high, 0.99 * rate / 2)
-    pad = min(len(x) - 1, rate // 10)
-    if pad < 1:
-        return x
-    whole = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    f = np.fft.rfftfreq(len(whole), 1 / rate)
-    w, wl, wh = (np.tan(np.pi * np.minimum(v, 0.4999 * rate) / rate) for v in (f, low, high))
-    with np.errstate(divide="ignore", over="ignore"):
-        gain = 1 / (1 + (np.abs(w**2 - wl * wh) / np.maximum(w * (wh - wl), 1e-300)) ** (2 * order))
-    return np.fft.irfft(np.fft.rfft(whole) * gain, len(whole))[pad : pad + len(x)]
+    return filters.bandpass(x, rate, low, high, order)
 
 
 def quantise(x: np.ndarray, bits: int) -> np.ndarray:
@@ -101,8 +92,7 @@ def drop_packets(x: np.ndarray, rate: int, lost: float, rng: np.random.Generator
 
 def codec(x: np.ndarray, rate: int, target: int, loss: float, band: bool, bits: int, rng: np.random.Generator) -> np.ndarray:
     """Down and up, band, lost packets, levels; the loss rate is the label's own."""
-    y = resample(resample(x, rate, target), target, rate)[: len(x)]
-    y = np.pad(y, (0, len(x) - len(y)))
+    y = filters.telephone(x, rate, target)
     if band:
         y = bandpass(y, rate)
     if loss > 0:
@@ -151,6 +141,21 @@ def augmented(row: object, rate: int = 16000, seed: int = 42) -> np.ndarray:
     raise ValueError(f"unknown augmentation {row.aug}")
 
 
+def mapped(rows: DataFrame, kernel: Callable[..., np.ndarray], *keep: str) -> DataFrame:
+    """rows: (x, ...) -> (keep..., y): y is kernel(row), whose x is an array already; one that needs no other column is `lambda r: f(r.x)`.
+
+    This is how a kernel of one's own becomes a step. A null wave counts as empty.
+    """
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in (whole.iloc[at : at + WAVE_ROWS] for whole in parts for at in range(0, len(whole), WAVE_ROWS)):
+            own = p.assign(x=[np.asarray([] if x is None else x, float) for x in p["x"]])
+            yield p[list(keep)].assign(y=[kernel(r) for r in own.itertuples(index=False)])
+
+    return rows.mapInPandas(run, f"{schema}, y array<double>")
+
+
 def augment(rows: DataFrame, rate: int = 16000, seed: int = 42) -> DataFrame:
     """rows: corpus.parameters' columns with x, rir and noise_wave (arrays, the latter null where there is none) -> (clip_id, copy, aug, y)."""
 
@@ -187,10 +192,3 @@ def with_dictionaries(rows: DataFrame, dictionaries: dict[str, tuple[DataFrame,
         out = out.join(waves, [category, f"_path {name}"], "left").drop(f"_path {name}")
     others = rows.filter(~has).withColumns({name: F.lit(None).cast(out.schema[name].dataType) for name in dictionaries})
     return out.select(*rows.columns, *dictionaries).unionByName(others)
-
-
-def flatness(x: np.ndarray, size: int = 512) -> float:
-    """Mean spectral flatness times ten: a proxy, not a perceptual score."""
-    frames = np.lib.stride_tricks.sliding_window_view(np.pad(x, (0, max(0, size - len(x)))), size)[:: size // 4]
-    power = np.abs(np.fft.rfft(frames * np.hanning(size), axis=1)) ** 2 + 1e-10
-    return float((np.exp(np.log(power).mean(axis=1)) / power.mean(axis=1)).mean() * 10)
