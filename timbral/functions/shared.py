@@ -30,3 +30,8 @@ def cut(df: DataFrame) -> DataFrame:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder name of its own below the shared folder."""
     return f"{shared_folder(spark)}/{name}-{spark.sql('select uuid()').first()[0]}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timbral.functions import factors
+from timbral.functions.shared import exists
 from timbral.operators import corpus
 from timbral.sinks import files
+from timbral.sinks.counters import Counters, partition_counts
 
 
 def partition(clips: DataFrame, seed: int = 42) -> DataFrame:
@@ -30,6 +34,29 @@ def run(clips: DataFrame, out: str, ratio: float = 0.5, times: int = 3, seed: in
     return corpus.protocol_statistics(written)
 
 
+def partition_batches(clips: DataFrame, out: str, techniques: list[str], batches: int = 8, seed: int = 42, after: Callable[[int, Counters], None] | None = None) -> Counters:
+    """Writes a partition in batches of speakers to {out}/clips, and its counters to {out}/counters, both while rows are written; a restart writes the batches that aren't recorded.
+
+    after(batch, counters) is called when a batch is recorded. Names and splits are settled once, before the first batch, below {out}/named.
+    """
+    spark, splits = clips.sparkSession, ["train", "val", "test"]
+    counters, named, speakers = Counters(spark, f"{out}/counters"), f"{out}/named", f"{out}/speakers"
+    done = {r.batch for r in counters.done().collect()}  # a row a batch
+    if "speakers" not in done:
+        counters.write(corpus.split_speakers(clips, seed), "speakers", {(s, "speakers"): F.col("split") == s for s in splits}, lambda d: d.write.mode("overwrite").parquet(speakers))
+    members = spark.read.schema("speaker_id string, split string").parquet(speakers)
+    own = corpus.file_names(clips).join(members, "speaker_id").withColumn("batch", F.pmod(F.xxhash64("speaker_id"), F.lit(batches)))
+    if not exists(spark, f"{named}/_SUCCESS"):
+        own.write.mode("overwrite").partitionBy("batch").parquet(named)
+    for b in range(batches):
+        if str(b) not in done:
+            rows = spark.read.schema(own.schema).parquet(named).filter(F.col("batch") == b).drop("batch")
+            counters.write(rows, str(b), partition_counts(splits, techniques), lambda d, b=b: d.write.mode("overwrite").parquet(f"{out}/clips/part={b}"))
+            if after:
+                after(b, counters)
+    return counters
+
+
 def batch(clips: DataFrame, out: str, names: list[str], ratio: float = 0.5) -> dict[str, str]:
     """A run per factor; one that fails doesn't end the others."""
     status = {}

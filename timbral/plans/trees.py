@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from timbral.functions.shared import new_folder
 from timbral.operators import corpus
+from timbral.plans import pipelines
+from timbral.plans.augmentation import RANKS
 from timbral.plans.registry import query
 from timbral.sinks import files, tree
 from timbral.sources import audio, headers
-from timbral.sources.adapters import WAVES_SQL, waves
+from timbral.sources.adapters import CLIPS_SQL, WAVES_SQL, clips, waves
 
 # a wave is repeated, and has the rate and channels of its label; every tenth file is cut off within its header
 SHAPE_SQL = f"""{WAVES_SQL}, shaped as (select wave_id, label, 64 * (1 + wave_id % 25) as samples, [8000, 16000, 22050, 44100][label % 4 + 1] as rate, 1 + label % 2 as channels, wave_id % 10 = 9 as bad from waves),
@@ -68,3 +70,14 @@ def copied_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree.copy_partition(named.join(corpus.split_speakers(waves(spark, sf_dir).select(speaker.alias("speaker_id"))), "speaker_id"), out)
     parts = [F.get("rel", F.lit(i)) for i in range(3)]
     return headers.read(spark, out).select(parts[0].alias("split"), parts[1].alias("speaker_id"), parts[2].alias("filename"), "duration")
+
+
+@query(f"""with {CLIPS_SQL}, {RANKS}, parted as (select * from clips join splits using (speaker_id)),
+ names as (select unnest(['train', 'val', 'test']) as split), kinds as (select unnest(['bonafide', 'spoof/click', 'spoof/view', 'spoof/other']) as counter),
+ found as (select split, case when file_type = 'bonafide' then 'bonafide' when technique in ('click', 'view') then 'spoof/' || technique else 'spoof/other' end as counter, count(*) as n from parted group by all),
+ members as (select split, count(*) as n from splits group by split)
+ select split, counter, coalesce(n, 0) as n from names cross join kinds left join found using (split, counter) union all select split, 'speakers', coalesce(n, 0) from names left join members using (split)""")
+def partition_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A partition written in batches, as its counters have it that were observed meanwhile."""
+    done = pipelines.partition_batches(clips(spark, sf_dir), new_folder(spark, "counted"), ["click", "view"], batches=4)
+    return done.totals().filter(F.size("path") > 1).select(F.get("path", F.lit(0)).alias("split"), F.array_join(F.slice("path", 2, 9), "/").alias("counter"), "n")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timbral.functions.labels import protocol_line
+from timbral.functions.shared import exists
 from timbral.operators.kernels import WAVE_ROWS
 from timbral.sinks import tree
 
@@ -73,8 +74,7 @@ class Manifest:
         self.spark, self.path, self.keys = spark, path, keys
 
     def done(self) -> DataFrame | None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
+        if not exists(self.spark, self.path):
             return None
         d = self.spark.read.parquet(self.path)
         for k, v in self.keys.items():  # a run resumes only one of the same factor and folder
