@@ -203,10 +203,10 @@ def off_diag_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {CENTROIDS_SQL}, c as (select label, list(v order by i) as v from unit group by label) select doc_id, round(coalesce(list_sum(list_transform(c.v, lambda x: x * x)), 0), 6) as norm2, c.label is null as is_default from documents d left join c on c.label = d.doc_id % 14")
 def embedding_attach_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speakers without a vector get zeros."""
+    """Speakers without a vector get zeros. The bank grows with the speakers: whether it is broadcast is told by its size as the plan finds it."""
     b = bank(spark, sf_dir)
     d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 14).alias("label"))
-    j = d.join(F.broadcast(b.withColumn("known", F.lit(True))), "label", "left").withColumn("v", F.coalesce("centroid", F.array_repeat(F.lit(0.0), 64)))
+    j = d.join(b.withColumn("known", F.lit(True)), "label", "left").withColumn("v", F.coalesce("centroid", F.array_repeat(F.lit(0.0), 64)))
     return j.select("doc_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"), F.col("known").isNull().alias("is_default"))
 
 
