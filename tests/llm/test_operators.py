@@ -249,7 +249,12 @@ PLANTED = (
     ("phone", "(487) 555-7209"), ("phone", "487-555-7209"), ("phone", "487.555.7209"), ("phone", "487 555 7209"), ("phone", "06 12 34 56 78"), ("email", "joe at example dot com"), ("email", "joe [at] example [dot] com"),
     ("email", "joe (at) example (dot) com"), ("email", "joe(at)example.net"), ("card", "4111.1111.1111.1111"), ("card", "4111 - 1111 - 1111 - 1111"), ("ip", "10 . 0 . 0 . 1"), ("ip", "192 . 168 . 20 . 7"),
     ("card", "4111111111111111 5500005555555559"),
+    # these are forms that the invented lines don't have
+    ("phone", "0171/2345678"), ("phone", "(020) 7946 0958"), ("phone", "030 12345678"), ("phone", "030-1234567"), ("phone", "0711/123-4567"), ("phone", "01632 960 983"), ("card", "3056.930902.5904"), ("card", "3714 . 496353 . 98431"),
+    ("card", "3782.822463.10005"), ("ip", "10[.]0[.]0[.]1"), ("ip", "172(.)16(.)254(.)3"), ("email", "jane {at} example {dot} com"), ("email", "jane.doe(at)example(dot)org"),
 )
+#: What looks like personal data and isn't.
+PLAIN = ("on 12/10/2020 we", "from 0.123456 to 0.987654", "the 2020/2021 season", "order 0815/4711", "08:30:15 to 09:45:00", "pages 100/200 and 30 40")
 
 
 def test_pii_planted(spark):
@@ -266,6 +271,7 @@ def test_pii_planted(spark):
             gold = [(kind, m.start(), m.end()) for m in re.finditer(r"[0-9]{16}", form)] if re.fullmatch("[0-9]{16} [0-9]{16}", form) else [(kind, 0, len(form))]
             found += all((k, len(lead) + a, len(lead) + b) in got for k, a, b in gold)
         assert found >= 36, (form, found)
+    assert [t for t in PLAIN if pii.find(t, w)[1]] == []
     more = sum(len(every) - len(base) for base, every in (pii.find(t, w) for t in texts))
     assert more <= 0.01 * len(texts), more
 
