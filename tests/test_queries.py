@@ -6,6 +6,8 @@ import pytest
 
 from tests.harness import TESTDATA, rows, same, session
 from timbral.catalogue import oracle_sql, queries
+from timbral.operators import corpus
+from timbral.plans import augmentation
 
 
 @pytest.fixture(scope="module")
@@ -29,3 +31,18 @@ def test_partitioning(spark, name):
         assert run("1") == run("7")
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("name", ["protocol_rows"])
+def test_ids_beyond_seven_digits(spark, name, monkeypatch):
+    """Numbers start at 9,999,501, so ids of seven digits and of eight meet; the protocol of the operator itself stays unique."""
+    first_ids = corpus.first_ids
+    monkeypatch.setattr(corpus, "first_ids", lambda c: first_ids(c).selectExpr("* except (first)", "first + 9999500 as first"))
+    sql = oracle_sql()[name]
+    late = sql.replace("lpad((row_number()", "lpad((9999500 + row_number()")
+    assert late != sql
+    assert same(queries()[name](spark, f"{TESTDATA}/sf0.001"), late, "sf0.001") > 0
+    if name == "protocol_rows":
+        p = corpus.protocol(augmentation.placed(spark, f"{TESTDATA}/sf0.001"))
+        assert p.select("audio_id").distinct().count() == p.count()
+        assert p.filter("length(audio_id) = 13").count() > 0
