@@ -33,7 +33,7 @@ def test_partitioning(spark, name):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-@pytest.mark.parametrize("name", ["protocol_rows", "subset_extract", "top_speakers_any"])
+@pytest.mark.parametrize("name", ["protocol_rows", "subset_extract", "top_speakers_any", "top_speakers_both"])
 def test_ids_beyond_seven_digits(spark, name, monkeypatch):
     """Numbers start at 9,999,501, so ids of seven digits and of eight meet; the protocol of the operator itself stays unique."""
     first_ids = corpus.first_ids
