@@ -716,3 +716,18 @@ def test_word_hashes_in_pieces(monkeypatch):
     monkeypatch.setattr(substrings, "PIECE", 7)
     assert windows.hashes(text).tolist() == whole.tolist()
     assert windows.hashes(None).tolist() == windows.hashes(" \n").tolist() == []
+
+
+def test_toxicity_words_and_counts():
+    """ASCII texts are split without the pattern, with the same words; counts are those of a plain count, of terms alone."""
+    r = random.Random(11)
+    terms = {w: i for i, w in enumerate(["der", "ab", "the", "idiot", "straße"])}
+    index = toxicity.Index(terms, np.ones(len(terms)), [], np.zeros(0), [])
+    texts = ["", None, "The the THE, idiot_ab 7der", "Straße der ab İ", "\x00a\x1cb\x7f", "".join(map(chr, range(128)))]
+    texts += ["".join(r.choice("aAbBeh t_\n09-\x0b\x1f" + extra) for _ in range(200)) for extra in ("", "ßé") for _ in range(50)]
+    for t in texts:
+        words = re.findall(r"[^\W\d_]+", (t or "").lower())
+        assert toxicity.words_of(t) == words
+        ids, n = index.counts(t)
+        assert dict(zip(ids.tolist(), n.tolist(), strict=True)) == Counter(terms[w] for w in words if w in terms) and (np.diff(ids) > 0).all()
+    assert toxicity.LETTERS.isascii()

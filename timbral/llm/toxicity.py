@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,13 @@ AHEAD = 4
 WORD = re.compile(r"[^\W\d_]+")
 
 
+#: bytes.translate table for ASCII texts: lower-cases letters, and turns all else into blanks.
+LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 else 32 for b in range(256))
+
+
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    text = text or ""
+    return text.encode("ascii").translate(LETTERS).decode("ascii").split() if text.isascii() else WORD.findall(text.lower())
 
 
 def _used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,13 +63,13 @@ def _frequencies(terms: dict[str, int]):
     """(text) -> (term, n): documents that have it; term -1 counts all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros(len(terms), np.int64), 0
+        seen, n = np.zeros(len(terms) + 1, np.int64), 0  # the last place takes words that are no terms
         for b in batches:
             for text in b.column(0).to_pylist():
                 n += 1
-                at = [i for i in map(terms.get, set(words_of(text))) if i is not None]
-                seen[at] += 1
-        at = np.flatnonzero(seen)
+                own = set(words_of(text))
+                seen[np.fromiter(map(terms.get, own, repeat(-1)), np.int64, len(own))] += 1
+        at = np.flatnonzero(seen[:-1])
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int64()), pa.array([n, *seen[at]], pa.int64())], ["term", "n"])
 
     return run
@@ -104,10 +110,11 @@ class Index:
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(terms, how often each is used)."""
-        get, own = self.terms.get, Counter(words_of(text))
-        ids, n = np.array([get(w, -1) for w in own], np.int64), np.fromiter(own.values(), np.int64, len(own))
-        order = np.argsort(ids)[np.count_nonzero(ids < 0) :]
-        return ids[order], n[order]
+        words = words_of(text)
+        used = np.fromiter(map(self.terms.get, words, repeat(-1)), np.int64, len(words))
+        used.sort()
+        first = np.flatnonzero(np.diff(used, prepend=-1))  # no term is -1, so those that are none fall away
+        return used[first], np.diff(first, append=len(used))
 
     def unit(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(n)) * self.weight[ids]
