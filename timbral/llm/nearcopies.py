@@ -1,7 +1,9 @@
 """Near copies by exact Jaccard similarity of word shingles: one survivor of each group.
 
-Candidates meet in one of BANDS buckets of ROWS minima of keyed hashes each: two texts of
-similarity s share a bucket with probability 1 - (1 - s^ROWS)^BANDS, 0.99993 at 0.8 and
+Candidates come from two sides. SimHash's sharded BK-trees (simhash.links, of the texts' 64-bit fingerprints of
+the same shingles, at its own radius) link the closest copies. A similarity of 0.8 is 10 bits on
+average, beyond any radius that its bands can shard, so the rest
+meet in one of BANDS buckets of ROWS minima of keyed hashes each: two texts of similarity s share a bucket with probability 1 - (1 - s^ROWS)^BANDS, 0.99993 at 0.8 and
 more above. Each candidate pair is then compared shingle by shingle, so that no link
 rests on a hash of the shingles. A bucket's texts are first compared with its first one.
 Of buckets whose texts no chain of links has joined yet, all pairs of unlike groups
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timbral.llm import exact
+from timbral.llm import exact, simhash
 from timbral.llm.common import LOWER, cut, map_arrow, shared_folder
 from timbral.llm.components import components
 
@@ -86,28 +88,39 @@ def _may_be(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _printed(docs: DataFrame) -> DataFrame:
-    """docs: (doc_id, text, ...) -> (node, size, keys, row), written to the shared folder: the one pass over all texts in Python."""
+    """docs: (doc_id, text, ...) -> (node, size, print, keys, row), written to the shared folder: the one pass over all texts in Python."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, prints, keys = [], [], [], []
             for t in b.column(at).to_pylist():
                 own = words(t)
                 own_shingles = shingles(own)
                 nodes.append(node(own))
                 sizes.append(len(own_shingles))
+                prints.append(simhash.fingerprint(t, SHINGLE_WORDS))
                 keys += buckets(own_shingles)
             ends = pa.array(np.arange(len(sizes) + 1) * BANDS, pa.int32())
             row = pa.StructArray.from_arrays(b.columns, names=b.schema.names)
-            yield pa.RecordBatch.from_arrays([_longs(nodes), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, _longs(keys)), row], ["node", "size", "keys", "row"])
+            yield pa.RecordBatch.from_arrays([_longs(nodes), pa.array(sizes, pa.int64()), _longs(prints), pa.ListArray.from_arrays(ends, _longs(keys)), row], ["node", "size", "print", "keys", "row"])
 
     row = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema)
     path = f"{shared_folder(docs.sparkSession)}/near-copies-{uuid4().hex}"
-    map_arrow(docs, run, f"node long, size long, keys array<long>, row struct<{row}>").write.parquet(path)
+    map_arrow(docs, run, f"node long, size long, print long, keys array<long>, row struct<{row}>").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
+def _alike(prints: DataFrame) -> DataFrame:
+    """prints: (node, print, ...) -> (u, v): candidate pairs by SimHash. Nodes of one fingerprint are linked to the least of them, and those by the BK-trees' links."""
+    nodes = prints.select("node", "print").distinct()
+    least = cut(nodes.groupBy("print").agg(F.min("node").alias("least")))
+    within = nodes.join(least, "print").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    end = lambda c, name: least.select(F.col("print").alias(c), F.col("least").alias(name))
+    between = simhash.links(least.select("print")).join(end("u", "a"), "u").join(end("v", "b"), "v").select("a", "b")
+    return cut(within.unionByName(between).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, text) -> (node, sketch), the sketch followed by the keys of the text's buckets"""
     for b in batches:
@@ -197,10 +210,11 @@ def groups(docs: DataFrame, prints: DataFrame | None = None) -> DataFrame:
     keyed = prints.select("node", "size", "keys").dropDuplicates(["node"]).select("node", "size", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").count().filter("count > 1").select("key")
     rows = cut(keyed.join(shared, "key"))
-    met = rows.select("node").distinct()
+    alike = _alike(prints)
+    met = rows.select("node").unionByName(alike.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
     candidates = _may_be(prints.select("node", "row.text"), met).filter("survives")
     texts = cut(candidates.groupBy("node").agg(F.min("text").alias("text")).join(met, "node"))
-    near = _verified(_pairs(rows, False), texts)
+    near = _verified(_pairs(rows, False).unionByName(alike).distinct(), texts)
     known = cut(components(near))
     rooted = rows.join(known, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
