@@ -191,6 +191,42 @@ def test_components_of_a_chain(spark):
     assert components.components(chain.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("links", [1 << 16, 20])
+def test_components_rounds_have_partitions_by_their_links(spark, monkeypatch, links):
+    """However many partitions shuffles have, a round of few links has few tasks and files; the components stay the same."""
+    r, seen, cut = random.Random(4), [], components.cut
+    pairs = [(r.randrange(400), r.randrange(400)) for _ in range(300)] + [(0, x) for x in range(1000, 1100)]
+    root = {x: x for p in pairs for x in p}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+
+    def counted(df):
+        out = cut(df)
+        seen.append((out.rdd.getNumPartitions(), out.count()))
+        return out
+
+    monkeypatch.setattr(components, "cut", counted)
+    monkeypatch.setattr(components, "LINKS", links, raising=False)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = components.components(spark.createDataFrame(pairs, "u long, v long")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {x.node: x.root for x in got} == {x: top(x) for p in pairs if p[0] != p[1] for x in p} and len(got) == len({x.node for x in got})
+    assert len(seen) > 2 and all(n <= max(8, -(-before // links)) for (_, before), (n, _) in zip(seen, seen[1:]))
+
+
+
 # --- 3: personal data ---------------------------------------------------------------------------
 
 

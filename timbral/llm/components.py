@@ -2,7 +2,9 @@
 
 Every round is two grouped minima (combined before the shuffle) and two equi-joins
 that adaptive execution can split, so a node with very many links is no single task's
-work; nothing is collected but one count a round.
+work; nothing is collected but one count a round. Links grow fewer from round to round, so
+that count also says how many partitions the next round needs: a small table has few tasks
+and files in each of a round's exchanges, however many partitions the session's shuffles have.
 """
 
 from __future__ import annotations
@@ -13,9 +15,11 @@ from pyspark.sql import functions as F
 from timbral.llm.common import cut
 
 MAX_ROUNDS = 60
+#: A round has a partition for so many links, SMALLEST at least and the session's number at most.
+LINKS, SMALLEST = 1 << 16, 8
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, parts: int) -> DataFrame:
     """edges: (a, b), a < b. Links neighbours of each node to the least of them and the node itself."""
     near = (
         edges.select(F.col("a").alias("n"), F.col("b").alias("m")).unionByName(edges.select(F.col("b").alias("n"), F.col("a").alias("m")))
@@ -28,7 +32,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.filter("m > n").select(F.col("low").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("low").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("low").alias("a"), F.col("n").alias("b")))
-    return out.filter("a <> b").distinct()
+    return out.filter("a <> b").coalesce(parts).distinct().coalesce(parts)
+
+
+def _size(edges: DataFrame) -> tuple:
+    """The number of links and a sum of their hashes, which tells two rounds' links apart."""
+    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -40,13 +49,14 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(
         links.filter("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     )
-    sign = None
+    sign = _size(edges)
     for _ in range(MAX_ROUNDS):
-        edges = cut(_star(_star(edges, True), False))
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(now) == sign:
+        parts = max(SMALLEST, -(-sign[0] // LINKS))
+        edges = cut(_star(_star(edges.coalesce(parts), True, parts), False, parts))
+        now = _size(edges)
+        if now == sign:
             break
-        sign = tuple(now)
+        sign = now
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
