@@ -33,7 +33,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids)."""
-    return bpe.encode(docs, VOCABULARY).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return bpe.ids(docs, VOCABULARY).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 
 from timbral.llm.common import map_arrow
 
-#: Distinct words whose encodings a worker keeps; beyond it, it starts anew.
-MEMO_WORDS = 400_000
+#: Distinct words whose encodings a worker keeps from batch to batch, so from task to task; beyond it, those stay that the last batch met again.
+MEMO_WORDS = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -160,8 +160,8 @@ class Coder:
     #: The file's split pattern, in the words of the regex library (a fixed value).
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, text: str) -> None:
-        self.vocabulary = Vocabulary(text)
+    def __init__(self, text: str, decodes: bool = True) -> None:
+        self.vocabulary, self.decodes = Vocabulary(text), decodes
         self.pieces = regex.compile(self.PIECES).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.vocabulary.specials, key=len, reverse=True))) + ")")
         self.memo: dict[str, tuple[bytes, str]] = {}
@@ -172,7 +172,7 @@ class Coder:
         coded, _ = self.vocabulary.encode_words(["".join(symbols[b] for b in w.encode()) for w in new])
         names = self.vocabulary.names
         for w, ids in zip(new, coded, strict=True):
-            self.memo[w] = (np.array(ids, "<u4").tobytes(), " ".join(names[i] for i in ids))
+            self.memo[w] = (np.array(ids, "<u4").tobytes(), " ".join(names[i] for i in ids) if self.decodes else "")
 
     @staticmethod
     def normal(text: str) -> str:
@@ -182,9 +182,7 @@ class Coder:
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def batch(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
-        """(ids as little-endian 32-bit integers, decoded text) of each text."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
+        """(ids as little-endian 32-bit integers, decoded text) of each text; no decoded text from a coder that doesn't decode."""
         cut: list[list[tuple[str | None, list[str]]]] = []
         new: set[str] = set()
         for text in texts:
@@ -198,13 +196,17 @@ class Coder:
                     parts.append((None, words))
             cut.append(parts)
         memo = self.memo
+        again = new.intersection(memo)
         self._learn(new.difference(memo))
+        if len(memo) > MEMO_WORDS:  # this batch still has all of its words
+            self.memo = {w: memo[w] for w in again}
         for parts in cut:
             ids, names = [], []
             for special, words in parts:
                 got = [memo[w] for w in words] if special is None else [(np.array([self.vocabulary.specials[special]], "<u4").tobytes(), special)]
                 ids += [g[0] for g in got]
-                names += [g[1] for g in got]
+                if self.decodes:
+                    names += [g[1] for g in got]
             yield b"".join(ids), " ".join(names)
 
     def encode(self, text: str | None) -> list[int]:
@@ -217,23 +219,23 @@ class Coder:
 
 
 #: Coders of this worker by vocabulary: they and their memos outlast a task.
-_CODERS: dict[str, Coder] = {}
+_CODERS: dict[tuple[str, bool], Coder] = {}
 
 
-def coder(vocabulary: str) -> Coder:
-    key = hashlib.sha256(vocabulary.encode()).hexdigest()
+def coder(vocabulary: str, decodes: bool = True) -> Coder:
+    key = hashlib.sha256(vocabulary.encode()).hexdigest(), decodes
     if key not in _CODERS:
         _CODERS.clear()
-        _CODERS[key] = Coder(vocabulary)
+        _CODERS[key] = Coder(vocabulary, decodes)
     return _CODERS[key]
 
 
-def with_tokens(docs: DataFrame, vocabulary_path: str, add: Callable[[pa.Array, list[tuple[bytes, str]]], list[pa.Array]], names: list[str], schema: str) -> DataFrame:
+def with_tokens(docs: DataFrame, vocabulary_path: str, add: Callable[[pa.Array, list[tuple[bytes, str]]], list[pa.Array]], names: list[str], schema: str, decodes: bool = True) -> DataFrame:
     """docs: (doc_id, text) -> doc_id and the columns that add makes of the texts and their (ids, decoded text)."""
     shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary_path).read_text(encoding="utf-8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(shared.value)
+        own = coder(shared.value, decodes)
         for b in batches:
             got = list(own.batch([t or "" for t in b.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([b.column(0), *add(b.column(1), got)], ["doc_id", *names])
@@ -241,6 +243,16 @@ def with_tokens(docs: DataFrame, vocabulary_path: str, add: Callable[[pa.Array,
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id long, {schema}")
 
 
+def _ids(got: list[tuple[bytes, str]]) -> pa.Array:
+    ends = np.cumsum([0, *(len(i) // 4 for i, _ in got)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(i for i, _ in got), "<i4"), pa.int32()))
+
+
+def ids(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+    """As encode, but (doc_id, ids) alone: no text is decoded, kept or moved."""
+    return with_tokens(docs, vocabulary_path, lambda _, got: [_ids(got)], ["ids"], "ids array<int>", decodes=False)
+
+
 def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """docs: (doc_id, text, ...) -> (doc_id, ids array<int>, decoded string), one row per row.
 
@@ -249,7 +261,7 @@ def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """
 
     def add(_: pa.Array, got: list[tuple[bytes, str]]) -> list[pa.Array]:
-        return [pa.array([np.frombuffer(i, "<i4") for i, _ in got], pa.list_(pa.int32())), pa.array([d for _, d in got], pa.string())]
+        return [_ids(got), pa.array([d for _, d in got], pa.string())]
 
     return with_tokens(docs, vocabulary_path, add, ["ids", "decoded"], "ids array<int>, decoded string")
 

@@ -15,10 +15,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,8 +193,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g[1].astype(np.int32) for g in got], pa.list_(pa.int32()))], ["doc_id", "y", "ids", "n"])
 
     rows = map_arrow(examples.select("doc_id", "y", "text"), vectors, "doc_id long, y int, ids array<int>, n array<int>").toArrow().sort_by("doc_id")
-    counts = [(np.array(i, np.int64), np.array(c, np.int64)) for i, c in zip(rows.column("ids").to_pylist(), rows.column("n").to_pylist(), strict=True)]
-    return Index(terms, weight, counts, rows.column("y").to_numpy().astype(int), rows.column("doc_id").to_pylist())
+    ids, counts = (pc.list_flatten(rows.column(c)).to_numpy().astype(np.int64) for c in ("ids", "n"))
+    ends = np.cumsum([0, *pc.list_value_length(rows.column("ids")).to_pylist()]).tolist()
+    vectors_of = [(ids[a:b], counts[a:b]) for a, b in pairwise(ends)]
+    y, names = rows.column("y").to_numpy().astype(int), rows.column("doc_id").to_pylist()
+    del found, used, rows
+    pa.default_memory_pool().release_unused()  # else the driver keeps it beside all that follows
+    return Index(terms, weight, vectors_of, y, names)
 
 
 def _scored(docs: DataFrame, index: Index, add, schema: str) -> DataFrame:  # noqa: ANN001
